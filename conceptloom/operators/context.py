@@ -65,18 +65,13 @@ class Context:
 
     def support(self) -> DataFrame:
         """Objects per attribute, attributes without objects included."""
-        counts = [
-            F.coalesce(
-                F.sum(F.when(M.contains_fixed(self.words(), j), F.col("n"))), F.lit(0)
-            ).cast("bigint").alias(f"s{j}")
-            for j in range(self.n_attributes)
-        ]
-        one = self.rows.agg(*counts)
-        pairs = F.array(*[
-            F.struct(F.lit(j).alias("attr_id"), F.lit(a).alias("name"), F.col(f"s{j}").alias("n_objects"))
-            for j, a in enumerate(self.attributes)
-        ])
-        return one.select(F.inline(pairs))
+        having = self.rows.select(
+            *self.words(), "n", M.each_attribute(self.n_attributes).alias("attr_id")
+        ).where(M.contains(self.words(), F.col("attr_id")))
+        counts = having.groupBy("attr_id").agg(F.sum("n").alias("n_objects"))
+        return self.attributes_df().join(counts, "attr_id", "left").select(
+            "attr_id", "name", F.coalesce("n_objects", F.lit(0)).cast("bigint").alias("n_objects")
+        )
 
     def stats(self) -> DataFrame:
         """One row: sizes and fill of the context."""

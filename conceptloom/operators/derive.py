@@ -54,23 +54,23 @@ def rows_containing(context: Context, queries: DataFrame, rows: DataFrame | None
     rows = context.rows if rows is None else rows
     q, m = M.cols("q", k), M.cols("m", k)
     nothing = M.equal(q, M.literal(0, k))
-    counts = {r.attr_id: r.n_objects for r in context.support().collect()}  # |M| rows
-    by_rarity = sorted(range(n), key=lambda j: (counts[j], j))
-    pivot = F.coalesce(*[F.when(M.contains_fixed(q, j), F.lit(j)) for j in by_rarity]) if n else F.lit(None)
+    counts = [r.n_objects for r in context.support().orderBy("attr_id").collect()]  # |M| rows
+    rarity = F.transform(
+        M.members(q, n), lambda j: F.struct(F.element_at(F.lit(counts), j + 1).alias("s"), j.alias("j"))
+    )
+    pivot = F.array_min(rarity).getField("j") if n else F.lit(None)
     keyed = queries.where(~nothing).withColumn("pivot", pivot.cast("int"))
     entries = rows.select(*M.names("m", k), "n", M.each_attribute(n).alias("pivot")).where(
         M.contains(m, F.col("pivot"))
     )
     hits = keyed.join(entries, "pivot").where(M.is_subset(q, m))
     # the empty set lies in every row; it occurs at most once among distinct queries
-    has_empty = bool(queries.where(nothing).limit(1).count())
+    empty = queries.where(nothing).first()
     out = [*queries.columns, *M.names("m", k), "n"]
-    if not has_empty:
+    if empty is None:
         return hits.select(*out)
-    empty = queries.where(nothing).limit(1)
-    extra = {c: v for c, v in empty.first().asDict().items()}
     everywhere = rows.select(
-        *[F.lit(extra[c]).cast(queries.schema[c].dataType).alias(c) for c in queries.columns],
+        *[F.lit(empty[c]).cast(queries.schema[c].dataType).alias(c) for c in queries.columns],
         *M.names("m", k), "n",
     )
     return hits.select(*out).unionByName(everywhere)

@@ -55,16 +55,18 @@ def build_lattice(
     context: Context,
     method: str = "auto",
     max_concepts: int | None = None,
-    fresh: bool = False,
+    rows: DataFrame | None = None,
 ) -> Lattice:
     """Enumerate all concepts.
 
     ``max_concepts`` makes the run fail, never truncate, when there are more.
-    With ``fresh`` the context's rows carry a column ``fresh``, and only concepts
-    whose extent has a fresh row are visited: what an appended batch changes.
+    ``rows`` replaces the context's distinct rows by ones with a column ``fresh``:
+    then only concepts whose extent has a fresh row are visited, which are those
+    that an appended batch of objects can change.
     """
     scratch = Scratch(context.spark, "lattice")
-    rows = scratch.save(context.rows, "rows")
+    fresh = rows is not None
+    rows = scratch.save(rows if fresh else context.rows, "rows")
     words = context.words()
     head = rows.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -73,7 +75,6 @@ def build_lattice(
         F.coalesce(
             F.bool_or(M.equal(words, M.literal(context.full, context.k))), F.lit(False)
         ).alias("has_full"),
-        (F.bool_or("fresh") if fresh else F.lit(True)).alias("fresh"),
     ).first()
     if head.rows == 0:
         top = context.full
@@ -82,10 +83,8 @@ def build_lattice(
     guard = _Guard(max_concepts)
     if top == context.full:
         # every object has every attribute (or there are none): a single concept
-        seen = head.n if head.fresh or head.rows == 0 else None
-        guard.add(seen is not None)
-        only = _literal_node(context, top, seen or 0)
-        return Lattice(context, only if seen is not None else only.limit(0), guard.count)
+        guard.add(1)
+        return Lattice(context, _literal_node(context, top, head.n), guard.count)
     if method == "auto":
         size = head.rows * (8 * context.k + 5 * context.n_attributes + 16)
         fits = size <= SUBTREE_BYTES and context.n_attributes <= SUBTREE_ATTRIBUTES
