@@ -195,18 +195,16 @@ def _check_objects(context: Context) -> None:
 
 
 def write_context(context: Context, path: str, delimiter: str = ";") -> None:
-    """Write a context in the same layout (one header per part file)."""
+    """Write a context in the same layout, objects in id order.
+
+    A folder of part files, each with the header line; ``read_context`` takes it.
+    """
     cells = [
-        F.when(M.contains_fixed(context.words(), j), F.lit("1")).otherwise(F.lit("0")).alias(f"c{j}")
-        for j in range(context.n_attributes)
+        F.when(M.contains_fixed(context.words(), j), F.lit("1")).otherwise(F.lit("0")).alias(a)
+        for j, a in enumerate(context.attributes)
     ]
-    quote = lambda t: t if delimiter not in t and '"' not in t else '"' + t.replace('"', '""') + '"'
-    head = delimiter.join(["", *[quote(a) for a in context.attributes]])
-    name = F.col("name")
-    shown = F.when(
-        name.contains(delimiter) | name.contains('"'),
-        F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')),
-    ).otherwise(name)
-    body = context.objects.orderBy("obj_id").select(F.concat_ws(delimiter, shown, *cells).alias("value"))
-    first = context.spark.createDataFrame([(head,)], "value string").coalesce(1)
-    first.union(body).write.mode("errorifexists").text(path)
+    (
+        context.objects.orderBy("obj_id").select(F.col("name").alias(""), *cells)
+        .write.mode("errorifexists").option("header", True).option("sep", delimiter)
+        .option("escape", '"').csv(path)
+    )
