@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptloom.operators.graph import Graph, GraphError
+from conceptloom.operators.graph import Graph, GraphError, unknown_endpoints
 from conceptloom.operators.ordering import number_rows
+from conceptloom.scratch import Scratch
 
 SIGNATURE = "struct<i:bigint,e:bigint,attrs:array<string>,objs:array<string>>"
 
@@ -30,102 +31,112 @@ def signatures(nodes: DataFrame, *keys: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Comparison:
-    """Differences of a left and a right graph as tables, and the verdict."""
+    """Differences of a left and a right graph as tables, and the verdict.
 
+    ``matched`` has one row per signature: how many nodes of each side have it
+    (``ln``, ``rn``, NULL for none) and the id of one of them.
+    """
+
+    matched: DataFrame  # sig, ln, left_id, rn, right_id
     left: DataFrame  # id, sig
     right: DataFrame
     left_edges: DataFrame
     right_edges: DataFrame
 
-    def _groups(self, side: DataFrame) -> DataFrame:
-        return side.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-
     def only_left(self) -> DataFrame:
-        return self.left.select("sig").distinct().join(self.right, "sig", "left_anti")
+        return self.matched.where("rn is null").select("sig")
 
     def only_right(self) -> DataFrame:
-        return self.right.select("sig").distinct().join(self.left, "sig", "left_anti")
+        return self.matched.where("ln is null").select("sig")
 
     def ambiguous(self) -> DataFrame:
         """Signatures that several nodes of one side share: ``side``, ``sig``, ``id``."""
-        out = None
-        for name, side in (("left", self.left), ("right", self.right)):
-            many = self._groups(side).where("n > 1").select("sig")
-            rows = side.join(many, "sig", "left_semi").select(F.lit(name).alias("side"), "sig", "id")
-            out = rows if out is None else out.unionByName(rows)
-        return out
+        def rows(name, side, n):
+            many = self.matched.where(F.col(n) > 1).select("sig")
+            return side.join(many, "sig", "left_semi").select(F.lit(name).alias("side"), "sig", "id")
+
+        return rows("left", self.left, "ln").unionByName(rows("right", self.right, "rn"))
 
     def correspondence(self) -> DataFrame:
         """``common`` (C1, C2, ... in signature order), ``left_id``, ``right_id``, ``sig``.
 
         Ambiguous signatures keep their number but are not listed.
         """
-        left = self._groups(self.left).select("sig", F.col("n").alias("ln"), F.col("id").alias("left_id"))
-        right = self._groups(self.right).select("sig", F.col("n").alias("rn"), F.col("id").alias("right_id"))
-        common = number_rows(left.join(right, "sig"), [F.col("sig")], "rank")
-        return common.where("ln = 1 and rn = 1").select(
+        both = self.matched.where("ln is not null and rn is not null")
+        return number_rows(both, [F.col("sig")], "rank").where("ln = 1 and rn = 1").select(
             F.concat(F.lit("C"), F.col("rank") + 1).alias("common"), "left_id", "right_id", "sig"
         )
 
-    def _named_edges(self, side: DataFrame, edges: DataFrame) -> DataFrame:
-        def end(c):
-            return side.select(F.col("id").alias(c), F.col("sig").alias(f"{c}_sig"))
+    def edge_differences(self) -> DataFrame:
+        """Edges between paired nodes that one side lacks: ``side``, ``src``, ``dst``
+        as ids of the left graph."""
+        pairs = self.matched.where("ln = 1 and rn = 1").select("left_id", "right_id")
 
-        return (
-            edges.join(end("src"), "src").join(end("dst"), "dst").select("src_sig", "dst_sig").distinct()
+        def end(c):
+            return pairs.select(F.col("right_id").alias(c), F.col("left_id").alias(f"{c}_l"))
+
+        known = pairs.select("left_id")
+        left = self.left_edges
+        for c in ("src", "dst"):
+            left = left.join(known.withColumnRenamed("left_id", c), c, "left_semi")
+        right = self.right_edges.join(end("src"), "src").join(end("dst"), "dst").select(
+            F.col("src_l").alias("src"), F.col("dst_l").alias("dst")
+        )
+        both = left.select("src", "dst", F.lit(1).alias("l")).distinct().join(
+            right.select("src", "dst", F.lit(1).alias("r")).distinct(), ["src", "dst"], "full"
+        )
+        return both.where("l is null or r is null").select(
+            F.when(F.col("r").isNull(), "left").otherwise("right").alias("side"), "src", "dst"
         )
-
-    def edges_only_left(self) -> DataFrame:
-        a, b = self._named_edges(self.left, self.left_edges), self._named_edges(self.right, self.right_edges)
-        return a.join(b, ["src_sig", "dst_sig"], "left_anti")
-
-    def edges_only_right(self) -> DataFrame:
-        a, b = self._named_edges(self.left, self.left_edges), self._named_edges(self.right, self.right_edges)
-        return b.join(a, ["src_sig", "dst_sig"], "left_anti")
 
     def summary(self) -> DataFrame:
         """One row of counts with ``nodes_match``, ``ambiguous`` and ``equivalent``.
 
         Edges count only when all nodes match and none is ambiguous.
         """
-        def count(df, name):
-            return df.agg(F.count(F.lit(1)).alias(name)).withColumn("one", F.lit(1))
-
-        out = count(self.left, "left_nodes")
-        for df, name in (
-            (self.right, "right_nodes"),
-            (self.left_edges.distinct(), "left_edges"),
-            (self.right_edges.distinct(), "right_edges"),
-            (self.only_left(), "only_left"),
-            (self.only_right(), "only_right"),
-            (self.ambiguous().select("side", "sig").distinct(), "ambiguous_signatures"),
-            (self.edges_only_left(), "edges_only_left"),
-            (self.edges_only_right(), "edges_only_right"),
-        ):
-            out = out.join(count(df, name), "one")
-        nodes_match = (F.col("only_left") + F.col("only_right") + F.col("ambiguous_signatures")) == 0
-        edges_match = (F.col("edges_only_left") + F.col("edges_only_right")) == 0
-        shown = F.when(nodes_match, F.col("edges_only_left")).otherwise(F.lit(0)).cast("bigint")
-        shown_r = F.when(nodes_match, F.col("edges_only_right")).otherwise(F.lit(0)).cast("bigint")
-        return out.drop("one").select(
+        def total(n):
+            return F.coalesce(F.sum(n), F.lit(0)).cast("bigint")
+
+        nodes = self.matched.agg(
+            total("ln").alias("left_nodes"), total("rn").alias("right_nodes"),
+            F.count_if(F.col("rn").isNull()).alias("only_left"),
+            F.count_if(F.col("ln").isNull()).alias("only_right"),
+            (F.count_if(F.col("ln") > 1) + F.count_if(F.col("rn") > 1)).alias("ambiguous_signatures"),
+        )
+        sizes = self.left_edges.select(F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
+            self.right_edges.select(F.lit(0), F.lit(1))
+        ).agg(total("l").alias("left_edges"), total("r").alias("right_edges"))
+        differ = self.edge_differences().agg(
+            F.count_if(F.col("side") == "left").alias("el"), F.count_if(F.col("side") == "right").alias("er")
+        )
+        one = F.lit(1)
+        out = nodes.withColumn("one", one).join(sizes.withColumn("one", one), "one").join(differ.withColumn("one", one), "one")
+        match = (F.col("only_left") + F.col("only_right") + F.col("ambiguous_signatures")) == 0
+        shown = [F.when(match, F.col(c)).otherwise(F.lit(0)).cast("bigint") for c in ("el", "er")]
+        return out.select(
             "left_nodes", "right_nodes", "left_edges", "right_edges", "only_left", "only_right",
-            "ambiguous_signatures", shown.alias("edges_only_left"), shown_r.alias("edges_only_right"),
+            "ambiguous_signatures", shown[0].alias("edges_only_left"), shown[1].alias("edges_only_right"),
             (F.col("ambiguous_signatures") > 0).alias("ambiguous"),
-            (nodes_match & edges_match).alias("equivalent"),
+            (match & (F.col("el") + F.col("er") == 0)).alias("equivalent"),
         )
 
 
 def compare_graphs(left: Graph, right: Graph) -> Comparison:
     """Compare two graphs with full labels."""
-    from conceptloom.operators.graph import unknown_endpoints
-
     left, right = left.saved("left"), right.saved("right")
     for g in (left, right):
         if unknown_endpoints(g).limit(1).count():
             raise GraphError("an edge names an unknown node")
+    sides = [signatures(g.nodes) for g in (left, right)]
+
+    def grouped(side, n, one):
+        return side.groupBy("sig").agg(F.count(F.lit(1)).alias(n), F.min("id").alias(one))
+
+    matched = grouped(sides[0], "ln", "left_id").join(grouped(sides[1], "rn", "right_id"), "sig", "full")
+    matched = Scratch(matched.sparkSession, "compare").save(matched, "matched")
     return Comparison(
-        signatures(left.nodes), signatures(right.nodes),
-        left.edges.select("src", "dst"), right.edges.select("src", "dst"),
+        matched, *sides,
+        left.edges.select("src", "dst").distinct(), right.edges.select("src", "dst").distinct(),
     )
 
 
@@ -183,8 +194,6 @@ def equivalence_group_sizes(producers: DataFrame, pairs: DataFrame) -> DataFrame
     ``pairs``: ``dataset``, ``left``, ``right``, ``equivalent``.  Groups are connected
     components: every producer takes the least label around it until none changes.
     """
-    from conceptloom.scratch import Scratch
-
     scratch = Scratch(producers.sparkSession, "groups")
     ok = scratch.save(producers.select("dataset", "producer").distinct(), "ok")
     yes = pairs.where("equivalent")

@@ -101,8 +101,8 @@ def pair_closures(context: Context) -> DataFrame:
     whole = M.literal(context.full, k)
     m = M.cols("m", k)
     pairs = context.spark.range(n).select(
-        F.col("id").cast("int").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.lit(n))).cast("int").alias("b")
-    ).where((F.col("a") < F.col("b")) & (F.col("b") < n))
+        F.col("id").cast("int").alias("a"), M.each_attribute(n).alias("b")
+    ).where(F.col("a") < F.col("b"))
     # a distinct row meets each of its own attribute pairs; combined before the shuffle
     found = (
         context.rows.select(*m, "n", M.each_attribute(n).alias("a")).where(M.contains(m, F.col("a")))

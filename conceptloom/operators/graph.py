@@ -57,47 +57,72 @@ def orientation_votes(graph: Graph) -> DataFrame:
     )
 
 
+# Steps taken per written round: fewer, larger jobs.
+STEPS = 4
+
+
 def topological_layers(graph: Graph) -> DataFrame:
     """``id``, ``layer``: the longest path that ends in each node; refuses cycles.
 
-    Round r keeps the nodes that end a path of r edges.  Without a cycle every
-    round keeps fewer nodes, with one some round keeps them all.
+    Step r keeps the nodes that end a path of r edges.  Without a cycle every
+    step keeps fewer nodes, with one some step keeps them all.
     """
     scratch = Scratch(graph.nodes.sparkSession, "layers")
     edges = graph.edges.select("src", "dst")
-    now = scratch.save(graph.nodes.select("id"), "round=0")
-    left, rounds = now.count(), 0
+    saved = scratch.save(graph.nodes.select("id", F.lit(0).alias("layer")), "round=0")
+    left, rounds, at = saved.count(), 0, 0
     while left:
         rounds += 1
-        now = scratch.save(
-            edges.join(now, edges.src == now.id, "left_semi").select(F.col("dst").alias("id")).distinct(),
-            f"round={rounds}",
-        )
-        before, left = left, now.count()
-        if left == before:
-            raise GraphError("the graph has a cycle")
-    schema = T.StructType([*now.schema.fields, T.StructField("round", T.IntegerType())])
+        now, steps = saved.where(F.col("layer") == at).select("id"), []
+        for step in range(at + 1, at + STEPS + 1):
+            now = edges.join(now, edges.src == now.id, "left_semi").select(F.col("dst").alias("id")).distinct()
+            steps.append(now.withColumn("layer", F.lit(step)))
+        saved = scratch.save(reduce(DataFrame.unionByName, steps), f"round={rounds}")
+        counts = {r.layer: r["count"] for r in saved.groupBy("layer").count().collect()}  # STEPS rows
+        for step in range(at + 1, at + STEPS + 1):
+            if counts.get(step, 0) == left and left:
+                raise GraphError("the graph has a cycle")
+            left = counts.get(step, 0)
+        at += STEPS
+    schema = T.StructType([*saved.schema.fields, T.StructField("round", T.IntegerType())])
     every = scratch.spark.read.schema(schema).parquet(scratch.path)
-    return every.groupBy("id").agg(F.max("round").alias("layer"))
+    return every.groupBy("id").agg(F.max("layer").alias("layer"))
+
+
+def refuse_cycles(graph: Graph) -> None:
+    """No cycle is possible if every edge strictly changes the intent size the same
+    way; only otherwise the layers are worked out."""
+    def side(s):
+        return graph.nodes.select(F.col("id").alias(s), F.col("n_intent").alias(f"{s}_i"))
+
+    e = graph.edges.join(side("src"), "src").join(side("dst"), "dst")
+    n = e.agg(
+        F.count(F.lit(1)).alias("all"), F.count_if(F.col("src_i") > F.col("dst_i")).alias("down"),
+        F.count_if(F.col("src_i") < F.col("dst_i")).alias("up"),
+    ).first()
+    if n["all"] not in (n.down, n.up):
+        topological_layers(graph)
 
 
 def reach(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """All pairs (``id``, ``source``) such that ``id`` is reached from ``source``
-    along ``src -> dst`` in zero or more steps."""
+    """All (``kind``, ``id``, ``source``) such that ``id`` is reached from ``source``
+    along the kind's edges ``src -> dst`` in zero or more steps."""
     scratch = Scratch(edges.sparkSession, "reach")
-    hop = edges.select(F.col("src").alias("id"), "dst")
-    new = scratch.save(sources.select("id", F.col("id").alias("source")), "round=0")
+    key = ["kind", "id", "source"]
+    hop = edges.select("kind", F.col("src").alias("id"), "dst")
+    new = scratch.save(sources.select("kind", "id", F.col("id").alias("source")), "round=0")
     schema = T.StructType([*new.schema.fields, T.StructField("round", T.IntegerType())])
     rounds = 0
     while new.limit(1).count():
-        seen = scratch.spark.read.schema(schema).parquet(scratch.path).select("id", "source")
+        seen = scratch.spark.read.schema(schema).parquet(scratch.path).select(*key)
         rounds += 1
-        new = scratch.save(
-            new.join(hop, "id").select(F.col("dst").alias("id"), "source").distinct()
-            .join(seen, ["id", "source"], "left_anti"),
-            f"round={rounds}",
-        )
-    return scratch.spark.read.schema(schema).parquet(scratch.path).select("id", "source")
+        now, steps = new, []
+        for _ in range(STEPS):
+            now = now.join(hop, ["kind", "id"]).select("kind", F.col("dst").alias("id"), "source").distinct()
+            steps.append(now)
+        found = reduce(DataFrame.unionByName, steps).distinct()
+        new = scratch.save(found.join(seen, key, "left_anti"), f"round={rounds}")
+    return scratch.spark.read.schema(schema).parquet(scratch.path).select(*key)
 
 
 def upward(graph: Graph, orientation: str) -> DataFrame:
@@ -125,17 +150,25 @@ def expand(graph: Graph) -> FullLabels:
     graph = graph.saved("expand")
     if unknown_endpoints(graph).limit(1).count():
         raise GraphError("an edge names an unknown node")
-    topological_layers(graph)  # refuses cycles
+    refuse_cycles(graph)
     orientation = orientation_votes(graph).first().orientation
     up = upward(graph, orientation)
     down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-
-    def spread(edges, label):
-        own = graph.nodes.where(F.size(label) > 0)
-        items = own.select(F.col("id").alias("source"), F.explode(label).alias("item"))
-        return reach(edges, own).join(items, "source").select("id", "item").distinct()
-
-    return FullLabels(graph, orientation, spread(down, "attrs"), spread(up, "objs"))
+    kinds = {"attrs": down, "objs": up}
+
+    def each(of):
+        return reduce(DataFrame.unionByName, [of(k).withColumn("kind", F.lit(k)) for k in kinds])
+
+    own = each(lambda k: graph.nodes.where(F.size(k) > 0).select("id"))
+    items = each(lambda k: graph.nodes.select(F.col("id").alias("source"), F.explode(k).alias("item")))
+    pairs = reach(each(lambda k: kinds[k]), own)
+    spread = pairs.join(items, ["kind", "source"]).select("kind", "id", "item").distinct()
+    spread = Scratch(pairs.sparkSession, "expand").save(spread, "items")
+    return FullLabels(
+        graph, orientation,
+        spread.where("kind = 'attrs'").select("id", "item"),
+        spread.where("kind = 'objs'").select("id", "item"),
+    )
 
 
 def violations(full: FullLabels) -> DataFrame:

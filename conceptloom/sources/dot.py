@@ -162,14 +162,27 @@ def write_dot(lines: DataFrame, path: str) -> int:
 
 # -- reading -------------------------------------------------------------------
 
-_ID = r'("(?:\\.|[^"\\])*"|[A-Za-z0-9_.\-]+)'
-_NODE = rf'^\s*{_ID}\s*\[(.*)\]\s*;?\s*$'
+# The patterns repeat plain character classes only: labels may be megabytes long.
+_ID = r'("[^"]*"|[A-Za-z0-9_.\-]+)'
+_NODE = rf'(?s)^\s*{_ID}\s*\[(.*)\]\s*;?\s*$'
 _EDGE = rf'^\s*{_ID}\s*->\s*{_ID}\s*(?:\[[^\]]*\])?\s*;?\s*$'
-_LABEL = r'label\s*=\s*"((?:\\.|[^"\\])*)"'
+_LABEL = r'label\s*=\s*"([^"]*)"'
 _COUNTS = r'^\s*(.*?)\s*\(I:\s*(\d+)\s*,\s*E:\s*(\d+)\s*\)\s*$'
-# Escaped characters stand aside as private-use characters while a label is cut.
+# Escaped characters stand aside as private-use characters while a text is cut,
+# and so do the cutting characters inside quotes.
 _ASIDE = [("\\\\", "\ue000"), ("\\|", "\ue001"), ('\\"', "\ue002"), ("\\{", "\ue003"),
           ("\\}", "\ue004"), ("\\<", "\ue005"), ("\\>", "\ue006")]
+_QUOTED = [(";", "\ue010"), ("[", "\ue011"), ("]", "\ue012"), ("{", "\ue013"), ("}", "\ue014"), ("\n", "\ue015")]
+
+
+def _swap(c: Column, pairs) -> Column:
+    for old, new in pairs:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def _back(pairs):
+    return [(new, old) for old, new in pairs]
 
 
 def read_dot(
@@ -184,13 +197,17 @@ def read_dot(
     """
     if statements:
         text = spark.read.text(path, wholetext=True)
-        joined = F.regexp_replace("value", r"\\\r?\n", "")
-        # comments and line ends apart, then cut at ; and line ends outside [...]
-        part = r'(?:"(?:\\.|[^"\\])*"|\[(?:"(?:\\.|[^"\\])*"|[^\]"])*\]|[^;\n\[\]"{}])+'
-        lines = text.select(F.explode(F.regexp_extract_all(joined, F.lit(f"({part})"), F.lit(1))).alias("value"))
-        lines = lines.where(F.trim("value") != "")
+        joined = F.regexp_replace(F.regexp_replace("value", r"\\\r?\n", ""), r"\r\n?", "\n")
+        # every second piece between quotes is inside them
+        pieces = F.transform(
+            F.split(_swap(_loosen(joined, loose_breaks), _ASIDE), '"'),
+            lambda t, i: F.when(i % 2 == 1, _swap(t, _QUOTED)).otherwise(t),
+        )
+        statement = r"([^;\n\[{}]*\[[^\]]*\]|[^;\n\[{}]+)"
+        found = F.regexp_extract_all(F.array_join(pieces, '"'), F.lit(statement), F.lit(1))
+        lines = text.select(F.explode(found).alias("value")).where(F.trim("value") != "")
     else:
-        lines = spark.read.text(path)
+        lines = spark.read.text(path).select(_swap(_loosen(F.col("value"), loose_breaks), _ASIDE).alias("value"))
         known = (
             F.col("value").rlike(_EDGE) | F.col("value").rlike(_NODE) | (F.trim("value") == "")
             | F.col("value").rlike(r"^\s*(strict\s+)?digraph\b.*\{\s*$")
@@ -199,12 +216,12 @@ def read_dot(
         odd = lines.where(~known).first()
         if odd is not None:
             raise GraphError(f"not one statement per line, read with statements=True: {odd.value[:80]!r}")
-    nodes = _nodes(lines.where(~F.col("value").rlike(_EDGE)), loose_breaks)
-    edges = lines.where(F.col("value").rlike(_EDGE)).select(
+    is_edge = F.col("value").rlike(_EDGE)
+    edges = lines.where(is_edge).select(
         _plain(F.regexp_extract("value", _EDGE, 1)).alias("src"),
         _plain(F.regexp_extract("value", _EDGE, 2)).alias("dst"),
     ).distinct()
-    graph = Graph(nodes, edges).saved("dot")
+    graph = Graph(_nodes(lines.where(~is_edge)), edges).saved("dot")
     total = graph.nodes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d")).first()
     if not total.n:
         raise GraphError("no node with a concept label")
@@ -213,29 +230,31 @@ def read_dot(
     return graph
 
 
+def _loosen(c: Column, loose: bool) -> Column:
+    return F.regexp_replace(c, r"\\+([nl])", r"\\$1") if loose else c
+
+
 def _plain(c: Column) -> Column:
+    """An identifier without its quotes."""
     t = F.trim(c)
-    return F.when(t.startswith('"'), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('\\"'), F.lit('"'))).otherwise(t)
+    bare = F.when(t.startswith('"'), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    return _swap(_swap(bare, _back(_QUOTED)), [(mark, escaped[1]) for escaped, mark in _ASIDE])
 
 
-def _nodes(lines: DataFrame, loose: bool) -> DataFrame:
+def _nodes(lines: DataFrame) -> DataFrame:
     block = F.regexp_extract("value", _NODE, 2)
     found = lines.select(
         _plain(F.regexp_extract("value", _NODE, 1)).alias("id"),
-        F.regexp_extract(block, _LABEL, 1).alias("label"),
+        _swap(F.regexp_extract(block, _LABEL, 1), _back(_QUOTED)).alias("label"),
         F.nullif(F.regexp_extract(block, r'fillcolor\s*=\s*"?([A-Za-z0-9#]+)"?', 1), F.lit("")).alias("color"),
     ).where((F.col("id") != "") & F.col("label").contains("(I:"))
-    text = F.trim("label")
-    if loose:
-        text = F.regexp_replace(text, r"\\+[nl]", "\n")
-    for escaped, mark in _ASIDE:
-        text = F.replace(text, F.lit(escaped), F.lit(mark))
-    text = F.regexp_replace(text, r"\\[nl]|\r\n?", "\n")
-    text = F.regexp_replace(text, r"^\{(?s)(.*)\}$", "$1")
+    text = F.regexp_replace(F.trim("label"), r"\\[nl]|\r\n?", "\n")
+    text = F.when(
+        text.startswith("{") & text.endswith("}"), F.substring(text, F.lit(2), F.length(text) - 2)
+    ).otherwise(text)
     cut = found.withColumn("f", F.split(text, r"\|"))
     bad = F.raise_error(F.concat(F.lit("label without exactly three fields at node "), F.col("id")))
-    head = F.when(F.size("f") == 3, F.col("f")[0]).otherwise(bad.cast("string"))
-    cut = cut.withColumn("head", head)
+    cut = cut.withColumn("head", F.when(F.size("f") == 3, F.col("f")[0]).otherwise(bad.cast("string")))
     return cut.select(
         "id",
         F.regexp_extract("head", _COUNTS, 1).alias("label_id"),
@@ -248,10 +267,6 @@ def _nodes(lines: DataFrame, loose: bool) -> DataFrame:
 
 
 def _items(field: Column) -> Column:
-    def clean(s):
-        s = F.trim(s)
-        for escaped, mark in _ASIDE:
-            s = F.replace(s, F.lit(mark), F.lit(escaped[1]))
-        return s
-
-    return F.array_distinct(F.filter(F.transform(F.split(field, "\n"), clean), lambda s: s != ""))
+    marks = [(mark, escaped[1]) for escaped, mark in _ASIDE]
+    cut = F.transform(F.split(field, "\n"), lambda s: _swap(F.trim(s), marks))
+    return F.array_distinct(F.filter(cut, lambda s: s != ""))
