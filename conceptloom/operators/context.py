@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptloom.functions import masks as M
+from conceptloom.scratch import Scratch
 
 # A context's attributes are its columns: their names are plan metadata and are
 # the only thing ever brought to the driver.  More than this is refused.
@@ -24,6 +24,7 @@ class Context:
 
     objects: DataFrame
     attributes: tuple[str, ...]
+    stored_rows: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -42,14 +43,23 @@ class Context:
         """The set of all attributes, as a Python int."""
         return (1 << self.n_attributes) - 1
 
+    def saved(self) -> "Context":
+        """The context with its objects and rows written once, for several uses."""
+        scratch = Scratch(self.spark, "context")
+        objects = scratch.save(self.objects, "objects")
+        once = Context(objects, self.attributes)
+        return replace(once, stored_rows=scratch.save(once.rows, "rows"))
+
     def words(self, prefix: str = "m"):
         return M.cols(prefix, self.k)
 
-    @cached_property
+    @property
     def rows(self) -> DataFrame:
         """Distinct attribute sets ``m*`` with the number ``n`` of objects that
         have them.  Objects with equal rows lie in the same concepts, so all
         operators below work on this much smaller table."""
+        if self.stored_rows is not None:
+            return self.stored_rows
         return self.objects.groupBy(*M.names("m", self.k)).agg(F.count(F.lit(1)).alias("n"))
 
     def attributes_df(self) -> DataFrame:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,12 @@ def build_lattice(
     """
     scratch = Scratch(context.spark, "lattice")
     fresh = rows is not None
-    rows = scratch.save(rows if fresh else context.rows, "rows")
+    if fresh:
+        rows = scratch.save(rows, "rows")
+    else:
+        if context.stored_rows is None:
+            context = replace(context, stored_rows=scratch.save(context.rows, "rows"))
+        rows = context.rows
     words = context.words()
     head = rows.agg(
         F.count(F.lit(1)).alias("rows"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from conceptloom.functions import masks as M
@@ -15,9 +16,10 @@ from conceptloom.operators import derive as D
 from conceptloom.operators import graph as G
 from conceptloom.operators import labels as L
 from conceptloom.operators import metering as R
-from conceptloom.operators.context import Context
+from conceptloom.operators.context import Context, from_masks
 from conceptloom.operators.enumerate import build_lattice
 from conceptloom.operators.lattice import Lattice
+from conceptloom.operators.ordering import number_rows
 from conceptloom.operators.validate import lattice_violations
 from conceptloom.plans import oracles as Q
 from conceptloom.plans.contexts import SOURCES, table
@@ -53,7 +55,7 @@ def lattice_of(spark: SparkSession, d: str, source: str, **options) -> Lattice:
     return build_lattice(context_of(spark, d, source), **options)
 
 
-def joined(names) -> "F.Column":
+def joined(names) -> Column:
     return F.array_join(names, ",")
 
 
@@ -380,8 +382,6 @@ txt as (select 0 s, 0 id, 0 id2, 'digraph G {{ ' || chr(10) || chr(9) || 'rankdi
 select row_number() over (order by s, id, id2) - 1 as at, line from txt""")
 def dot_lines(spark, d):
     """The whole DOT text, one numbered row per line."""
-    from conceptloom.operators.ordering import number_rows
-
     lines = Scratch(spark, "text").save(dot.dot_lines(lattice_of(spark, d, "nation")), "lines")
     return number_rows(lines, ["section", "id", "id2", "part", "obj_id"], "at").select("at", "line")
 
@@ -392,7 +392,8 @@ def dot_lines(spark, d):
 def graph_of(spark, d, source: str, labels: str) -> G.Graph:
     """A lattice written as DOT and read back."""
     path = f"{Scratch(spark, 'graph').path}/dot"
-    dot.write_dot(dot.dot_lines(lattice_of(spark, d, source), labels), path)
+    lattice = build_lattice(context_of(spark, d, source).saved())
+    dot.write_dot(dot.dot_lines(lattice, labels), path)
     return dot.read_dot(spark, path)
 
 
@@ -482,9 +483,7 @@ select (select count(*) from con) left_nodes, (select count(*) from con2) right_
        false equivalent""")
 def compare_different(spark, d):
     """The lattice against the one without its first attribute."""
-    from conceptloom.operators.context import from_masks
-
-    context = context_of(spark, d, "nation")
+    context = context_of(spark, d, "nation").saved()
     less = from_masks(
         context.objects.withColumn("m0", F.shiftright("m0", 1)), context.attributes[1:]
     )
@@ -507,21 +506,20 @@ def compare_correspondence(spark, d):
 
 
 def _produced(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Graphs of two datasets by three producers; one producer loses edges of ``docs``."""
+    """Graphs of two contexts by three producers; one loses the edges into the top
+    of ``cust_prio``."""
     nodes, edges = [], []
     for source in ("nation", "cust_prio"):
-        for producer, labels in (("join", "join"), ("subtree", "subtree"), ("broken", "subtree")):
-            lattice = lattice_of(spark, d, source, method=labels)
+        context = context_of(spark, d, source).saved()
+        for producer in ("join", "subtree", "broken"):
+            method = "join" if producer == "join" else "subtree"
             path = f"{Scratch(spark, 'graph').path}/dot"
-            ids = "full"
-            dot.write_dot(dot.dot_lines(lattice, ids), path)
+            dot.write_dot(dot.dot_lines(build_lattice(context, method), "full"), path)
             graph = dot.read_dot(spark, path)
-            lost = graph.edges.where("dst <> '0'") if producer == "broken" and source == "cust_prio" else graph.edges
+            cut = producer == "broken" and source == "cust_prio"
             tag = [F.lit(source).alias("dataset"), F.lit(producer).alias("producer")]
             nodes.append(graph.nodes.select(*tag, "*"))
-            edges.append(lost.select(*tag, "*"))
-    from functools import reduce
-
+            edges.append((graph.edges.where("dst <> '0'") if cut else graph.edges).select(*tag, "*"))
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
 
@@ -599,8 +597,6 @@ select row_number() over (order by lower(regexp_extract(s_name, '^[^0-9]*')), re
 from supplier""")
 def natural_sort(spark, d):
     """Names numbered in natural order (digit runs count by value)."""
-    from conceptloom.operators.ordering import number_rows
-
     names = table(spark, d, "supplier").select(F.col("s_name").alias("name"))
     return number_rows(names, [X.natural_key(F.col("name")), F.col("name")], "at")
 
