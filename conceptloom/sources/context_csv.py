@@ -147,12 +147,12 @@ def _fail(text: str, detail: Column) -> Column:
 
 
 def _cell(c: Column, mode: str) -> Column:
-    text = F.trim(c)
+    text = F.trim(F.coalesce(c, F.lit("")))
     if mode == "lenient":
-        return F.coalesce(text == "1", F.lit(False))
+        return text == "1"
     true, false = (("1",), ("0",)) if mode == "strict" else (TRUE_CELLS, FALSE_CELLS)
     return F.when(text.isin(*true), True).when(text.isin(*false), False).otherwise(
-        _fail("not a 0/1 cell: ", F.coalesce(c, F.lit("(missing)"))).cast("boolean")
+        _fail("not a 0/1 cell: ", text).cast("boolean")
     )
 
 
