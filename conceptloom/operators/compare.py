@@ -11,9 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptloom.operators.graph import Graph, GraphError, unknown_endpoints
+from conceptloom.operators.graph import Graph, GraphError, edge_profile
 from conceptloom.operators.ordering import number_rows
-from conceptloom.scratch import Scratch
+from conceptloom.scratch import Scratch, side_by_side
 
 SIGNATURE = "struct<i:bigint,e:bigint,attrs:array<string>,objs:array<string>>"
 
@@ -109,8 +109,7 @@ class Comparison:
         differ = self.edge_differences().agg(
             F.count_if(F.col("side") == "left").alias("el"), F.count_if(F.col("side") == "right").alias("er")
         )
-        one = F.lit(1)
-        out = nodes.withColumn("one", one).join(sizes.withColumn("one", one), "one").join(differ.withColumn("one", one), "one")
+        out = side_by_side([nodes, sizes, differ])
         match = (F.col("only_left") + F.col("only_right") + F.col("ambiguous_signatures")) == 0
         shown = [F.when(match, F.col(c)).otherwise(F.lit(0)).cast("bigint") for c in ("el", "er")]
         return out.select(
@@ -125,7 +124,7 @@ def compare_graphs(left: Graph, right: Graph) -> Comparison:
     """Compare two graphs with full labels."""
     left, right = left.saved("left"), right.saved("right")
     for g in (left, right):
-        if unknown_endpoints(g).limit(1).count():
+        if edge_profile(g).unknown:
             raise GraphError("an edge names an unknown node")
     sides = [signatures(g.nodes) for g in (left, right)]
 

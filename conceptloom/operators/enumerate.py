@@ -164,6 +164,7 @@ def _by_join(context, rows, scratch, top, total, guard, fresh):
         )
         level += 1
         members = scratch.save(members, f"members/level={level}")
+        scratch.drop(f"members/level={level - 1}")
     top_node = context.spark.createDataFrame(
         [(*M.split_int(top, k), total)], ", ".join(f"i{i} bigint" for i in range(k)) + ", n_extent bigint"
     )

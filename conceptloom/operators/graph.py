@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptloom.scratch import Scratch
+from conceptloom.scratch import Scratch, side_by_side
 
 SPECIFIC_TO_GENERAL = "specific_to_general"
 GENERAL_TO_SPECIFIC = "general_to_specific"
@@ -26,10 +26,13 @@ class Graph:
 
     nodes: DataFrame
     edges: DataFrame
+    stored: bool = False  # both are written tables
 
     def saved(self, label: str = "graph") -> "Graph":
+        if self.stored:
+            return self
         scratch = Scratch(self.nodes.sparkSession, label)
-        return Graph(scratch.save(self.nodes, "nodes"), scratch.save(self.edges, "edges"))
+        return Graph(scratch.save(self.nodes, "nodes"), scratch.save(self.edges, "edges"), True)
 
 
 def unknown_endpoints(graph: Graph) -> DataFrame:
@@ -38,25 +41,38 @@ def unknown_endpoints(graph: Graph) -> DataFrame:
     return ends.join(graph.nodes.select("id"), "id", "left_anti").select("src", "dst", F.col("id").alias("missing"))
 
 
-def orientation_votes(graph: Graph) -> DataFrame:
-    """One row: edges that fit each direction, by the sizes in the headers."""
+def _edge_counts(graph: Graph) -> DataFrame:
+    """One row over all edges: unknown ends, steps by intent size, direction votes."""
     def side(s):
         return graph.nodes.select(
-            F.col("id").alias(s), F.col("n_intent").alias(f"{s}_i"), F.col("n_extent").alias(f"{s}_e")
+            F.col("id").alias(s), F.lit(True).alias(f"{s}_known"),
+            F.col("n_intent").alias(f"{s}_i"), F.col("n_extent").alias(f"{s}_e"),
         )
 
-    e = graph.edges.join(side("src"), "src").join(side("dst"), "dst")
+    e = graph.edges.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
     forward = (F.col("src_i") >= F.col("dst_i")) & (F.col("src_e") <= F.col("dst_e"))
     backward = (F.col("src_i") <= F.col("dst_i")) & (F.col("src_e") >= F.col("dst_e"))
-    votes = e.agg(
-        F.count_if(forward).alias("forward"), F.count_if(backward).alias("backward")
-    )
-    return votes.withColumn(
+    return e.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("src_known").isNull() | F.col("dst_known").isNull()).alias("unknown"),
+        F.count_if(F.col("src_i") > F.col("dst_i")).alias("down"),
+        F.count_if(F.col("src_i") < F.col("dst_i")).alias("up"),
+        F.count_if(forward).alias("forward"), F.count_if(backward).alias("backward"),
+    ).withColumn(
         "orientation",
         F.when(F.col("forward") >= F.col("backward"), SPECIFIC_TO_GENERAL).otherwise(GENERAL_TO_SPECIFIC),
     )
 
 
+def edge_profile(graph: Graph):
+    return _edge_counts(graph).first()
+
+
+def orientation_votes(graph: Graph) -> DataFrame:
+    """One row: edges that fit each direction, by the sizes in the headers."""
+    return _edge_counts(graph).select("forward", "backward", "orientation")
+
+
 # Steps taken per written round: fewer, larger jobs.
 STEPS = 4
 
@@ -89,21 +105,6 @@ def topological_layers(graph: Graph) -> DataFrame:
     return every.groupBy("id").agg(F.max("layer").alias("layer"))
 
 
-def refuse_cycles(graph: Graph) -> None:
-    """No cycle is possible if every edge strictly changes the intent size the same
-    way; only otherwise the layers are worked out."""
-    def side(s):
-        return graph.nodes.select(F.col("id").alias(s), F.col("n_intent").alias(f"{s}_i"))
-
-    e = graph.edges.join(side("src"), "src").join(side("dst"), "dst")
-    n = e.agg(
-        F.count(F.lit(1)).alias("all"), F.count_if(F.col("src_i") > F.col("dst_i")).alias("down"),
-        F.count_if(F.col("src_i") < F.col("dst_i")).alias("up"),
-    ).first()
-    if n["all"] not in (n.down, n.up):
-        topological_layers(graph)
-
-
 def reach(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """All (``kind``, ``id``, ``source``) such that ``id`` is reached from ``source``
     along the kind's edges ``src -> dst`` in zero or more steps."""
@@ -148,10 +149,13 @@ def expand(graph: Graph) -> FullLabels:
     labels, are propagated; labels are joined in once.
     """
     graph = graph.saved("expand")
-    if unknown_endpoints(graph).limit(1).count():
+    profile = edge_profile(graph)
+    if profile.unknown:
         raise GraphError("an edge names an unknown node")
-    refuse_cycles(graph)
-    orientation = orientation_votes(graph).first().orientation
+    # No cycle is possible if every edge strictly changes the intent size the same way.
+    if profile.n not in (profile.down, profile.up):
+        topological_layers(graph)  # refuses cycles
+    orientation = profile.orientation
     up = upward(graph, orientation)
     down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     kinds = {"attrs": down, "objs": up}
@@ -207,9 +211,7 @@ def violations(full: FullLabels) -> DataFrame:
         lost(full.extents, up, "lost_objects"),
         repeated, sources, sinks,
     ]
-    # six one-row tables side by side
-    keyed = [p.withColumn("one", F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(b, "one"), keyed).drop("one")
+    return side_by_side(parts)
 
 
 def validate(full: FullLabels) -> None:
@@ -219,8 +221,19 @@ def validate(full: FullLabels) -> None:
         raise GraphError(f"not a fully labelled lattice: {wrong}")
 
 
-def full_graph(full: FullLabels) -> Graph:
-    """The graph with full label arrays, as a label text needs them."""
+# A label array is one value of one row; longer ones stay in long form.
+MAX_LABEL_ITEMS = 5_000_000
+
+
+def full_graph(full: FullLabels, max_items: int = MAX_LABEL_ITEMS) -> Graph:
+    """The graph with full label arrays.
+
+    Refuses extents beyond ``max_items``; those are in ``full.extents`` and can be
+    written without ever forming an array (``sources.dot.expanded_lines``).
+    """
+    if full.graph.nodes.where(F.greatest("n_intent", "n_extent") > max_items).limit(1).count():
+        raise GraphError(f"a label has more than {max_items} items; use the long form")
+
     def listed(items, name):
         return items.groupBy("id").agg(F.array_sort(F.collect_list("item")).alias(name))
 

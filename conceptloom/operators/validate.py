@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conceptloom.functions import masks as M
 from conceptloom.operators.derive import closures
 from conceptloom.operators.lattice import Lattice
+from conceptloom.scratch import side_by_side
 
 
 def lattice_violations(lattice: Lattice) -> DataFrame:
@@ -32,10 +33,9 @@ def lattice_violations(lattice: Lattice) -> DataFrame:
     tops = concepts.join(
         lattice.covers().select(*M.rename(child, "i")), M.names("i", k), "left_anti"
     ).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        repeated.agg(F.count(F.lit(1)).alias("repeated")).withColumn("one", F.lit(1))
-        .join(checked.withColumn("one", F.lit(1)), "one")
-        .join(covers.withColumn("one", F.lit(1)), "one")
-        .join(tops.select((F.col("n") - 1).alias("extra_tops")).withColumn("one", F.lit(1)), "one")
-        .drop("one")
-    )
+    return side_by_side([
+        repeated.agg(F.count(F.lit(1)).alias("repeated")),
+        checked,
+        covers,
+        tops.select((F.col("n") - 1).alias("extra_tops")),
+    ])

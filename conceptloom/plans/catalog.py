@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptloom.functions import masks as M
@@ -103,21 +103,19 @@ def context_csv_round_trip(spark, d):
 
 
 @register("set_algebra", Q.base("docs", False) + """,
-two as (select r a, lead(r) over (order by n, r) b from rws)
+two as (select distinct x.r a, y.r b from obj x join obj y on y.g = x.g + 1)
 select a, b, a & b as meet, a | b as "join", a & ~b as minus, bit_count(a)::bigint size_a,
        (a & b) = a as subset, (a & b) = a and a <> b as strict_subset,
        a & ((1::bigint << 7) - 1) as below_7,
        (xor(a, b) & -xor(a, b)) & b <> 0 as lectic_less,
        (a & 63) = (b & 63) and (b >> 6) & 1 = 1 and (a >> 6) & 1 = 0 as lectic_less_at_6,
        lpad(upper(format('{:x}', a)), 16, '0') as hex
-from two where b is not null""")
+from two""")
 def set_algebra(spark, d):
-    """Every set operation on consecutive distinct rows."""
-    rows = context_of(spark, d, "docs").rows
-    # the distinct rows are few by construction (at most the tag combinations)
-    two = rows.select(
-        F.col("m0").alias("a"), F.lead("m0").over(Window.orderBy("n", "m0")).alias("b")
-    ).where("b is not null")
+    """Every set operation on the rows of consecutive documents."""
+    objects = context_of(spark, d, "docs").objects
+    after = objects.select((F.col("obj_id") - 1).alias("obj_id"), F.col("m0").alias("b"))
+    two = objects.select("obj_id", F.col("m0").alias("a")).join(after, "obj_id").select("a", "b").distinct()
     a, b = [F.col("a")], [F.col("b")]
     return two.select(
         "a", "b",
@@ -357,7 +355,7 @@ def full_extents(spark, d):
 def _dot_nodes(labels: str) -> Query:
     def run(spark, d):
         lines = dot.dot_lines(lattice_of(spark, d, "nation"), labels)
-        return lines.where("section = 1").select("id", "line")
+        return lines.where("section = 1").select(F.col("number").alias("id"), "line")
 
     return run
 
@@ -383,7 +381,7 @@ select row_number() over (order by s, id, id2) - 1 as at, line from txt""")
 def dot_lines(spark, d):
     """The whole DOT text, one numbered row per line."""
     lines = Scratch(spark, "text").save(dot.dot_lines(lattice_of(spark, d, "nation")), "lines")
-    return number_rows(lines, ["section", "id", "id2", "part", "obj_id"], "at").select("at", "line")
+    return number_rows(lines, list(dot.SORT), "at").select("at", "line")
 
 
 # -- graphs -------------------------------------------------------------------------------

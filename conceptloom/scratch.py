@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -39,5 +41,17 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Remove a table of this run that nothing reads any more."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def read(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+
+def side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """One-row tables as one row, without a join."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.agg(*[F.max(c).alias(c) for c in every.columns])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptloom.functions.text import escape_label, sort_caseless
 from conceptloom.operators import labels as L
-from conceptloom.operators.graph import Graph, GraphError
+from conceptloom.operators.graph import FullLabels, Graph, GraphError
 from conceptloom.operators.lattice import Lattice
 from conceptloom.scratch import Scratch
 
@@ -17,9 +19,6 @@ WRAP = 10_000
 # Up to this many lines a graph is written as one file.
 ONE_FILE = 1_000_000
 
-HEADER = "digraph G { \n\trankdir=BT;"
-FOOTER = "}"
-
 # -- writing -------------------------------------------------------------------
 
 
@@ -41,12 +40,59 @@ def node_head(id_: Column, color: Column) -> Column:
     return F.concat(id_.cast("string"), F.lit(" [shape=record,style=filled"), fill, F.lit(',label="'))
 
 
+# Rows of DOT text: sorted by all columns but ``line`` they are the file.  Nodes
+# and edges sort by number, then by text for names that are no numbers.
+SORT = ("section", "number", "text", "number2", "text2", "part", "seq", "seq2")
+
+
+def _rows(df: DataFrame, section: int, line: Column, part: int = 0, **sort: Column) -> DataFrame:
+    types = {"number": "bigint", "number2": "bigint", "text": "string", "text2": "string", "seq2": "string"}
+    seq = sort.get("seq", F.lit(None))
+    named = {c: sort.get(c, F.lit(None)).cast(t) for c, t in types.items()}
+    named |= {"section": F.lit(section), "part": F.lit(part), "seq": seq}
+    return df.select(*[named[c].alias(c) for c in SORT], line.alias("line"))
+
+
+def _frame(spark: SparkSession, name: str = "G") -> list[DataFrame]:
+    one = spark.range(1)
+    return [_rows(one, 0, F.lit(f"digraph {name} {{ \n\trankdir=BT;")), _rows(one, 3, F.lit("}"))]
+
+
+def _node_rows(nodes: DataFrame, items: DataFrame, sort: dict[str, Column], wrap: int) -> list[DataFrame]:
+    """Node lines.  ``nodes``: ``id``, ``color``, ``n_i``, ``n_e``, ``shown`` (array of
+    attributes), ``n_shown`` (number of objects).  ``items``: ``id``, ``seq``,
+    ``seq2``, ``name``; a node of more than ``wrap`` items gets one row for each."""
+    id_ = F.col("id")
+    short, long = nodes.where(F.col("n_shown") <= wrap), nodes.where(F.col("n_shown") > wrap)
+    listed = (
+        items.join(short.select("id"), "id", "left_semi").groupBy("id")  # at most `wrap` items each
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "seq2", "name"))).alias("o"))
+        .select("id", F.col("o.name").alias("objs"))
+    )
+    objs = F.coalesce("objs", F.array().cast("array<string>"))
+    label = label_text(id_, F.col("n_i"), F.col("n_e"), F.col("shown"), objs)
+    head = node_head(id_, F.col("color"))
+    out = [_rows(short.join(listed, "id", "left"), 1, F.concat(head, label, F.lit('"];')), **sort)]
+    if long.limit(1).count():
+        start = F.concat(
+            head, F.format_string("{%s (I: %d, E: %d)|", id_.cast("string"), F.col("n_i"), F.col("n_e")),
+            _lines(F.col("shown")), F.lit("|\\"),
+        )
+        each = items.join(long.select("id"), "id", "left_semi")
+        line = F.concat(escape_label(F.col("name")), F.lit("\\n\\"))
+        out += [
+            _rows(long, 1, start, **sort),
+            _rows(each, 1, line, 1, **sort, seq=F.col("seq"), seq2=F.col("seq2")),
+            _rows(long, 1, F.lit('}"];'), 2, **sort),
+        ]
+    return out
+
+
 def dot_lines(
     lattice: Lattice, labels: str = "reduced", order: str = "intent", color_by: str = "own",
     wrap: int = WRAP,
 ) -> DataFrame:
-    """The DOT text as rows ``section``, ``id``, ``id2``, ``part``, ``obj_id``,
-    ``line``; sorted by all but ``line`` they are the file."""
+    """The DOT text of a lattice as rows, concepts numbered in ``order``."""
     if labels not in ("reduced", "full"):
         raise ValueError(f"unknown labels {labels!r}")
     context = lattice.context
@@ -54,94 +100,43 @@ def dot_lines(
     ids = scratch.save(lattice.with_ids(order), "ids")
     nodes = scratch.save(L.labelled_concepts(lattice, ids, color_by), "labelled")
     if labels == "full":
-        nodes = nodes.withColumn("shown_attrs", lattice.intent_names()).withColumn("n_shown", F.col("n_extent"))
-        items = L.extents(lattice, ids)
+        shown, n_shown, items = lattice.intent_names(), F.col("n_extent"), L.extents(lattice, ids)
     else:
-        nodes = nodes.withColumn("shown_attrs", F.col("own_attrs")).withColumn("n_shown", F.col("n_own"))
-        items = L.own_objects(lattice).join(ids.select(*lattice.intent(), "id"), [f"i{i}" for i in range(lattice.k)])
-        items = items.select("id", "obj_id", "name")
-    key = context.objects.schema["obj_id"].dataType
-    none = F.lit(None).cast(key).alias("obj_id")
-
-    def rows(df, section, id_, id2, part, obj_id, line):
-        return df.select(
-            F.lit(section).alias("section"), id_.cast("bigint").alias("id"), id2.cast("bigint").alias("id2"),
-            F.lit(part).alias("part"), obj_id, line.alias("line"),
-        )
-
-    zero = F.lit(0)
-    short = nodes.where(F.col("n_shown") <= wrap)
-    listed = (
-        items.join(short.select("id"), "id", "left_semi").groupBy("id")  # at most `wrap` items each
-        .agg(F.array_sort(F.collect_list(F.struct("obj_id", "name"))).alias("o"))
-        .select("id", F.col("o.name").alias("objs"))
+        shown, n_shown = F.col("own_attrs"), F.col("n_own")
+        keys = [f"i{i}" for i in range(lattice.k)]
+        items = L.own_objects(lattice).join(ids.select(*keys, "id"), keys)
+    nodes = nodes.select(
+        "id", "color", F.col("n_intent").alias("n_i"), F.col("n_extent").alias("n_e"),
+        shown.alias("shown"), n_shown.alias("n_shown"),
     )
-    objs = F.coalesce("objs", F.array().cast("array<string>"))
-    label = label_text(F.col("id"), F.col("n_intent"), F.col("n_extent"), F.col("shown_attrs"), objs)
-    out = rows(
-        short.join(listed, "id", "left"), 1, F.col("id"), zero, 0, none,
-        F.concat(node_head(F.col("id"), F.col("color")), label, F.lit('"];')),
+    items = items.select("id", F.col("obj_id").alias("seq"), F.lit("").alias("seq2"), "name")
+    edges = _rows(
+        lattice.cover_ids(ids), 2, F.concat(F.lit("\t"), F.col("child_id"), F.lit(" -> "), F.col("parent_id")),
+        number=F.col("child_id"), number2=F.col("parent_id"),
     )
-    long = nodes.where(F.col("n_shown") > wrap)
-    if long.limit(1).count():
-        start = F.concat(
-            node_head(F.col("id"), F.col("color")),
-            F.format_string("{%s (I: %d, E: %d)|", F.col("id").cast("string"), F.col("n_intent"), F.col("n_extent")),
-            _lines(F.col("shown_attrs")), F.lit("|\\"),
-        )
-        out = out.unionByName(rows(long, 1, F.col("id"), zero, 0, none, start))
-        each = items.join(long.select("id"), "id", "left_semi")
-        out = out.unionByName(rows(
-            each, 1, F.col("id"), zero, 1, F.col("obj_id"), F.concat(escape_label(F.col("name")), F.lit("\\n\\"))
-        ))
-        out = out.unionByName(rows(long, 1, F.col("id"), zero, 2, none, F.lit('}"];')))
-    edges = lattice.cover_ids(ids)
-    out = out.unionByName(rows(
-        edges, 2, F.col("child_id"), F.col("parent_id"), 0, none,
-        F.concat(F.lit("\t"), F.col("child_id"), F.lit(" -> "), F.col("parent_id")),
-    ))
-    return out.unionByName(_frame(context.spark, key))
-
-
-def _frame(spark: SparkSession, key) -> DataFrame:
-    ends = spark.createDataFrame(
-        [(0, HEADER), (3, FOOTER)], "section int, line string"
-    )
-    zero = F.lit(0).cast("bigint")
-    return ends.select(
-        "section", zero.alias("id"), zero.alias("id2"), F.lit(0).alias("part"),
-        F.lit(None).cast(key).alias("obj_id"), "line",
-    )
-
-
-def graph_lines(graph: Graph, name: str = "G") -> DataFrame:
-    """Rows of DOT text for a graph with full labels; nodes in numeric then text
-    order, items in case-blind order."""
-    number = F.col("id").try_cast("bigint")
-    color = F.col("color")
-    attrs, objs = sort_caseless(F.col("attrs")), sort_caseless(F.col("objs"))
-    label = label_text(F.col("id"), F.size(attrs), F.size(objs), attrs, objs)
-    spark = graph.nodes.sparkSession
-    head = spark.createDataFrame([(0, f"digraph {name} {{ \n\trankdir=BT;"), (3, FOOTER)], "section int, line string")
-    nil = F.lit(None)
-
-    def rows(df, section, a, b, c, line):
-        return df.select(
-            section.alias("section"), a.cast("bigint").alias("number"), b.cast("string").alias("text"),
-            c.cast("string").alias("text2"), line.alias("line"),
-        )
-
-    nodes = rows(
-        graph.nodes, F.lit(1), F.coalesce(number, F.lit((1 << 62))), F.col("id"), nil,
-        F.concat(node_head(F.col("id"), color), label, F.lit('"];')),
+    parts = [*_node_rows(nodes, items, {"number": F.col("id")}, wrap), edges, *_frame(context.spark)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def expanded_lines(full: FullLabels, name: str = "G", wrap: int = WRAP) -> DataFrame:
+    """The DOT text of an expanded graph as rows: nodes in numeric then text order,
+    items in case-blind order."""
+    spark = full.graph.nodes.sparkSession
+    names = full.intents.groupBy("id").agg(F.collect_list("item").alias("a"))  # attributes: bounded
+    nodes = full.graph.nodes.join(names, "id", "left").select(
+        "id", "color", F.col("n_intent").alias("n_i"), F.col("n_extent").alias("n_e"),
+        F.coalesce(sort_caseless(F.col("a")), F.array().cast("array<string>")).alias("shown"),
+        F.col("n_extent").alias("n_shown"),
     )
-    src = F.coalesce(F.col("src").try_cast("bigint"), F.lit(1 << 62))
-    dst = F.lpad("dst", 20, " ")
-    edges = rows(
-        graph.edges.distinct(), F.lit(2), src, F.col("src"), dst,
-        F.concat(F.lit("\t"), F.col("src"), F.lit(" -> "), F.col("dst")),
+    items = full.extents.select("id", F.lower("item").alias("seq"), F.col("item").alias("seq2"), F.col("item").alias("name"))
+    number = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.lit((1 << 63) - 1))
+    edges = _rows(
+        full.graph.edges.distinct(), 2, F.concat(F.lit("\t"), F.col("src"), F.lit(" -> "), F.col("dst")),
+        number=number("src"), text=F.col("src"), number2=number("dst"), text2=F.col("dst"),
     )
-    return rows(head, F.col("section"), F.lit(0), nil, nil, F.col("line")).unionByName(nodes).unionByName(edges)
+    sort = {"number": number("id"), "text": F.col("id")}
+    parts = [*_node_rows(nodes, items, sort, wrap), edges, *_frame(spark, name)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_dot(lines: DataFrame, path: str) -> int:
@@ -154,8 +149,7 @@ def write_dot(lines: DataFrame, path: str) -> int:
     n = saved.count()
     if not n:
         raise GraphError("nothing to write")
-    keys = [c for c in saved.columns if c != "line"]
-    ordered = saved.repartition(1).sortWithinPartitions(*keys) if n <= ONE_FILE else saved.orderBy(*keys)
+    ordered = saved.repartition(1).sortWithinPartitions(*SORT) if n <= ONE_FILE else saved.orderBy(*SORT)
     ordered.select("line").write.mode("errorifexists").text(path)
     return n
 

@@ -112,10 +112,15 @@ def test_reduced_expands_to_full(spark, tmp_path):
     assert expanded.orientation == G.SPECIFIC_TO_GENERAL
     built = G.full_graph(expanded)
     assert C.compare_graphs(built, full).summary().first().equivalent
-    # written from the graph, read as free text
-    dot.write_dot(dot.graph_lines(built), str(tmp_path / "again"))
-    again = dot.read_dot(spark, str(tmp_path / "again"), statements=True)
-    assert C.compare_graphs(again, full).summary().first().equivalent
+    # written from the expansion, long labels wrapped or not, and read back
+    for wrap in (2, 1000):
+        path = str(tmp_path / f"again{wrap}")
+        dot.write_dot(dot.expanded_lines(expanded, wrap=wrap), path)
+        again = dot.read_dot(spark, path, statements=wrap == 2)
+        assert C.compare_graphs(again, full).summary().first().equivalent
+    assert "|arctic-tern\\nbat\\ngiant-otter\\n" in text_of(tmp_path / "again1000")
+    with pytest.raises(G.GraphError):
+        G.full_graph(expanded, max_items=3)
     # edges turned round
     turned = G.Graph(reduced.nodes, reduced.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     back = G.expand(turned)
