@@ -11,22 +11,29 @@ from pyspark.sql.utils import AnalysisException
 
 STAGES = ("execution", "normalize", "compare", "report")
 
-ALGORITHM = T._parse_datatype_string(
-    "id string, label string, csv_path_template string, command_template string, "
-    "dot_glob_template string, timeout_seconds bigint"
+_KINDS = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
+    "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType()),
+}
+
+
+def _record(**kinds: str) -> T.StructType:
+    """A record type from field names by kind: ``string="a b", int="c"``."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for k, names in kinds.items() for n in names.split()])
+
+
+ALGORITHM = _record(
+    string="id label csv_path_template command_template dot_glob_template", bigint="timeout_seconds"
 )
-DATASET = T._parse_datatype_string("id string, label string, tags array<string>")
-RUN = T._parse_datatype_string(
-    "selected_algorithms array<string>, selected_datasets array<string>, stages array<string>, "
-    "timeout_seconds bigint, continue_on_error boolean"
+DATASET = _record(string="id label", strings="tags")
+RUN = _record(
+    strings="selected_algorithms selected_datasets stages", bigint="timeout_seconds", boolean="continue_on_error"
 )
-EXECUTION = T._parse_datatype_string(
-    "algorithm_id string, dataset_id string, command array<string>, status string, returncode int, "
-    "timed_out boolean, elapsed_seconds double, started_at string, finished_at string, peak_rss_bytes bigint, "
-    "peak_disk_bytes bigint, peak_written_live_bytes bigint, peak_io_read_bytes bigint, "
-    "peak_io_write_bytes bigint, peak_io_rchar_bytes bigint, peak_io_wchar_bytes bigint, "
-    "total_written_bytes bigint, monitor_sample_count bigint, raw_dot_source string, raw_dot_copy string, "
-    "stdout_log string"
+EXECUTION = _record(
+    string="algorithm_id dataset_id status started_at finished_at raw_dot_source raw_dot_copy stdout_log",
+    strings="command", int="returncode", boolean="timed_out", double="elapsed_seconds",
+    bigint="peak_rss_bytes peak_disk_bytes peak_written_live_bytes peak_io_read_bytes peak_io_write_bytes "
+           "peak_io_rchar_bytes peak_io_wchar_bytes total_written_bytes monitor_sample_count",
 )
 
 

@@ -16,6 +16,8 @@ from conceptloom.scratch import Scratch
 # Nodes with more objects than this are written one object per line, with DOT's
 # backslash continuation, so that no label is ever put together in one row.
 WRAP = 10_000
+# Files up to this many bytes may be read as one text; larger ones line by line.
+WHOLE_FILE = 64 << 20
 # Up to this many lines a graph is written as one file.
 ONE_FILE = 1_000_000
 
