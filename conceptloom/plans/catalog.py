@@ -504,20 +504,24 @@ def compare_correspondence(spark, d):
 
 
 def _produced(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Graphs of two contexts by three producers; one loses the edges into the top
-    of ``cust_prio``."""
+    """Graphs of two contexts by three producers: both enumerations, and a broken one
+    that loses the edges into the top of ``cust_prio``."""
     nodes, edges = [], []
     for source in ("nation", "cust_prio"):
         context = context_of(spark, d, source).saved()
-        for producer in ("join", "subtree", "broken"):
-            method = "join" if producer == "join" else "subtree"
+
+        def keep(producer, graph, source=source):
+            tag = [F.lit(source).alias("dataset"), F.lit(producer).alias("producer")]
+            nodes.append(graph.nodes.select(*tag, "*"))
+            edges.append(graph.edges.select(*tag, "*"))
+
+        for method in ("join", "subtree"):
             path = f"{Scratch(spark, 'graph').path}/dot"
             dot.write_dot(dot.dot_lines(build_lattice(context, method), "full"), path)
             graph = dot.read_dot(spark, path)
-            cut = producer == "broken" and source == "cust_prio"
-            tag = [F.lit(source).alias("dataset"), F.lit(producer).alias("producer")]
-            nodes.append(graph.nodes.select(*tag, "*"))
-            edges.append((graph.edges.where("dst <> '0'") if cut else graph.edges).select(*tag, "*"))
+            keep(method, graph)
+        cut = graph.edges.where("dst <> '0'") if source == "cust_prio" else graph.edges
+        keep("broken", G.Graph(graph.nodes, cut))
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
 

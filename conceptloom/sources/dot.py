@@ -66,8 +66,10 @@ def _node_rows(nodes: DataFrame, items: DataFrame, sort: dict[str, Column], wrap
     ``seq2``, ``name``; a node of more than ``wrap`` items gets one row for each."""
     id_ = F.col("id")
     short, long = nodes.where(F.col("n_shown") <= wrap), nodes.where(F.col("n_shown") > wrap)
+    wrapped = bool(long.limit(1).count())
     listed = (
-        items.join(short.select("id"), "id", "left_semi").groupBy("id")  # at most `wrap` items each
+        (items.join(long.select("id"), "id", "left_anti") if wrapped else items)
+        .groupBy("id")  # at most `wrap` items each
         .agg(F.array_sort(F.collect_list(F.struct("seq", "seq2", "name"))).alias("o"))
         .select("id", F.col("o.name").alias("objs"))
     )
@@ -75,7 +77,7 @@ def _node_rows(nodes: DataFrame, items: DataFrame, sort: dict[str, Column], wrap
     label = label_text(id_, F.col("n_i"), F.col("n_e"), F.col("shown"), objs)
     head = node_head(id_, F.col("color"))
     out = [_rows(short.join(listed, "id", "left"), 1, F.concat(head, label, F.lit('"];')), **sort)]
-    if long.limit(1).count():
+    if wrapped:
         start = F.concat(
             head, F.format_string("{%s (I: %d, E: %d)|", id_.cast("string"), F.col("n_i"), F.col("n_e")),
             _lines(F.col("shown")), F.lit("|\\"),
