@@ -22,6 +22,7 @@ Two ways to run it, same result:
 
 from __future__ import annotations
 
+import logging
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import replace
@@ -48,6 +49,9 @@ SHARE = 20_000  # concepts walked by one task before it hands its frontier back
 BROADCAST_BYTES = 32 << 20
 
 
+log = logging.getLogger("conceptloom")
+
+
 class LatticeTooLarge(ValueError):
     """The lattice has more concepts than the caller allowed."""
 
@@ -111,6 +115,7 @@ class _Guard:
 
     def add(self, n: int) -> None:
         self.count += n
+        log.info("%d concepts so far, %d new", self.count, n)
         if self.limit is not None and self.count > self.limit:
             raise LatticeTooLarge(f"more than {self.limit} concepts")
 

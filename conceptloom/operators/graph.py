@@ -22,7 +22,8 @@ class GraphError(ValueError):
 @dataclass(frozen=True)
 class Graph:
     """``nodes``: ``id``, ``label_id``, ``n_intent``, ``n_extent``, ``attrs``,
-    ``objs`` (arrays), ``color``.  ``edges``: ``src``, ``dst``."""
+    ``objs`` (arrays), ``color`` and, if read from a file, ``options``, the other
+    node attributes as a map.  ``edges``: ``src``, ``dst``."""
 
     nodes: DataFrame
     edges: DataFrame

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,10 +91,29 @@ class Lattice:
             .select("child_id", "parent_id")
         )
 
+    def memberships(self, ids: DataFrame) -> DataFrame:
+        """Long form of the intents: ``id``, ``attr_id``."""
+        n = self.context.n_attributes
+        return ids.select("id", *self.intent(), M.each_attribute(n).alias("attr_id")).where(
+            M.contains(self.intent(), F.col("attr_id"))
+        ).select("id", "attr_id")
+
+    def having(self, ids: DataFrame, attributes) -> DataFrame:
+        """Concepts whose intent has all named attributes, by relational division."""
+        wanted = [j for j, a in enumerate(self.context.attributes) if a in set(attributes)]
+        found = (
+            self.memberships(ids).where(F.col("attr_id").isin(wanted)).groupBy("id")
+            .agg(F.count_distinct("attr_id").alias("n")).where(F.col("n") == len(wanted))
+        )
+        return ids.join(found.select("id"), "id", "left_semi")
+
+    def write_edges(self, ids: DataFrame, path: str) -> None:
+        """Cover edges as JSON lines ``{"src", "dst"}``, specific to general."""
+        edges = self.cover_ids(ids).select(F.col("child_id").alias("src"), F.col("parent_id").alias("dst"))
+        edges.write.mode("errorifexists").json(path)
+
     def level_histogram(self) -> DataFrame:
         """Concepts and cumulated concepts per intent size."""
-        from pyspark.sql import Window
-
         levels = self.concepts().groupBy("n_intent").agg(F.count(F.lit(1)).alias("n_concepts"))
         upto = Window.orderBy("n_intent").rowsBetween(Window.unboundedPreceding, 0)
         return levels.withColumn("n_upto", F.sum("n_concepts").over(upto))

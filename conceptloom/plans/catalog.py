@@ -292,6 +292,25 @@ def level_histogram(spark, d):
     return lattice_of(spark, d, "supplier_brand").level_histogram()
 
 
+@register("concept_superset_search", Q.base("docs") + """
+select i intent_mask, n_extent from ext where (select count(*) from att where m in ('lang:en', 'quality:1') and (i >> j::int) & 1 = 1) = 2""")
+def concept_superset_search(spark, d):
+    """Concepts whose intent contains the given attributes, by relational division."""
+    lattice = lattice_of(spark, d, "docs")
+    found = lattice.having(lattice.with_ids(), ["lang:en", "quality:1"])
+    return found.select(F.col("i0").alias("intent_mask"), "n_extent")
+
+
+@register("edge_json_round_trip", Q.base("docs") + Q.COVERS + Q.IDS + """
+select a.id src, b.id dst from cov join num a on a.i = child join num b on b.i = parent""")
+def edge_json_round_trip(spark, d):
+    """Cover edges written as JSON lines and read back."""
+    lattice = lattice_of(spark, d, "docs")
+    path = f"{Scratch(spark, 'edges').path}/edges"
+    lattice.write_edges(lattice.with_ids(), path)
+    return spark.read.schema("src bigint, dst bigint").json(path)
+
+
 @register("lattice_checks", "select 0::bigint repeated, 0::bigint not_closed, 0::bigint wrong_extent, 0::bigint wrong_direction, 0::bigint extra_tops")
 def lattice_checks(spark, d):
     """Closedness, extents, uniqueness and direction checked by other operators."""

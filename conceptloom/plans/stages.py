@@ -312,5 +312,20 @@ def compiled_text(spark: SparkSession, pattern: str, title: str, first: str = ""
     if not rows:
         raise FileNotFoundError(f"no report matches {pattern}")
     out = [f"# Compilation pipeline - {title}", "", f"Généré le: {now_iso()}", f"Rapports compilés: {len(rows)}", "",
-           "## Vue synthétique", "", reports.markdown_table(rows, list(rows[0]))]
-    return "\n".join(out) + "\n"
+           "## Vue synthétique", "", reports.markdown_table(rows, list(rows[0])), "", "## Détails par dataset", ""]
+    details: dict[str, dict[str, list[dict]]] = {}
+    for r in reports.read_tables(spark, pattern).orderBy("path", "section", "at").collect():  # rows of short reports
+        details.setdefault(r.cells.get("Dataset", ""), {}).setdefault(r.section, []).append(r.cells)
+    about = {
+        t.path: t.generated_at for t in reports.read_titles(spark, pattern).collect()
+    }
+    out += [f"- Source: {p} ({at})" for p, at in sorted(about.items())] + [""]
+    for row in rows:
+        out += [f"### {row['Dataset']}", ""]
+        for heading, key, titles in (
+            ("Execution", "execution", reports.EXECUTION_TITLES), ("Normalize", "normalize", reports.NORMALIZE_TITLES),
+            ("Compare", "compare", reports.COMPARE_TITLES),
+        ):
+            found = details.get(row["Dataset"], {}).get(reports.SECTIONS[key], [])
+            out += [f"#### {heading}", "", reports.markdown_table(found, list(titles.values())), ""]
+    return "\n".join(out).rstrip() + "\n"

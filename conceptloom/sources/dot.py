@@ -37,9 +37,18 @@ def _lines(items: Column) -> Column:
     return F.array_join(ended, "")
 
 
-def node_head(id_: Column, color: Column) -> Column:
+STYLE = "shape=record,style=filled"
+
+
+def node_head(id_: Column, color: Column, style: Column | None = None) -> Column:
     fill = F.coalesce(F.concat(F.lit(",fillcolor="), color), F.lit(""))
-    return F.concat(id_.cast("string"), F.lit(" [shape=record,style=filled"), fill, F.lit(',label="'))
+    style = F.lit(STYLE) if style is None else F.coalesce(F.nullif(style, F.lit("")), F.lit(STYLE))
+    return F.concat(_identifier(id_.cast("string")), F.lit(" ["), style, fill, F.lit(',label="'))
+
+
+def _identifier(c: Column) -> Column:
+    """Quoted unless it is a plain name or number."""
+    return F.when(c.rlike(r"^[A-Za-z0-9_.\-]+$"), c).otherwise(F.concat(F.lit('"'), escape_label(c), F.lit('"')))
 
 
 # Rows of DOT text: sorted by all columns but ``line`` they are the file.  Nodes
@@ -74,12 +83,13 @@ def _node_rows(nodes: DataFrame, items: DataFrame, sort: dict[str, Column], wrap
         .select("id", F.col("o.name").alias("objs"))
     )
     objs = F.coalesce("objs", F.array().cast("array<string>"))
-    label = label_text(id_, F.col("n_i"), F.col("n_e"), F.col("shown"), objs)
-    head = node_head(id_, F.col("color"))
+    shown_id = escape_label(id_.cast("string"))
+    label = label_text(shown_id, F.col("n_i"), F.col("n_e"), F.col("shown"), objs)
+    head = node_head(id_, F.col("color"), F.col("style") if "style" in nodes.columns else None)
     out = [_rows(short.join(listed, "id", "left"), 1, F.concat(head, label, F.lit('"];')), **sort)]
     if wrapped:
         start = F.concat(
-            head, F.format_string("{%s (I: %d, E: %d)|", id_.cast("string"), F.col("n_i"), F.col("n_e")),
+            head, F.format_string("{%s (I: %d, E: %d)|", shown_id, F.col("n_i"), F.col("n_e")),
             _lines(F.col("shown")), F.lit("|\\"),
         )
         each = items.join(long.select("id"), "id", "left_semi")
@@ -126,16 +136,20 @@ def expanded_lines(full: FullLabels, name: str = "G", wrap: int = WRAP) -> DataF
     """The DOT text of an expanded graph as rows: nodes in numeric then text order,
     items in case-blind order."""
     spark = full.graph.nodes.sparkSession
+    style = F.lit(STYLE)
+    if "options" in full.graph.nodes.columns:
+        option = lambda e: F.concat(e["key"], F.lit("="), _identifier(e["value"]))
+        style = F.array_join(F.transform(F.map_entries("options"), option), ",")
     names = full.intents.groupBy("id").agg(F.collect_list("item").alias("a"))  # attributes: bounded
     nodes = full.graph.nodes.join(names, "id", "left").select(
         "id", "color", F.col("n_intent").alias("n_i"), F.col("n_extent").alias("n_e"),
         F.coalesce(sort_caseless(F.col("a")), F.array().cast("array<string>")).alias("shown"),
-        F.col("n_extent").alias("n_shown"),
+        F.col("n_extent").alias("n_shown"), style.alias("style"),
     )
     items = full.extents.select("id", F.lower("item").alias("seq"), F.col("item").alias("seq2"), F.col("item").alias("name"))
     number = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.lit((1 << 63) - 1))
     edges = _rows(
-        full.graph.edges.distinct(), 2, F.concat(F.lit("\t"), F.col("src"), F.lit(" -> "), F.col("dst")),
+        full.graph.edges.distinct(), 2, F.concat(F.lit("\t"), _identifier(F.col("src")), F.lit(" -> "), _identifier(F.col("dst"))),
         number=number("src"), text=F.col("src"), number2=number("dst"), text2=F.col("dst"),
     )
     sort = {"number": number("id"), "text": F.col("id")}
@@ -244,7 +258,7 @@ def _nodes(lines: DataFrame) -> DataFrame:
     found = lines.select(
         _plain(F.regexp_extract("value", _NODE, 1)).alias("id"),
         _swap(F.regexp_extract(block, _LABEL, 1), _back(_QUOTED)).alias("label"),
-        F.nullif(F.regexp_extract(block, r'fillcolor\s*=\s*"?([A-Za-z0-9#]+)"?', 1), F.lit("")).alias("color"),
+        _options(block).alias("options"),
     ).where((F.col("id") != "") & F.col("label").contains("(I:"))
     text = F.regexp_replace(F.trim("label"), r"\\[nl]|\r\n?", "\n")
     text = F.when(
@@ -255,15 +269,27 @@ def _nodes(lines: DataFrame) -> DataFrame:
     cut = cut.withColumn("head", F.when(F.size("f") == 3, F.col("f")[0]).otherwise(bad.cast("string")))
     return cut.select(
         "id",
-        F.regexp_extract("head", _COUNTS, 1).alias("label_id"),
+        _swap(F.regexp_extract("head", _COUNTS, 1), [(m, e[1]) for e, m in _ASIDE]).alias("label_id"),
         F.regexp_extract("head", _COUNTS, 2).try_cast("bigint").alias("n_intent"),
         F.regexp_extract("head", _COUNTS, 3).try_cast("bigint").alias("n_extent"),
         _items(F.col("f")[1]).alias("attrs"),
         _items(F.col("f")[2]).alias("objs"),
-        "color",
+        F.col("options").getItem("fillcolor").alias("color"),
+        F.map_filter("options", lambda k, v: k != "fillcolor").alias("options"),
     )
 
 
+def _options(block: Column) -> Column:
+    """The attributes of a node but for its label, as a map."""
+    pair = r'([A-Za-z_]+)\s*=\s*("[^"]*"|[^,\s"]+)'
+    keys = F.regexp_extract_all(block, F.lit(pair), F.lit(1))
+    values = F.transform(F.regexp_extract_all(block, F.lit(pair), F.lit(2)), _plain)
+    entries = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: e["k"] != "label")
+    # the first of two equal keys counts
+    first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["k"]), e["k"]) == i + 1)
+    return F.map_from_entries(first)
+
+
 def _items(field: Column) -> Column:
     marks = [(mark, escaped[1]) for escaped, mark in _ASIDE]
     cut = F.transform(F.split(field, "\n"), lambda s: _swap(F.trim(s), marks))

@@ -121,6 +121,11 @@ def test_reduced_expands_to_full(spark, tmp_path):
     assert "|arctic-tern\\nbat\\ngiant-otter\\n" in text_of(tmp_path / "again1000")
     with pytest.raises(G.GraphError):
         G.full_graph(expanded, max_items=3)
+    lattice.write_edges(lattice.with_ids(), str(tmp_path / "edges"))
+    assert spark.read.json(str(tmp_path / "edges")).count() == ANIMALS_SIZE[1]
+    names = {r.name for r in lattice.having(lattice.with_ids(), ["flies", "feathered"]).select(
+        F.element_at(lattice.intent_names(), -1).alias("name")).collect()}
+    assert lattice.having(lattice.with_ids(), ["flies", "feathered"]).count() == 7 and "feathered" in names
     # edges turned round
     turned = G.Graph(reduced.nodes, reduced.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     back = G.expand(turned)
@@ -129,6 +134,24 @@ def test_reduced_expands_to_full(spark, tmp_path):
     assert sorted(map(tuple, back.intents.collect())) == sorted(map(tuple, expanded.intents.collect()))
 
 
+def test_node_options_and_odd_ids_survive(spark, tmp_path):
+    text = """digraph G {
+    "n;1" [shape=box,color="dark red",label="{n;1 (I: 0, E: 2)|||}"];
+    }""".replace("|||", "||p\\nq\\n")
+    graph = dot.read_dot(spark, write(tmp_path, text, "o.dot"))
+    dot.write_dot(dot.expanded_lines(G.expand(graph)), str(tmp_path / "o"))
+    again = dot.read_dot(spark, str(tmp_path / "o")).nodes.first()
+    assert (again.id, again.label_id) == ("n;1", "n;1")
+    assert again.options == {"shape": "box", "color": "dark red"} and again.objs == ["p", "q"]
+
+
+def test_graph_without_nodes(spark, tmp_path):
+    lattice = build_lattice(make_context(spark, [1], 1))
+    none = type(lattice)(lattice.context, lattice.nodes.where("false"), 0)
+    assert dot.write_dot(dot.dot_lines(none), str(tmp_path / "e")) == 2
+    assert text_of(tmp_path / "e") == "digraph G { \n\trankdir=BT;\n}\n"
+
+
 def test_wrapped_labels_and_odd_names(spark, tmp_path):
     context = make_context(spark, [1, 3, 3, 2, 0, 1], 2)
     names = ['a|b', 'c"d', "e\\", "{f}", "<g; h>", "plain, x"]
@@ -159,6 +182,7 @@ def test_free_layout(spark, tmp_path):
     graph = dot.read_dot(spark, write(tmp_path, text, "f.dot"), statements=True, loose_breaks=True)
     rows = {r.id: r for r in graph.nodes.collect()}
     assert set(rows) == {"n;1", "2"} and rows["n;1"].color == "orange"
+    assert rows["n;1"].options == {"shape": "record"} and rows["2"].color is None
     assert rows["n;1"].attrs == ["a", "b"] and rows["n;1"].objs == ["o; [1]", "p"]
     assert [tuple(e) for e in graph.edges.collect()] == [("n;1", "2")]
 
