@@ -45,10 +45,14 @@ class Context:
 
     def saved(self) -> "Context":
         """The context with its objects and rows written once, for several uses."""
-        scratch = Scratch(self.spark, "context")
-        objects = scratch.save(self.objects, "objects")
-        once = Context(objects, self.attributes)
-        return replace(once, stored_rows=scratch.save(once.rows, "rows"))
+        objects = Scratch(self.spark, "context").save(self.objects, "objects")
+        return Context(objects, self.attributes).with_rows()
+
+    def with_rows(self) -> "Context":
+        """The context with its distinct rows written once."""
+        if self.stored_rows is not None:
+            return self
+        return replace(self, stored_rows=Scratch(self.spark, "rows").save(self.rows, "rows"))
 
     def words(self, prefix: str = "m"):
         return M.cols(prefix, self.k)

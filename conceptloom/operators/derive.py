@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from conceptloom.functions import masks as M
 from conceptloom.operators.context import Context
+from conceptloom.operators.joins import spread_join
+from conceptloom.scratch import Scratch
 
 
 def objects_having(context: Context, attributes) -> DataFrame:
@@ -42,16 +44,17 @@ def closure(context: Context, attributes) -> DataFrame:
     )
 
 
-def rows_containing(context: Context, queries: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+def rows_containing(context: Context, queries: DataFrame) -> DataFrame:
     """All pairs (query, distinct row) with the query's set inside the row.
 
     ``queries`` has the distinct sets ``q*``; the result adds ``m*`` and ``n``.
     A containment join as an equi-join: every set is looked up under its rarest
     attribute only, so a row meets just the queries that pivot on one of its
-    attributes.  Heavy pivots are split by the adaptive skew join.
+    attributes.  The queries of one pivot are spread over many tasks.
     """
     k, n = context.k, context.n_attributes
-    rows = context.rows if rows is None else rows
+    context = context.with_rows()
+    rows = context.rows
     q, m = M.cols("q", k), M.cols("m", k)
     nothing = M.equal(q, M.literal(0, k))
     counts = [r.n_objects for r in context.support().orderBy("attr_id").collect()]  # |M| rows
@@ -63,7 +66,8 @@ def rows_containing(context: Context, queries: DataFrame, rows: DataFrame | None
     entries = rows.select(*M.names("m", k), "n", M.each_attribute(n).alias("pivot")).where(
         M.contains(m, F.col("pivot"))
     )
-    hits = keyed.join(entries, "pivot").where(M.is_subset(q, m))
+    keyed = keyed.repartition(*M.names("q", k))
+    hits = spread_join(keyed, entries, ["pivot"], q, rows.count() * n, 8 * k + 12).where(M.is_subset(q, m))
     # the empty set lies in every row; it occurs at most once among distinct queries
     empty = queries.where(nothing).first()
     out = [*queries.columns, *M.names("m", k), "n"]
@@ -80,7 +84,7 @@ def closures(context: Context, queries: DataFrame) -> DataFrame:
     """Closures of many attribute sets ``q*``: adds ``d*`` and ``n_extent``."""
     k = context.k
     keys = M.names("q", k)
-    distinct = queries.select(*keys).distinct()
+    distinct = Scratch(context.spark, "queries").save(queries.select(*keys).distinct(), "sets")
     found = rows_containing(context, distinct).groupBy(*keys).agg(
         *M.rename(M.meet(M.cols("m", k)), "d"), F.sum("n").alias("n_extent")
     )

@@ -25,7 +25,6 @@ from __future__ import annotations
 import logging
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,7 @@ from pyspark.sql import types as T
 
 from conceptloom.functions import masks as M
 from conceptloom.operators.context import Context
+from conceptloom.operators.joins import spread_join
 from conceptloom.operators.lattice import Lattice, node_type
 from conceptloom.scratch import Scratch
 
@@ -45,8 +45,6 @@ SUBTREE_ATTRIBUTES = 256
 CHUNK_CELLS = 1 << 20  # numbers a task holds at once while it expands concepts
 FIRST_SHARE = 4096  # concepts walked before the frontier is spread the first time
 SHARE = 20_000  # concepts walked by one task before it hands its frontier back
-# Level tables of concepts are broadcast only up to this many bytes.
-BROADCAST_BYTES = 32 << 20
 
 
 log = logging.getLogger("conceptloom")
@@ -74,8 +72,7 @@ def build_lattice(
     if fresh:
         rows = scratch.save(rows, "rows")
     else:
-        if context.stored_rows is None:
-            context = replace(context, stored_rows=scratch.save(context.rows, "rows"))
+        context = context.with_rows()
         rows = context.rows
     words = context.words()
     head = rows.agg(
@@ -159,11 +156,10 @@ def _by_join(context, rows, scratch, top, total, guard, fresh):
             break
         guard.add(found)
         kids = children.select(*M.names("i", k), *M.names("d", k), (j + 1).cast("int").alias("next"))
-        if found * (16 * k + 4) <= BROADCAST_BYTES:
-            # early levels: few concepts with large extents, so no shuffle of the extents
-            kids = F.broadcast(kids)
+        # early levels: few concepts with large extents, so no shuffle of the extents;
+        # later ones: many concepts, none of them in one task only
         members = (
-            members.drop("y").join(kids, M.names("i", k))
+            spread_join(members.drop("y"), kids, M.names("i", k), row, found, 16 * k + 4)
             .where(M.is_strict_subset(closure, row))
             .select(*M.rename(closure, "i"), F.col("next").alias("y"), *row, "n", "fresh")
         )

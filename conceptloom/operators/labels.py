@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from conceptloom.functions import masks as M
 from conceptloom.operators.derive import attribute_concepts, rows_containing
+from conceptloom.operators.joins import spread_join
 from conceptloom.operators.lattice import Lattice
+from conceptloom.scratch import Scratch
 
 
 def own_attributes(lattice: Lattice) -> DataFrame:
@@ -86,7 +88,19 @@ def extents(lattice: Lattice, ids: DataFrame) -> DataFrame:
     k = lattice.k
     context = lattice.context
     sets = ids.select("id", *M.rename(lattice.intent(), "q"))
-    pairs = rows_containing(context, sets).select("id", *M.names("m", k))
-    return pairs.join(context.objects, M.names("m", k)).select("id", "obj_id", "name")
+    pairs = Scratch(context.spark, "extents").save(
+        rows_containing(context, sets).select("id", *M.names("m", k)), "pairs"
+    )
+    # many objects may share one row
+    return spread_join(
+        context.objects, pairs, M.names("m", k), [F.col("obj_id")], pairs.count(), 8 * k + 8
+    ).select("id", "obj_id", "name")
 
 
+def own_objects_with_ids(lattice: Lattice, ids: DataFrame) -> DataFrame:
+    """Objects labelling each numbered concept: ``id``, ``obj_id``, ``name``."""
+    k = lattice.k
+    keys = ids.select("id", *lattice.intent())
+    return spread_join(
+        own_objects(lattice), keys, M.names("i", k), [F.col("obj_id")], lattice.n_concepts, 8 * k + 8
+    ).select("id", "obj_id", "name")

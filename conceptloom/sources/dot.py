@@ -116,9 +116,7 @@ def dot_lines(
     if labels == "full":
         shown, n_shown, items = lattice.intent_names(), F.col("n_extent"), L.extents(lattice, ids)
     else:
-        shown, n_shown = F.col("own_attrs"), F.col("n_own")
-        keys = [f"i{i}" for i in range(lattice.k)]
-        items = L.own_objects(lattice).join(ids.select(*keys, "id"), keys)
+        shown, n_shown, items = F.col("own_attrs"), F.col("n_own"), L.own_objects_with_ids(lattice, ids)
     nodes = nodes.select(
         "id", "color", F.col("n_intent").alias("n_i"), F.col("n_extent").alias("n_e"),
         shown.alias("shown"), n_shown.alias("n_shown"),

@@ -1,10 +1,12 @@
 import random
 
+import pytest
 from conftest import brute_concepts, make_context
 from pyspark.sql import functions as F
 
 from conceptloom.functions import masks as M
 from conceptloom.operators import derive as D
+from conceptloom.operators import joins
 from conceptloom.operators import labels as L
 from conceptloom.operators.enumerate import build_lattice
 
@@ -33,7 +35,10 @@ def test_derivations_and_empty_sets(spark):
     assert (one.m0, one.n_extent) == (close(2), sum(r & 2 == 2 for r in ROWS))
 
 
-def test_closures_of_all_sets(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_closures_of_all_sets(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     c = make_context(spark, ROWS, 6)
     queries = spark.range(64).select(F.col("id").alias("q0"))
     got = {r.q0: (r.d0, r.n_extent) for r in D.closures(c, queries).collect()}
@@ -85,9 +90,14 @@ def test_own_labels_two_ways(spark):
     assert counts == {r.i0: r.n_own for r in rows}
 
 
-def test_extents(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_extents(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     lattice = build_lattice(make_context(spark, ROWS, 6))
     ids = lattice.with_ids()
     intent = {r.id: r.i0 for r in ids.collect()}
     got = {(r.id, r.obj_id) for r in L.extents(lattice, ids).collect()}
     assert got == {(c, g) for c, i in intent.items() for g, r in enumerate(ROWS) if r & i == i}
+    own = {(r.id, r.obj_id) for r in L.own_objects_with_ids(lattice, ids).collect()}
+    assert own == {(c, g) for c, i in intent.items() for g, r in enumerate(ROWS) if r == i}

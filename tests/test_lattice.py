@@ -5,6 +5,7 @@ from conftest import ANIMALS_SIZE, brute_concepts, brute_covers, got_concepts, g
 from pyspark.sql import functions as F
 
 from conceptloom.operators import enumerate as E
+from conceptloom.operators import joins
 from conceptloom.operators.context import from_pairs
 from conceptloom.operators.enumerate import LatticeTooLarge, build_lattice
 from conceptloom.operators.validate import lattice_violations
@@ -81,7 +82,7 @@ def test_many_rows_take_the_join_way_without_broadcast(spark, monkeypatch):
     rng = random.Random(6)
     rows = [rng.getrandbits(7) for _ in range(20)]
     monkeypatch.setattr(E, "SUBTREE_BYTES", 0)
-    monkeypatch.setattr(E, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     want = brute_concepts(rows, 7)
     lattice = build_lattice(make_context(spark, rows, 7))
     assert got_concepts(lattice) == want
