@@ -162,3 +162,42 @@ def from_pairs(
         *[F.coalesce(w, F.lit(0).cast("bigint")).alias(f"m{i}") for i, w in enumerate(M.cols("m", k))],
     )
     return Context(filled, tuple(attributes))
+
+
+# A column's values are looked up in a literal up to this many; longer lists of
+# values go through pairs and a join.
+MAX_LOOKUP = 256
+
+
+def from_columns(
+    objects: DataFrame, obj: str, tags: dict[str, str], name: str | None = None
+) -> Context:
+    """A context from a table with one row per object, no shuffle needed.
+
+    ``tags`` maps a prefix to a column; each value of the column is an attribute
+    ``prefix:value``, a missing value none.  ``obj`` must be unique.
+    """
+    def tag(prefix, column):
+        return F.concat(F.lit(f"{prefix}:"), F.col(column).cast("string"))
+
+    values = F.array(*[tag(p, c) for p, c in tags.items()])
+    attributes = attribute_names(objects.select(F.explode(values).alias("a")), "a")
+    at = {a: j for j, a in enumerate(attributes)}
+    groups = {p: [a for a in attributes if a.startswith(f"{p}:")] for p in tags}
+    if max(map(len, groups.values()), default=0) > MAX_LOOKUP:
+        pairs = objects.select(obj, F.explode(values).alias("a")).where("a is not null")
+        return from_pairs(pairs, obj, "a", objects=objects, attributes=attributes, name=name)
+    k = M.word_count(len(attributes))
+    words = M.literal(0, k)
+    zero = F.lit(0).cast("bigint")
+    for prefix, column in tags.items():
+        if groups[prefix]:
+            number = F.create_map(*[F.lit(x) for a in groups[prefix] for x in (a, at[a])])
+            own = M.singleton(F.element_at(number, tag(prefix, column)), k)
+            words = M.union(words, [F.coalesce(w, zero) for w in own])
+    return Context(
+        objects.select(
+            F.col(obj).alias("obj_id"), F.col(name or obj).cast("string").alias("name"), *M.rename(words, "m")
+        ),
+        tuple(attributes),
+    )

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptloom.operators.context import Context, attribute_names, from_pairs
+from conceptloom.operators.context import Context, attribute_names, from_columns, from_pairs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,15 +58,8 @@ def docs(spark: SparkSession, d: str) -> Context:
     """Documents x language, source and (where labelled) quality and toxicity."""
     documents = table(spark, d, "documents").select(F.col("doc_id").alias("g"), "lang", "source")
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("g"), "quality", "toxic")
-
-    def tagged(df, **tags):
-        items = F.array(*[F.concat(F.lit(f"{t}:"), F.col(c).cast("string")) for t, c in tags.items()])
-        return df.select("g", F.explode(items).alias("m")).where("m is not null")
-
-    pairs = tagged(documents, lang="lang", source="source").unionByName(
-        tagged(labels.join(documents.select("g"), "g", "left_semi"), quality="quality", toxic="toxic")
-    )
-    return from_pairs(pairs, "g", "m", objects=documents.select("g"))
+    tags = {t: t for t in ("lang", "source", "quality", "toxic")}
+    return from_columns(documents.join(labels, "g", "left"), "g", tags)
 
 
 DOCS_SQL = """

@@ -72,6 +72,23 @@ def test_support_and_stats(spark):
     assert (nothing.n_objects, nothing.density) == (0, 0.0)
 
 
+def test_contexts_from_columns_and_pairs(spark, monkeypatch):
+    from conceptloom.operators import context as K
+
+    data = [(1, "x", 5), (2, None, 6), (3, "y:z", None), (4, None, None)]
+    df = spark.createDataFrame(data, "id int, t string, n int")
+    want = {1: ["n:5", "t:x"], 2: ["n:6"], 3: ["t:y:z"], 4: []}
+    for limit in (256, 1):
+        monkeypatch.setattr(K, "MAX_LOOKUP", limit)
+        c = K.from_columns(df, "id", {"t": "t", "n": "n"})
+        assert c.attributes == ("n:5", "n:6", "t:x", "t:y:z")
+        rows = c.objects.select("obj_id", M.to_names(c.words(), c.attributes).alias("a")).collect()
+        assert {r.obj_id: r.a for r in rows} == want
+    monkeypatch.setattr(K, "MAX_ATTRIBUTES", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        K.from_columns(df, "id", {"t": "t", "n": "n"})
+
+
 def test_own_labels_two_ways(spark):
     lattice = build_lattice(make_context(spark, ROWS, 6))
     mu = {}
