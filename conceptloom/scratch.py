@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}  # by application, for local sessions without the setting
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -23,9 +24,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="conceptloom-")
-    spark.conf.set(_SETTING, root)
-    return root
+    app = spark.conf.get("spark.app.id", "local")
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="conceptloom-")
+    return _local_roots[app]
 
 
 class Scratch:

@@ -11,7 +11,9 @@ from conceptloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tests")
+    session = local_session(4, "tests")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    return session
 
 
 # A well-known example context, one line per object.

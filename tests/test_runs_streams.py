@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conceptloom.functions import masks as M
 from conceptloom.operators import metering as R
 from conceptloom.plans import stages
+from conceptloom.scratch import checkpoint_root
 from conceptloom.sources import configs, files, reports
 from conceptloom.streaming.incremental import LatticeState, follow
 
@@ -212,3 +213,25 @@ def test_stream_of_files(spark, tmp_path):
         want[i] = sum(r & i == i for r in rows)
     assert got_concepts(state.lattice()) == want
     assert M.word_count(70) == 2
+
+
+# -- working folder ---------------------------------------------------------------------
+
+
+class _Session:
+    """Just the settings of a session."""
+
+    def __init__(self, **settings):
+        self.settings = {k.replace("_", "."): v for k, v in settings.items()}
+        self.conf = self
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+
+def test_working_folder_comes_from_the_session():
+    assert checkpoint_root(_Session(spark_checkpoint_dir="/shared/x/", spark_master="yarn")) == "/shared/x"
+    with pytest.raises(ValueError, match="share"):
+        checkpoint_root(_Session(spark_master="yarn"))
+    local = _Session(spark_master="local[2]", spark_app_id="here")
+    assert os.path.isdir(checkpoint_root(local)) and checkpoint_root(local) == checkpoint_root(local)
