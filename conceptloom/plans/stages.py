@@ -135,6 +135,7 @@ def _execute(algorithm, dataset: str, run_dir: str, root: str, limit: int | None
     after = resource.getrusage(resource.RUSAGE_CHILDREN)
     record |= {
         "returncode": code, "elapsed_seconds": round(time.monotonic() - start, 3), "finished_at": now_iso(),
+        "cpu_seconds": round(after.ru_utime + after.ru_stime - before.ru_utime - before.ru_stime, 3),
         "peak_rss_bytes": after.ru_maxrss * 1024, "stdout_log": log,
         "peak_io_read_bytes": (after.ru_inblock - before.ru_inblock) * 512,
         "peak_io_write_bytes": (after.ru_oublock - before.ru_oublock) * 512,

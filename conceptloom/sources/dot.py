@@ -12,6 +12,7 @@ from conceptloom.operators import labels as L
 from conceptloom.operators.graph import FullLabels, Graph, GraphError
 from conceptloom.operators.lattice import Lattice
 from conceptloom.scratch import Scratch
+from conceptloom.sources.files import listing
 
 # Nodes with more objects than this are written one object per line, with DOT's
 # backslash continuation, so that no label is ever put together in one row.
@@ -206,6 +207,9 @@ def read_dot(
     (escaped twice) and ``\\l`` as line breaks.
     """
     if statements:
+        largest = listing(spark, path, recursive=False).agg(F.max("length").alias("n")).first().n
+        if (largest or 0) > WHOLE_FILE:
+            raise GraphError(f"a file of {largest} bytes is too large to be read as one text")
         text = spark.read.text(path, wholetext=True)
         joined = F.regexp_replace(F.regexp_replace("value", r"\\\r?\n", ""), r"\r\n?", "\n")
         # every second piece between quotes is inside them

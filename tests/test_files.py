@@ -187,6 +187,14 @@ def test_free_layout(spark, tmp_path):
     assert [tuple(e) for e in graph.edges.collect()] == [("n;1", "2")]
 
 
+def test_large_files_are_not_read_as_one_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dot, "WHOLE_FILE", 10)
+    path = write(tmp_path, 'digraph G {\n0 [label="{0 (I: 0, E: 0)||}"];\n}\n', "big.dot")
+    with pytest.raises(G.GraphError, match="too large"):
+        dot.read_dot(spark, path, statements=True)
+    assert dot.read_dot(spark, path).nodes.count() == 1
+
+
 def test_very_long_label(spark, tmp_path):
     items = "".join(f"object number {i}\\n" for i in range(60_000))
     text = f'digraph G {{ \n0 [shape=record,label="{{0 (I: 0, E: 60000)||{items}}}"];\n}}\n'
