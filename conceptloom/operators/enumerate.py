@@ -45,6 +45,9 @@ SUBTREE_ATTRIBUTES = 256
 CHUNK_CELLS = 1 << 20  # numbers a task holds at once while it expands concepts
 FIRST_SHARE = 4096  # concepts walked before the frontier is spread the first time
 SHARE = 20_000  # concepts walked by one task before it hands its frontier back
+# ... and fewer of them the more cells the rows have: cells looked at by one task
+FIRST_WORK = 64_000_000
+WORK = 2_000_000_000
 
 
 log = logging.getLogger("conceptloom")
@@ -215,7 +218,9 @@ def _by_subtree(context, rows, scratch, top, total, guard, fresh):
         [(*M.split_int(top, k), total, 0)],
         ", ".join(f"i{i} bigint" for i in range(k)) + ", n_extent bigint, y int",
     )
-    turn, share = 0, FIRST_SHARE
+    cells = max(1, len(held) * n)
+    later = min(SHARE, max(64, WORK // cells))
+    turn, share = 0, min(FIRST_SHARE, max(32, FIRST_WORK // cells))
     place = np.divmod(np.arange(n), M.WORD_BITS)
     full = np.array(M.split_int(context.full, k), "int64")
     while True:
@@ -230,7 +235,7 @@ def _by_subtree(context, rows, scratch, top, total, guard, fresh):
             break
         tasks = max(1, min(pending, 4 * spark.sparkContext.defaultParallelism))
         frontier = done.where("open").select(*in_cols).repartition(tasks)
-        turn, share = turn + 1, SHARE
+        turn, share = turn + 1, later
     shared.unpersist()
     with_turn = T.StructType([*out_type.fields, T.StructField("turn", T.IntegerType())])
     return scratch.read("walk", with_turn).where("not open").select(*node_type(k).names)
