@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-Texts are lower-cased and cut to words (runs of letters, digits and underscores); shingles are five words.  For each
+Texts are lower-cased and cut to words (runs of ASCII letters, digits, underscores and of all characters beyond ASCII);
+shingles are five words.  For each
 benchmark item, windows of the item's number of words slide over the text.  A window that shares no shingle with an
 item has similarity 0 to it, so only windows around a shared shingle are fingerprinted, which loses nothing.  A
 window's 64-bit SimHash is looked up in four 16-bit blocks: a fingerprint within ``RADIUS`` bits has at least one
@@ -20,7 +21,6 @@ empty table on either side gives no matches.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from functools import reduce
 
@@ -35,13 +35,57 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BITS, BLOCKS, RADIUS = 64, 4, 19
 BLOCK_BYTES = 64 << 20
-_WORD = re.compile(r"\w+")
 _FOUND = "array<struct<item_id: bigint, similarity: double, start: bigint, n_words: bigint>>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_CLEAN = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
+_PIECE = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Text:
+    """The words of a text, as spans of its bytes, with a hash of each."""
+
+    powers = inverses = np.zeros(0, np.uint64)
+
+    def __init__(self, text: str):
+        self.raw = text.lower().encode("utf-8", "surrogatepass").translate(_CLEAN)
+        begins, ends, hashes, at = [], [], [], 0
+        while at < len(self.raw):
+            cut = self.raw.find(b" ", min(at + _PIECE, len(self.raw)))  # pieces end between words
+            cut = cut if cut >= 0 else len(self.raw)
+            piece = np.frombuffer(self.raw, np.uint8, cut - at, at)
+            inside = np.zeros(len(piece) + 2, np.int8)
+            inside[1:-1] = piece != 32
+            edges = np.flatnonzero(np.diff(inside))
+            begin, end = edges[::2], edges[1::2]
+            if len(piece) >= len(Text.powers):
+                n = max(len(piece) + 1, 1 << 14)
+                Text.powers, Text.inverses = _powers(int(_MIX), n), _powers(pow(int(_MIX), -1, 1 << 64), n)
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(piece * Text.powers[: len(piece)], out=sums[1:])
+            h = (sums[end] - sums[begin]) * Text.inverses[begin]
+            hashes.append((h ^ (h >> np.uint64(31))) * _MIX)
+            begins.append(begin + at)
+            ends.append(end + at)
+            at = cut
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        self.begin, self.end, self.hashes = join(begins, np.int64), join(ends, np.int64), join(hashes, np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def words(self, lo: int = 0, hi: int | None = None) -> list[str]:
+        spans = zip(self.begin[lo:hi].tolist(), self.end[lo:hi].tolist(), strict=True)
+        return [self.raw[a:b].decode("utf-8", "surrogatepass") for a, b in spans]
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return Text(text).words()
 
 
 def shingles_of(words: list[str], k: int = SHINGLE) -> list[str]:
@@ -57,12 +101,10 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both) if a or b else 0.0
 
 
-def _rolled(words: list[str], k: int) -> np.ndarray:
-    """A hash of each run of k words; it only finds places to look at, so any hash of this process will do."""
-    if len(words) < k:
-        return np.zeros(0, np.uint64)
-    h = np.array([hash(w) for w in words], np.int64).view(np.uint64)
-    n, out = len(h) - k + 1, np.zeros(len(h) - k + 1, np.uint64)
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words, from those of the words; it only finds places to look at."""
+    n = max(len(h) - k + 1, 0)
+    out = np.zeros(n, np.uint64)
     for j in range(k):
         out = out * _MIX + h[j : j + n]
     return out ^ (out >> np.uint64(29))
@@ -85,19 +127,20 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.words = [words_of(t) for _, t in items]
+        texts = [Text(t) for _, t in items]
+        self.words = [t.words() for t in texts]
         self.weights = [Counter(shingles_of(w)) for w in self.words]
         self.prints = np.zeros(len(items), np.uint64)
         by_hash = defaultdict(set)
         for j, w in enumerate(self.words):
             if w:
                 self.prints[j] = _packed(_bits(shingles_of(w)).sum(axis=0)[None, :])[0]
-                for h in _rolled(w, min(SHINGLE, len(w))).tolist():
+                for h in _rolled(texts[j].hashes, min(SHINGLE, len(w))).tolist():
                     by_hash[min(SHINGLE, len(w)), h].add(j)
         self.sizes = sorted({k for k, _ in by_hash})
         self.by_hash = by_hash
-        self.hashes = {k: np.array(sorted(h for n, h in by_hash if n == k), np.uint64) for k in self.sizes}
-        self.tables = {k: np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=1 << 20) > 0 for k, h in self.hashes.items()}
+        hashes = {k: np.array([h for n, h in by_hash if n == k], np.uint64) for k in self.sizes}
+        self.tables = {k: np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=1 << 20) > 0 for k, h in hashes.items()}
         parts = self.prints[:, None] >> np.arange(0, BITS, BITS // BLOCKS, dtype=np.uint64) & np.uint64(0xFFFF)
         self.parts = [np.unique(parts[:, b], return_inverse=True) for b in range(BLOCKS)]
         self.near: dict[tuple[int, int], frozenset[int]] = {}
@@ -116,19 +159,19 @@ class Index:
         who = np.array(sorted(found))
         return set(who[np.bitwise_count(self.prints[who] ^ np.uint64(print_)) <= RADIUS].tolist())
 
-    def anchors(self, words: list[str]) -> dict[int, list[int]]:
+    def anchors(self, text: Text) -> dict[int, list[int]]:
         """Item -> places of shingles that it has too."""
         out = defaultdict(list)
         for k in self.sizes:
-            h = _rolled(words, k)
+            h = _rolled(text.hashes, k)
             at = np.flatnonzero(self.tables[k][(h >> np.uint64(44)).astype(np.int64)])
-            for p in at[np.isin(h[at], self.hashes[k])].tolist():
-                for j in self.by_hash[k, int(h[p])]:
+            for p, x in zip(at.tolist(), h[at].tolist(), strict=True):
+                for j in self.by_hash.get((k, x), ()):
                     out[j].append(p)
         return out
 
     def search(self, text: str, least: float = SIMILARITY) -> list[tuple[int, float, int, int]]:
-        words, out = words_of(text), []
+        words, out = Text(text), []
         by_size = defaultdict(dict)  # places of windows by their number of words, for all items of that size
         for j, places in self.anchors(words).items():
             n = min(len(self.words[j]), len(words))
@@ -142,7 +185,7 @@ class Index:
             starts = sorted(windows)
             for run in np.split(np.array(starts), np.flatnonzero(np.diff(starts) > n) + 1):
                 lo, hi = int(run[0]), int(run[-1]) + n
-                near = shingles_of(words[lo:hi], k)
+                near = shingles_of(words.words(lo, hi), k)
                 sums = np.concatenate([np.zeros((1, BITS), np.int32), _bits(near).cumsum(axis=0, dtype=np.int32)])
                 at = run - lo
                 for s, print_ in zip(run.tolist(), _packed(sums[at + n - k + 1] - sums[at]).tolist(), strict=True):
