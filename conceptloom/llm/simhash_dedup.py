@@ -133,3 +133,18 @@ def near_duplicates(
     return lookup(marked, classes, "fp", "_n", marked.count(), F.struct("doc_id")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def survivors(
+    spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS
+) -> DataFrame:
+    """The rows that stay, with all their columns: of each component, those with its least id."""
+    _, marked, classes = _classes(spark, docs, shingle, radius, segments)
+    found = lookup(marked, classes, "fp", "_n", marked.count(), F.struct("doc_id"))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct().select(
+        F.col("doc_id").alias("_gone"), F.col("fp").alias("_gone_fp")
+    )
+    here = docs.withColumn("_fp", fingerprint(shingle)(ascii_lower(whole_text())))
+    return here.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_fp") == F.col("_gone_fp")), "left_anti").select(
+        *docs.columns
+    )

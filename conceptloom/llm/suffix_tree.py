@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from conceptloom.llm.common import UPPER, id_remainder, whole_text
 from conceptloom.scratch import Scratch
 
-DEPTH = 5
-LEAST = 1.0 / (1 << 18)
+DEPTH = 6
+LEAST = 1.0 / (1 << 20)
 HEAD = 1 << 16
 _TABLE = bytes.maketrans(UPPER.encode() + bytes(range(9, 14)), UPPER.lower().encode() + b" " * 5)
 _END = "\n"
