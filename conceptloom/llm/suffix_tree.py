@@ -173,11 +173,15 @@ def learn_tree(scratch: Scratch, texts: DataFrame) -> Tree:
     root = contexts.where("k = 0").select("k", "context")
     states = scratch.save(contexts.join(F.broadcast(kept.unionByName(root).distinct()), ["k", "context"]), "states")
     pairs = counted.join(F.broadcast(states.select("k", "context")), ["k", "context"]).select("k", "pair", "n")
-    # At most DEPTH / LEAST states.
-    s, p = states.toPandas().sort_values(["k", "context"]), pairs.toPandas().sort_values(["k", "pair"])
-    by = lambda df, k, *c: tuple(df.loc[df.k == k, x].to_numpy(np.uint64 if i == 0 else float) for i, x in enumerate(c))
-    return Tree({int(k): by(s, k, "context", "total", "kinds") for k in sorted(s.k.unique())},
-                {int(k): by(p, k, "pair", "n") for k in sorted(s.k.unique())})
+    # At most DEPTH / LEAST states; Arrow, as rows of Python objects would take many times the memory.
+    s, p = states.orderBy("k", "context").toArrow(), scratch.save(pairs, "kept").orderBy("k", "pair").toArrow()
+
+    def by_depth(t: pa.Table, key: str, *counts: str) -> dict[int, tuple]:
+        depth = t["k"].to_numpy()
+        return {k: (t[key].to_numpy()[depth == k].astype(np.uint64), *[t[c].to_numpy()[depth == k].astype(float) for c in counts])
+                for k in range(DEPTH + 1) if (depth == k).any()}
+
+    return Tree(by_depth(s, "context", "total", "kinds"), by_depth(p, "pair", "n"))
 
 
 def scores(spark: SparkSession, docs: DataFrame, modulus: int = 7, left_out: int = 2) -> DataFrame:
