@@ -48,12 +48,12 @@ def written(words: list[bytes]) -> bytes:
     return b" ".join([*words, b"\n"])
 
 
-def _codes(texts: list[bytes]) -> np.ndarray:
-    """The window of DEPTH + 1 bytes that ends at each byte, as a number."""
+def _codes(texts: list[bytes], backwards: bool = False) -> np.ndarray:
+    """The window of DEPTH + 1 bytes that ends at each byte, as a number; backwards: its last byte is the first digit."""
     raw = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8)
     n = len(raw) - DEPTH
     code = np.zeros(n, np.uint64)
-    for j in range(DEPTH + 1):
+    for j in range(DEPTH, -1, -1) if backwards else range(DEPTH + 1):
         code = code << np.uint64(8) | raw[j : j + n]
     keep = np.ones(n, bool)  # not those that end in the padding before the next text
     at = np.cumsum([len(t) + DEPTH for t in texts])[:-1] - DEPTH
@@ -107,37 +107,53 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _backwards(code: np.ndarray, size: int) -> np.ndarray:
+    return code.byteswap() >> np.uint64(8 * (8 - size)) if size else code
+
+
 class Tree:
-    """States by depth: sorted contexts with counts, and sorted (context, next byte) codes with counts."""
+    """States by depth: sorted contexts with counts, and sorted (context, next byte) codes with counts.
+
+    All codes are kept backwards, next byte first, so windows in order are in order at every depth, and each depth
+    looks up every different context and next byte once.
+    """
 
     def __init__(self, states: dict[int, tuple], pairs: dict[int, tuple]):
-        self.states, self.pairs = states, pairs
+        def turned(key: np.ndarray, size: int, *counts: np.ndarray) -> tuple:
+            key = _backwards(key, size)
+            order = np.argsort(key)
+            return (key[order], *[np.append(c[order], x) for c, x in zip(counts, (1, 0)[-len(counts):], strict=True)])
+
+        self.states = {k: turned(key, k, total, kinds) for k, (key, total, kinds) in states.items()}
+        self.pairs = {k: turned(key, k + 1, n) for k, (key, n) in pairs.items()}
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Places of the wanted keys; len(keys) where there is none."""
+        """Places of the wanted keys; len(keys), where the counts of nothing stand, if there is none."""
         at = np.searchsorted(keys, wanted)
         at[at == len(keys)] = 0
         return np.where(keys[at] == wanted, at, len(keys)) if len(keys) else np.zeros(len(wanted), int)
 
     def probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Of the last byte of each window, given the bytes before."""
-        p, alive = np.full(len(codes), 1 / 256), np.ones(len(codes), bool)
+        """Of the last byte of each window, given the bytes before; the windows are in order, each once."""
+        p, alive, run = np.full(1, 1 / 256), np.ones(1, bool), np.zeros(len(codes), np.int64)
         for k in range(DEPTH + 1):
-            if k not in self.states:
+            if k not in self.states or not len(codes):
                 break
+            pair = codes >> np.uint64(8 * (DEPTH - k))
+            new = np.concatenate(([True], pair[1:] != pair[:-1]))
+            first, up = np.flatnonzero(new), run[new]
             keys, total, kinds = self.states[k]
             pair_keys, n = self.pairs[k]
-            low = np.uint64((1 << 8 * (k + 1)) - 1)
-            pair = codes & low
-            at = self._find(keys, pair >> np.uint64(8))
-            alive &= at < len(keys)
-            total, kinds, n = np.append(total, 1), np.append(kinds, 0), np.append(n, 0)
-            p = np.where(alive, (n[self._find(pair_keys, pair)] + kinds[at] * p) / (total[at] + kinds[at]), p)
-        return p
+            pair = pair[first]
+            at = self._find(keys, pair & np.uint64((1 << 8 * k) - 1))
+            alive = alive[up] & (at < len(keys))
+            p = np.where(alive, (n[self._find(pair_keys, pair)] + kinds[at] * p[up]) / (total[at] + kinds[at]), p[up])
+            run = np.cumsum(new) - 1
+        return p[run]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        code, place = np.unique(_codes(texts), return_inverse=True)
+        code, place = np.unique(_codes(texts, backwards=True), return_inverse=True)
         each = np.log10(self.probabilities(code))[place]
         ends = np.cumsum([len(t) for t in texts])
         return np.add.reduceat(each, np.concatenate(([0], ends[:-1])))
