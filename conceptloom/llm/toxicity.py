@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, on ordinary and on toxic texts, and a window is the more toxic the fewer
-bytes the toxic dictionary needs than the ordinary one.  A window is one lower-cased word, written ``REPEAT`` times:
+bytes the toxic dictionary needs than the ordinary one, or than none (short words can be shorter without a
+dictionary than with one of many far places).  A window is one lower-cased word, written ``REPEAT`` times:
 zstandard's lengths are whole bytes and it only sees matches of some length, so a lone short word would be hidden in
 the rounding.  The ordinary dictionary holds the words that most ordinary texts have; the toxic one the words that
 far more toxic than ordinary texts have (in units of the standard error, and as a ratio), as zstandard's own trainer
@@ -38,7 +39,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 512 << 10, 16 << 10
 #: A word of the toxic dictionary: how many standard errors, and how many times, more toxic than ordinary texts have it.
 ERRORS, RATIO = 2.8, 10.0
 #: Bytes saved from which a window counts as toxic, and as very toxic.
-MARKED = (6, 8)
+MARKED = (4, 6)
 LONGEST = 64  # bytes of a word in one window
 REMEMBERED = 1 << 18  # words whose difference a worker remembers
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -89,7 +90,7 @@ class Scorer:
             LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False
         )
         self.compress = []
-        for content in contents:
+        for content in (*contents, b""):
             if len(content) < 8:  # zstandard takes no shorter dictionary
                 self.compress.append(zstandard.ZstdCompressor(compression_params=form).compress)
                 continue
@@ -102,9 +103,9 @@ class Scorer:
         if known is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            ordinary, toxic = self.compress
             w = window(word)
-            known = self.known[word] = len(ordinary(w)) - len(toxic(w))
+            ordinary, toxic, alone = (len(c(w)) for c in self.compress)
+            known = self.known[word] = min(ordinary, alone) - toxic
         return known
 
     def features(self, text: str) -> list[float]:
