@@ -11,30 +11,50 @@ from pyspark.sql.utils import AnalysisException
 
 STAGES = ("execution", "normalize", "compare", "report")
 
-_KINDS = {
-    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
-    "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType()),
-}
-
-
-def _record(**kinds: str) -> T.StructType:
-    """A record type from field names by kind: ``string="a b", int="c"``."""
-    return T.StructType([T.StructField(n, _KINDS[k]) for k, names in kinds.items() for n in names.split()])
-
-
-ALGORITHM = _record(
-    string="id label csv_path_template command_template dot_glob_template", bigint="timeout_seconds"
-)
-DATASET = _record(string="id label", strings="tags")
-RUN = _record(
-    strings="selected_algorithms selected_datasets stages", bigint="timeout_seconds", boolean="continue_on_error"
-)
-EXECUTION = _record(
-    string="algorithm_id dataset_id status started_at finished_at raw_dot_source raw_dot_copy stdout_log",
-    strings="command", int="returncode", boolean="timed_out", double="elapsed_seconds",
-    bigint="peak_rss_bytes peak_disk_bytes peak_written_live_bytes peak_io_read_bytes peak_io_write_bytes "
-           "peak_io_rchar_bytes peak_io_wchar_bytes total_written_bytes monitor_sample_count",
-)
+# The fields of the file formats, in their documented order.
+ALGORITHM = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("label", T.StringType()),
+    T.StructField("csv_path_template", T.StringType()),
+    T.StructField("command_template", T.StringType()),
+    T.StructField("dot_glob_template", T.StringType()),
+    T.StructField("timeout_seconds", T.LongType()),
+])
+DATASET = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("label", T.StringType()),
+    T.StructField("tags", T.ArrayType(T.StringType())),
+])
+RUN = T.StructType([
+    T.StructField("selected_algorithms", T.ArrayType(T.StringType())),
+    T.StructField("selected_datasets", T.ArrayType(T.StringType())),
+    T.StructField("stages", T.ArrayType(T.StringType())),
+    T.StructField("timeout_seconds", T.LongType()),
+    T.StructField("continue_on_error", T.BooleanType()),
+])
+EXECUTION = T.StructType([
+    T.StructField("algorithm_id", T.StringType()),
+    T.StructField("dataset_id", T.StringType()),
+    T.StructField("command", T.ArrayType(T.StringType())),
+    T.StructField("status", T.StringType()),
+    T.StructField("returncode", T.IntegerType()),
+    T.StructField("timed_out", T.BooleanType()),
+    T.StructField("elapsed_seconds", T.DoubleType()),
+    T.StructField("started_at", T.StringType()),
+    T.StructField("finished_at", T.StringType()),
+    T.StructField("peak_rss_bytes", T.LongType()),
+    T.StructField("peak_disk_bytes", T.LongType()),
+    T.StructField("peak_written_live_bytes", T.LongType()),
+    T.StructField("peak_io_read_bytes", T.LongType()),
+    T.StructField("peak_io_write_bytes", T.LongType()),
+    T.StructField("peak_io_rchar_bytes", T.LongType()),
+    T.StructField("peak_io_wchar_bytes", T.LongType()),
+    T.StructField("total_written_bytes", T.LongType()),
+    T.StructField("monitor_sample_count", T.LongType()),
+    T.StructField("raw_dot_source", T.StringType()),
+    T.StructField("raw_dot_copy", T.StringType()),
+    T.StructField("stdout_log", T.StringType()),
+])
 
 
 class ConfigError(ValueError):

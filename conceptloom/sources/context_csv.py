@@ -115,7 +115,6 @@ def read_context(
             "*",
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_at"),
         )
     )
     name = F.trim(F.coalesce("name", F.lit("")))
@@ -124,7 +123,8 @@ def read_context(
             F.array(F.lit(None).cast("string"), *cell_names), lambda c: F.coalesce(c, F.lit("")) == ""
         )
         raw = raw.where(~blank)
-    numbered = _number_lines(raw)
+    # Lines are numbered after the blank ones are gone, as they are counted per split then.
+    numbered = _number_lines(raw.withColumn("_at", F.monotonically_increasing_id()))
     cells = [_cell(F.col(c), mode) for c in cell_names]
     masks = _to_words(cells, M.word_count(len(attributes)))
     if mode == "lenient":

@@ -305,3 +305,22 @@ def test_pairwise_and_groups(spark):
     assert C.equivalence_group_sizes(ok, pairs).first().n_equivalent == 2
     none = C.equivalence_group_sizes(ok.where("producer = 'r'"), pairs)
     assert none.first().n_equivalent == 1
+
+
+def test_lenient_ids_over_many_splits(spark, tmp_path):
+    from conceptloom.sources.context_csv import read_context
+
+    lines = [";a;b"]
+    for i in range(400):
+        lines.append(f"o{i};{i % 2};1")
+        if i % 3 == 0:
+            lines.append(";;")
+    path = tmp_path / "many.csv"
+    path.write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = read_context(spark, str(path), mode="lenient").objects.select("obj_id", "name").orderBy("obj_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.obj_id, r.name) for r in got] == [(i, f"o{i}") for i in range(400)]
