@@ -164,55 +164,6 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     return dictionaries(text(rows, 0), text(rows, 1)), _regression(np.array(x), y, weight), share
 
 
-def score(self, text: str) -> float:
-        if self.weights is None:
-            return self.constant
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(text), self.weights), -40, 40))))
-
-
-def _regression(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression, by Newton steps on scaled features."""
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    mean[-1], scale = 0.0, np.where(scale > 1e-9, scale, 1.0)
-    z, b = (x - mean) / scale, np.zeros(x.shape[1])
-    keep = ridge * np.eye(len(b))
-    keep[-1, -1] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -40, 40)))
-        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + keep, z.T @ (w * (y - p)) - keep @ b)
-        b = b + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    out = b / scale
-    out[-1] -= (b[:-1] / scale[:-1] * mean[:-1]).sum()
-    return out
-
-
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
-    """(dictionaries, weights, constant), from labelled rows whose remainder isn't 0."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(id_remainder(5) != 0)
-    count = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = count.get(1, 0) / max(sum(count.values()), 1)
-    if len(count) < 2:
-        return None, None, share
-    order = F.md5(F.col("doc_id").cast("string"))
-    picked = [usable.where(F.col("toxic") == t).select("doc_id", "toxic", order.alias("_order")).orderBy("_order").limit(sample)
-              for t in (0, 1)]  # at most 2 * sample ids
-    chosen = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.first("_order").alias("_order"))
-    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("_order", "text").limit(
-        2 * sample).select("text", "toxic").collect()
-    for_words, for_weights = rows[::2], rows[1::2]
-    text = lambda part, t: [r.text for r in part if r.toxic == t]
-    contents = dictionaries(text(for_words, 0), text(for_words, 1))
-    y = np.array([r.toxic for r in for_weights], float)
-    if len(set(y)) < 2:
-        return None, None, share
-    scorer = Scorer(contents)
-    x = np.array([scorer.features(r.text) for r in for_weights])
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return contents, _regression(x, y, weight), share
-
-
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Column:
     """The score of column ``text`` (not null), by a model learnt from ``docs`` and ``labels``."""
     shared = spark.sparkContext.broadcast(learn(spark, docs, labels, sample))  # half a MiB of dictionaries
