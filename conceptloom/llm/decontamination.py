@@ -52,8 +52,8 @@ class Text:
 
     powers = inverses = np.zeros(0, np.uint64)
 
-    def __init__(self, text: str):
-        self.raw = text.lower().encode("utf-8", "surrogatepass").translate(_CLEAN)
+    def __init__(self, text: str, clean: bytes = _CLEAN):
+        self.raw = text.lower().encode("utf-8", "surrogatepass").translate(clean)
         begins, ends, hashes, at = [], [], [], 0
         while at < len(self.raw):
             cut = self.raw.find(b" ", min(at + _PIECE, len(self.raw)))  # pieces end between words

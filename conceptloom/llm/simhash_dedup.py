@@ -9,6 +9,14 @@ A key that more than ``PAIRS`` distinct fingerprints share is not expanded to pa
 fingerprints at a distance of up to r / 2 (each at most the ball's size times), and two within r bits meet at one
 between them.  Those meetings are bounded by the ball's size and lose no link.  (This way needs an even radius.)
 
+``survivors`` also links texts whose sets of five-word shingles have a similarity of ``SIMILARITY`` or more.  Such pairs
+differ in about 10 of 64 bits, up to ``NEAR_RADIUS``, where no key of equal segments prunes any more.  Their candidates
+are texts that share one of ``BANDS`` keys of ``ROWS`` minimal shingle hashes (a pair of similarity 0.8 has none in
+common once in 300 000 times); pigeonring chains and the Hamming check prune them, and the shingle sets themselves
+decide.  Of a key with more than ``PAIRS`` texts each is compared with one of them, the hub; only texts that stay
+unconnected to it are then compared with those of other components of the key, so no link is lost and groups of copies
+are not expanded to all pairs.
+
 Defined results: null, empty and blank texts have fingerprint 0 and are linked like any other; repeated rows are
 documents of their own with the same class; a null id never is a component's id unless all its ids are null; further
 columns are ignored by ``near_duplicates`` and carried by ``survivors``; an empty table gives an empty table.
@@ -16,14 +24,18 @@ columns are ignored by ``near_duplicates`` and carried by ``survivors``; an empt
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conceptloom.llm.common import ascii_lower, lookup, whole_text
 from conceptloom.llm.components import components
+from conceptloom.llm.decontamination import Text
 from conceptloom.scratch import Scratch
 
 BITS = 64
@@ -33,7 +45,12 @@ SHINGLE = 3
 SEED = 42
 #: The most distinct fingerprints of a key that are compared in pairs.
 PAIRS = 64
+#: Links by similarity of shingle sets: words of a shingle, least similarity, most differing bits, segments of the ring.
+WORDS, SIMILARITY = 5, 0.8
+NEAR_RADIUS, NEAR_SEGMENTS = 24, 8
+BANDS, ROWS = 24, 4
 _WHITE = bytes(range(9, 14))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint_of(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -113,38 +130,147 @@ def links(scratch: Scratch, fps: DataFrame, radius: int = RADIUS, segments: int
     return light.unionByName(dense).distinct()
 
 
-def _classes(spark: SparkSession, docs: DataFrame, shingle: int, radius: int, segments: int):
-    scratch = Scratch(spark, "simhash")
-    marked = scratch.save(
-        docs.select("doc_id", fingerprint(shingle)(ascii_lower(whole_text())).alias("fp")), "fingerprints"
+def shingles_of(text: str, k: int = WORDS) -> np.ndarray:
+    """Hashes of the different shingles of a text, in order; one of all words if there are fewer than k."""
+    h = Text(text, _SPACES).hashes
+    k = min(k, len(h))
+    out = np.zeros(len(h) - k + 1 if k else 0, np.uint64)
+    for j in range(k):
+        out = (out ^ out >> np.uint64(32)) * _MIX + h[j : j + len(out)]
+    out = (out ^ out >> np.uint64(31)) * _MIX
+    return np.unique(out ^ out >> np.uint64(29))
+
+
+def _sketch_of(text: str) -> dict:
+    """Fingerprint and size of the shingle set, and its keys for candidates."""
+    h = shingles_of(text)
+    if not len(h):
+        return {"near": 0, "size": 0, "keys": []}
+    seeds = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+    least, ones = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64), np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 1 << 12):  # long texts in steps
+        part = h[at : at + (1 << 12)]
+        least = np.minimum(least, ((part[:, None] ^ seeds[0]) * seeds[1]).min(axis=0))
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ keys >> np.uint64(32)) * _MIX + column
+    near = int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big", signed=True)
+    return {"near": near, "size": len(h), "keys": keys.view(np.int64).tolist()}
+
+
+_SKETCH = T.StructType().add("near", T.LongType()).add("size", T.IntegerType()).add("keys", T.ArrayType(T.LongType()))
+
+
+@F.pandas_udf(_SKETCH)
+def _sketch(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_sketch_of(t) for t in texts], columns=["near", "size", "keys"])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _shingle_set(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles_of(t).view(np.int64) for t in texts], dtype=object)
+
+
+def _normal() -> Column:
+    return ascii_lower(whole_text())
+
+
+def similar(scratch: Scratch, docs: DataFrame, marked: DataFrame, least: float = SIMILARITY, pairs: int = PAIRS) -> DataFrame:
+    """(a, b): fingerprints of texts with similar shingle sets; ``marked`` has node (digest of the text), fp, _s (sketch)."""
+    texts = scratch.save(
+        marked.where("_s.size > 0").groupBy("node").agg(F.first(F.struct("fp", "_s")).alias("_t"))
+        .select("node", "_t.fp", "_t._s.*", F.monotonically_increasing_id().alias("t")), "texts",
+    )
+    keys = texts.select("t", F.explode("keys").alias("key"))
+    shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "shared-keys")
+    members = scratch.save(keys.join(shared, "key"), "members")
+    sets = scratch.save(
+        docs.select(F.md5(_normal()).alias("node"), _normal().alias("_text"))
+        .join(texts.join(members, "t", "left_semi").select("node", "t"), "node").dropDuplicates(["t"])
+        .select("t", _shingle_set("_text").alias("_set")), "sets",
     )
+    side = lambda df, old, *cols: df.select(F.col("t").alias(old), *[F.col(c).alias(f"{c}_{old}") for c in cols])
+    differ = F.col("near_a").bitwiseXOR(F.col("near_b"))
+    chains = reduce(Column.__or__, [
+        _within_budgets(_turned(differ, i * (BITS // NEAR_SEGMENTS)), NEAR_SEGMENTS, NEAR_RADIUS) for i in range(NEAR_SEGMENTS)
+    ])
+    both = F.size(F.array_intersect("_set_a", "_set_b"))
+
+    def verified(found: DataFrame, name: str) -> DataFrame:
+        close = scratch.save(
+            found.join(side(texts, "a", "near", "size"), "a").join(side(texts, "b", "near", "size"), "b")
+            .where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least).where(chains).select("a", "b"),
+            f"{name}-close",
+        )
+        return scratch.save(
+            close.join(side(sets, "a", "_set"), "a").join(side(sets, "b", "_set"), "b")
+            .where(both >= (F.size("_set_a") + F.size("_set_b") - both) * least).select("a", "b"), name,
+        )
+
+    def paired(rows: DataFrame) -> DataFrame:
+        return rows.select("key", F.col("t").alias("a")).join(rows.select("key", F.col("t").alias("b")), "key").where(
+            "a < b").select("a", "b").distinct()
+
+    edges = verified(paired(members.where(F.col("_n") <= pairs)), "similar")
+    crowded = scratch.save(members.where(F.col("_n") > pairs).select("key", "t"), "crowded")
+    if crowded.limit(1).count():
+        hubs = crowded.groupBy("key").agg(F.min("t").alias("hub"))
+        spokes = crowded.join(hubs, "key").where("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b")).distinct()
+        edges = edges.unionByName(verified(spokes, "spokes"))
+        label = components(scratch, edges, "connected").withColumnRenamed("node", "t")
+        known = scratch.save(
+            crowded.join(texts.select("t", "near", "size"), "t").join(label, "t", "left")
+            .select("key", "t", "near", "size", F.coalesce("label", "t").alias("label")), "labelled",
+        )
+        main = known.groupBy("key").agg(F.min_by("label", "t").alias("main"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+        main = scratch.save(main.where("_lo <> _hi").select("key", "main"), "open-keys")
+        apart = side(known.join(main, "key").where("label <> main"), "a", "key", "near", "size", "label")
+        rest = side(known.join(main, "key", "left_semi"), "b", "key", "near", "size", "label")
+        across = apart.join(rest, F.col("key_a") == F.col("key_b")).where("label_a <> label_b").where(
+            F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least).where(chains)
+        edges = edges.unionByName(verified(
+            across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across"))
+    fp = lambda old: texts.select(F.col("t").alias(old), F.col("fp").alias(f"fp_{old}"))
+    return edges.join(fp("a"), "a").join(fp("b"), "b").where("fp_a <> fp_b").select(
+        F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+
+
+def _classes(spark: SparkSession, docs: DataFrame, shingle: int, radius: int, segments: int, least: float | None = None):
+    scratch = Scratch(spark, "simhash")
+    marks = [F.md5(_normal()).alias("node"), _sketch(_normal()).alias("_s")] if least is not None else []
+    marked = scratch.save(docs.select("doc_id", fingerprint(shingle)(_normal()).alias("fp"), *marks), "fingerprints")
     fps = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("_id"), F.count("*").alias("_n")), "distinct")
-    labels = components(scratch, links(scratch, fps, radius, segments))
+    edges = links(scratch, fps, radius, segments)
+    if least is not None:
+        edges = edges.unionByName(similar(scratch, docs, marked, least))
+    labels = components(scratch, edges)
     joined = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = joined.groupBy("label").agg(F.min("_id").alias("component_id"))
-    return scratch, marked, scratch.save(joined.join(ids, "label").select("fp", "_n", "component_id"), "classes")
+    return marked, scratch.save(joined.join(ids, "label").select("fp", "_n", "component_id"), "classes")
 
 
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS
 ) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every row."""
-    _, marked, classes = _classes(spark, docs, shingle, radius, segments)
+    marked, classes = _classes(spark, docs, shingle, radius, segments)
     return lookup(marked, classes, "fp", "_n", marked.count(), F.struct("doc_id")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def survivors(
-    spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS
+    spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS,
+    least: float = SIMILARITY,
 ) -> DataFrame:
     """The rows that stay, with all their columns: of each component, those with its least id."""
-    _, marked, classes = _classes(spark, docs, shingle, radius, segments)
-    found = lookup(marked, classes, "fp", "_n", marked.count(), F.struct("doc_id"))
+    marked, classes = _classes(spark, docs, shingle, radius, segments, least)
+    found = lookup(marked.select("doc_id", "node", "fp"), classes, "fp", "_n", marked.count(), F.struct("doc_id"))
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct().select(
-        F.col("doc_id").alias("_gone"), F.col("fp").alias("_gone_fp")
-    )
-    here = docs.withColumn("_fp", fingerprint(shingle)(ascii_lower(whole_text())))
-    return here.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_fp") == F.col("_gone_fp")), "left_anti").select(
-        *docs.columns
+        F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node")
     )
+    here = docs.withColumn("_node", F.md5(_normal()))
+    return here.join(
+        gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_node") == F.col("_gone_node")), "left_anti"
+    ).select(*docs.columns)

@@ -229,12 +229,21 @@ def test_wrappers(spark):
     assert wrappers.expression(wrappers.merged(a, b)) == "<p>#</>(<ul>(<li>#</>)+</>)?(<h2>text</>)?"
 
 
-def brute_components(prints, ids):
+def sets_of(rows):
+    out = []
+    for _, text, _, _ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        out.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def brute_components(prints, ids, sets=None):
     label = list(range(len(prints)))
     find = lambda x: x if label[x] == x else find(label[x])
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            near = sets and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if near or (prints[i] ^ prints[j]).bit_count() <= 2:
                 label[find(i)] = find(j)
     groups = {}
     for k, i in enumerate(ids):
@@ -266,7 +275,9 @@ def test_simhash(spark, odd, empty):
     assert Counter((x.doc_id, x.fingerprint, x.component_id) for x in got) == want
     kept = simhash_dedup.survivors(spark, docs)
     assert kept.columns == docs.columns
-    assert {x.doc_id for x in kept.collect()} == {i for i, _, c in want if i == c}
+    ids, find = brute_components(prints, [i for i, *_ in rows], sets_of(rows))
+    assert {x.doc_id for x in kept.collect()} == {i for k, (i, *_) in enumerate(rows) if i == ids[find(k)]}
+    assert simhash_dedup.survivors(spark, empty).count() == 0
     assert simhash_dedup.near_duplicates(spark, empty).count() == 0
 
 
@@ -287,6 +298,33 @@ def test_links_connect_like_brute_force(spark, pairs):
         assert got.get(p, p) == min(group)
 
 
+@pytest.mark.parametrize("pairs", [64, 2])
+def test_similar_texts_connect_like_brute_force(spark, pairs):
+    r, rows = random.Random(8), list(ODD)
+    for i in range(90):
+        words = prose(i % 3, [30, 120, 240][i % 3]).split()
+        for _ in range(i % 4):
+            words[r.randrange(len(words))] = f"new{i}"
+        rows.append((300 + i, " ".join(words), "en", "a"))
+    docs = docs_of(spark, rows)
+    scratch = Scratch(spark, "similar")
+    marked = scratch.save(docs.select(
+        simhash_dedup.F.md5(simhash_dedup._normal()).alias("node"), simhash_dedup.F.xxhash64(simhash_dedup._normal()).alias("fp"),
+        simhash_dedup._sketch(simhash_dedup._normal()).alias("_s"), "doc_id"), "marked")
+    edges = scratch.save(simhash_dedup.similar(scratch, docs, marked, pairs=pairs), "edges")
+    got = {x.node: x.label for x in components(scratch, edges).collect()}
+    print_of = {x.doc_id: x.fp for x in marked.collect()}
+    prints = [1 << 3 * k for k in range(len(rows))]
+    ids, find = brute_components([(p << 1) | p for p in prints], [i for i, *_ in rows], sets_of(rows))
+    label = [got.get(print_of[i], print_of[i]) for i, *_ in rows]
+    texts = {(t or "").lower() for _, t, _, _ in rows}
+    assert len(set(label)) < len(texts) / 2
+    for k in range(len(rows)):
+        for j in range(k):
+            if sets_of([rows[k]])[0] and sets_of([rows[j]])[0] and rows[k][0] and rows[j][0]:
+                assert (label[k] == label[j]) == (find(k) == find(j)), (rows[k][0], rows[j][0])
+
+
 def test_exact_dedup(spark, odd, empty):
     rows = ODD + [(400 + i, ["Copy of a TEXT", "copy OF a text", prose(i, 30)][i % 3], "en", "a") for i in range(60)]
     docs = docs_of(spark, rows)
