@@ -95,10 +95,12 @@ def build_lattice(
         # every object has every attribute (or there are none): a single concept
         guard.add(1)
         return Lattice(context, _literal_node(context, top, head.n), guard.count)
+    size = head.rows * (8 * context.k + 5 * context.n_attributes + 16)
+    fits = size <= SUBTREE_BYTES and context.n_attributes <= SUBTREE_ATTRIBUTES
     if method == "auto":
-        size = head.rows * (8 * context.k + 5 * context.n_attributes + 16)
-        fits = size <= SUBTREE_BYTES and context.n_attributes <= SUBTREE_ATTRIBUTES
         method = "subtree" if fits else "join"
+    if method == "subtree" and not fits:
+        raise ValueError(f"{head.rows} rows of {context.n_attributes} attributes are too large for every task; use method='join'")
     walk = {"subtree": _by_subtree, "join": _by_join}[method]
     nodes = walk(context, rows, scratch, top, head.n, guard, fresh)
     if not head.has_full:
@@ -205,7 +207,7 @@ def _no_neighbours(k: int):
 
 def _by_subtree(context, rows, scratch, top, total, guard, fresh):
     k, n, spark = context.k, context.n_attributes, context.spark
-    held = rows.toPandas()  # size checked by the caller
+    held = rows.toPandas()  # build_lattice has checked the size
     sets = held[M.names("m", k)].to_numpy("int64").reshape(len(held), k)
     newer = held["fresh"].to_numpy(bool) if fresh else np.ones(len(held), bool)
     shared = spark.sparkContext.broadcast((sets, held["n"].to_numpy("float64"), newer))

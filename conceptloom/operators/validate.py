@@ -13,7 +13,9 @@ from conceptloom.scratch import side_by_side
 
 def lattice_violations(lattice: Lattice) -> DataFrame:
     """One row of counts, all zero for a correct lattice: intents that occur twice,
-    are not closed, or have another extent size; edges that skip a level."""
+    are not closed, or have another extent size; edges that don't lead to a more
+    general concept, or that lead past one in between; concepts without a parent, but the top.
+    That no concept is missing is not checked."""
     k = lattice.k
     concepts = lattice.concepts()
     intent, closed = lattice.intent(), M.cols("d", k)
@@ -29,6 +31,14 @@ def lattice_violations(lattice: Lattice) -> DataFrame:
     covers = lattice.covers().agg(
         F.count_if(~M.is_strict_subset(parent, child)).alias("wrong_direction")
     )
+    # a cover that two other covers lead to as well passes over a concept in between
+    edges = lattice.covers().distinct()
+    up = edges.select(*M.rename(parent, "between"), *M.rename(child, "child"))
+    on = edges.select(*M.rename(child, "between"), *M.rename(parent, "parent"))
+    two_steps = up.join(on, M.names("between", k)).select(*M.names("child", k), *M.names("parent", k)).distinct()
+    skipped = edges.join(two_steps, [*M.names("child", k), *M.names("parent", k)], "left_semi").agg(
+        F.count(F.lit(1)).alias("skipped_level")
+    )
     # every concept but the top lies below another one
     tops = concepts.join(
         lattice.covers().select(*M.rename(child, "i")), M.names("i", k), "left_anti"
@@ -37,5 +47,6 @@ def lattice_violations(lattice: Lattice) -> DataFrame:
         repeated.agg(F.count(F.lit(1)).alias("repeated")),
         checked,
         covers,
+        skipped,
         tops.select((F.col("n") - 1).alias("extra_tops")),
     ])

@@ -311,7 +311,7 @@ def edge_json_round_trip(spark, d):
     return spark.read.schema("src bigint, dst bigint").json(path)
 
 
-@register("lattice_checks", "select 0::bigint repeated, 0::bigint not_closed, 0::bigint wrong_extent, 0::bigint wrong_direction, 0::bigint extra_tops")
+@register("lattice_checks", "select 0::bigint repeated, 0::bigint not_closed, 0::bigint wrong_extent, 0::bigint wrong_direction, 0::bigint skipped_level, 0::bigint extra_tops")
 def lattice_checks(spark, d):
     """Closedness, extents, uniqueness and direction checked by other operators."""
     return lattice_violations(lattice_of(spark, d, "docs"))

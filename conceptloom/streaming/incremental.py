@@ -39,6 +39,9 @@ class LatticeState:
 
     def _read(self, kind: str, schema: T.StructType) -> DataFrame:
         part = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], part)  # nothing has arrived yet
         return self.spark.read.schema(part).parquet(f"{self.folder}/{kind}")
 
     def _write(self, df: DataFrame, kind: str, batch: int) -> None:
@@ -63,12 +66,13 @@ class LatticeState:
         return from_masks(self._read("objects", self._objects).drop("batch"), self.attributes)
 
     def lattice(self) -> Lattice:
-        """The current lattice: the newest version of every concept."""
+        """The current lattice: the newest version of every concept; a single concept before the first object."""
         keys = M.names("i", self.k)
         newest = F.max_by(F.struct("n_extent", "lower"), "batch").alias("v")
         nodes = self._read("nodes", node_type(self.k)).groupBy(*keys).agg(newest)
         nodes = nodes.select(*keys, "v.n_extent", "v.lower")
-        return Lattice(self.context(), nodes, nodes.count())
+        found = nodes.count()
+        return Lattice(self.context(), nodes, found) if found else build_lattice(self.context(), self.method)
 
 
 def follow(objects: DataFrame, state: LatticeState, checkpoint: str, **trigger):

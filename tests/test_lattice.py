@@ -105,6 +105,22 @@ def test_checks_are_zero(spark):
     assert lattice_violations(broken).first().not_closed > 0
 
 
+def test_checks_find_a_cover_that_skips_a_level(spark):
+    lattice = build_lattice(make_context(spark, [1, 3, 7], 3))
+    far = F.struct(F.lit(7).cast("bigint").alias("i0"))
+    nodes = lattice.nodes.withColumn("lower", F.when(F.col("i0") == 1, F.array_append("lower", far)).otherwise(F.col("lower")))
+    found = lattice_violations(type(lattice)(lattice.context, nodes, 3)).first()
+    assert found.skipped_level == 1 and found.wrong_direction == found.not_closed == 0
+
+
+def test_subtree_refuses_rows_too_large_for_every_task(spark, monkeypatch):
+    monkeypatch.setattr(E, "SUBTREE_BYTES", 10)
+    context = make_context(spark, [1, 2, 4], 3)
+    with pytest.raises(ValueError, match="join"):
+        build_lattice(context, "subtree")
+    assert build_lattice(context).n_concepts == 5
+
+
 def test_hot_row_and_hot_object(spark):
     """A third of all objects share one row; one object holds a third of all pairs."""
     pairs = spark.range(9000).select(

@@ -184,6 +184,7 @@ def test_every_batch_leaves_the_right_lattice(spark, tmp_path, method):
     rng = random.Random(4)
     state = LatticeState(spark, str(tmp_path / "s"), [f"a{j}" for j in range(6)], method)
     seen = []
+    assert got_concepts(state.lattice()) == brute_concepts([], 6)
     for batch, size in enumerate([3, 1, 0, 4]):
         rows = [rng.getrandbits(6) for _ in range(size)] + ([63] if batch == 3 else [])
         data = [(100 * batch + i, "o", r) for i, r in enumerate(rows)]
