@@ -104,6 +104,18 @@ def test_suffix_tree_is_a_distribution(spark):
         assert abs(tree.probabilities(codes).sum() - 1) < 1e-9
 
 
+def test_suffix_tree_keeps_supported_contexts(spark, monkeypatch):
+    """What is broadcast doesn't change the scores: no state is lost for a small share of all positions."""
+    docs = docs_of(spark, ODD + [(100 + i, prose(i % 5, 200) + " caesar augustus", "en", "a") for i in range(60)])
+    whole = {r.doc_id: r.score for r in suffix_tree.scores(spark, docs).collect()}
+    for share in (0.001, 0.02, 1.0):
+        monkeypatch.setattr(suffix_tree, "LEAST", share)
+        part = {r.doc_id: r.score for r in suffix_tree.scores(spark, docs).collect()}
+        assert part.keys() == whole.keys() and all(abs(part[i] - whole[i]) < 1e-6 for i in whole)
+    tree, tail = suffix_tree.learn(Scratch(spark, "t"), docs.select(suffix_tree.whole_text().alias("text")))
+    assert max(tree.states) == 0 and tail.count() > 100 and tail.agg({"total": "min"}).first()[0] >= suffix_tree.SUPPORT
+
+
 def test_licenses(spark, odd, empty):
     docs = docs_of(spark, ODD + [
         (20, prose(5, 50) + "\nReleased under the MIT License.\n" + prose(6, 50), "en", "a"),
