@@ -4,13 +4,18 @@ A page is a tree of block elements (labels: tag, classes and id) with text slots
 parts may be optional or repeated.  Equal neighbours fold into a repeated part; two wrappers are aligned by the longest
 common subsequence of their children, what has no partner becomes optional, and texts that differ become slots that
 vary.  Each partition folds its pages into one wrapper per host, and Spark merges those of a host, so a host has as
-many rows as partitions hold it, whatever its number of pages.  From a host's wrapper follow the paths of its main
-part (article or main elements, else the part with most varying text) and the slots whose text never varies.
+many rows as partitions hold it, whatever its number of pages.
 
-Menus, headers, footers, sidebars, notices, adverts, forms and comments are told by tag, and by words in classes and
-ids; parts that are hidden count as such.
+Main parts are the article and main elements found on the page itself, whole as they are.  On a page without, a text is
+part of the template if the same text stands at the same path of labels on ``TEMPLATE_PAGES`` different pages of the host
+and on half of its pages with that path; the main region is the deepest of the wrapper's regions on the page (containers
+with varying slots) that holds over half of the page's other text.  If nothing is left, template texts count as well.
 
-Defined results: null and empty pages, and pages whose main part is missing, give an empty text; a null or hostless url
+Navigation, footers, asides and what an attribute hides are told by tag and attribute, unless they hold all main parts of
+the page.  Whole class and id tokens (and forms, and headers outside main parts) are hints: they drop parts that hold
+neither a main part nor over half of the page's text; inside main parts no paragraph, heading or item goes for its class.
+
+Defined results: null and empty pages, and pages with no text outside of asides, give an empty text; a null or hostless url
 belongs to the host named by the empty string; a repeated page is extracted like any other; elements nested deeper than
 ``DEEPEST`` count as parts of the element at that depth; unclosed elements end with their parent; further columns are
 ignored; an empty table gives an empty table.
@@ -23,6 +28,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +42,7 @@ from conceptloom.scratch import Scratch
 DEEPEST = 100
 #: Children of one element that are aligned one by one; more become a repeated group of optional parts.
 WIDEST = 64
-#: A text that is the same on so many pages, and on all, is part of the template.
+#: A text that is the same on so many different pages, and on half of all, is part of the template.
 TEMPLATE_PAGES = 3
 HOSTS_HELD = 10_000
 
@@ -51,7 +57,9 @@ CLOSED_BY = {
     "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "thead", "tbody", "tfoot"},
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
 }
-ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
+ASIDE_TAGS = frozenset("nav footer aside menu dialog".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd th tr td caption figcaption".split())
+CONTAINERS = frozenset(["", *"html body div section article main td center form fieldset details".split()])
 ASIDE_WORDS = frozenset(
     "nav navbar navigation menu sidebar footer header masthead banner ad ads adv advert adverts advertisement advertising sponsor "
     "sponsored promo promotion cookie cookies consent notice notices popup modal overlay newsletter subscribe signup share sharing "
@@ -67,6 +75,7 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
+HIDDEN = "hidden"
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 SLOT = "#"
@@ -123,16 +132,52 @@ def page_tree(page: str) -> list:
     return root
 
 
+@lru_cache(1 << 16)
 def is_main(label: str) -> bool:
     tag, *words = label.split(".")
     return (tag in ("article", "main") or "rolemain" in words or "rolearticlebody" in words) and not MAIN_ASIDE_WORDS & set(words)
 
 
-def is_aside(label: str, inside_main: bool) -> bool:
-    tag, *words = label.split(".")
-    if tag in ("html", "body") or is_main(label):
-        return False
-    return tag in ASIDE_TAGS or (tag == "header" and not inside_main) or bool(ASIDE_WORDS & set(words))
+def asides(tree: list) -> set[int]:
+    """The elements of a page (by Python's id) that are no part of its text."""
+    inner: dict[int, tuple] = {}
+    out: set[int] = set()
+
+    def count(node: list) -> tuple[int, int]:
+        """Characters and main parts within."""
+        chars, mains = 0, int(is_main(node[0]))
+        for c in node[1]:
+            a, b = (len(c), 0) if isinstance(c, str) else count(c)
+            chars, mains = chars + a, mains + b
+        inner[id(node)] = chars, mains
+        return chars, mains
+
+    whole, mains = count(tree)
+
+    def is_aside(node: list, inside: bool) -> bool:
+        tag, *words = node[0].split(".")
+        if tag in ("html", "body"):
+            return False
+        if HIDDEN in words:
+            return True
+        if is_main(node[0]):
+            return False
+        chars, within = inner[id(node)]
+        hint = set() if inside and tag in TEXTUAL else ASIDE_WORDS & set(words)
+        if tag in ASIDE_TAGS or hint & MAIN_ASIDE_WORDS:
+            return not mains or within < mains
+        return bool(hint or tag == "form" or (tag == "header" and not inside)) and not within and 2 * chars <= whole
+
+    def walk(node: list, inside: bool) -> None:
+        for c in node[1]:
+            if not isinstance(c, str):
+                if is_aside(c, inside):
+                    out.add(id(c))
+                else:
+                    walk(c, inside or is_main(c[0]))
+
+    walk(tree, False)
+    return out
 
 
 def wrapper_of(node) -> list:
@@ -203,45 +248,95 @@ def expression(w: list) -> str:
     return f"({body}){mark}" if mark else body
 
 
+def _upwards(path: str) -> Iterator[str]:
+    """The containers of a path, itself first."""
+    while True:
+        if path.rsplit("/", 1)[-1].split(".")[0] in CONTAINERS:
+            yield path
+        if not path:
+            return
+        path = path.rsplit("/", 1)[0]
+
+
 def rules(w: list) -> dict:
-    """What extraction needs: paths of main parts, the path with most varying text, paths of template texts."""
-    main, fixed, mass = [], [], {}
+    """What extraction needs of a wrapper: its regions, the paths of containers whose texts vary."""
+    regions: set[str] = set()
 
-    def walk(node: list, path: str, inside: bool) -> None:
+    def walk(node: list, path: str) -> None:
         for c in node[CHILDREN]:
-            if c[LABEL] == SLOT:
-                if c[TEXT] != "*" and c[PAGES] >= TEMPLATE_PAGES:
-                    fixed.append(path)
-                else:
-                    holder = path if path.rsplit("/", 1)[-1].split(".")[0] in ("div", "section", "td", "body", "") else path.rsplit("/", 1)[0]
-                    mass[holder] = mass.get(holder, 0) + c[CHARS]
-            elif not is_aside(c[LABEL], inside):
-                here = f"{path}/{c[LABEL]}"
-                if is_main(c[LABEL]) and not inside:
-                    main.append(here)
-                walk(c, here, inside or is_main(c[LABEL]))
+            if c[LABEL] != SLOT:
+                walk(c, f"{path}/{c[LABEL]}")
+            elif c[TEXT] == "*" or c[PAGES] < TEMPLATE_PAGES:
+                regions.update(_upwards(path))
 
-    walk(w, "", False)
-    return {"main": sorted(set(main)), "most": max(sorted(mass), key=mass.get) if mass else None, "fixed": sorted(set(fixed))}
+    walk(w, "")
+    return {"regions": sorted(regions)}
 
 
-def main_text(page: str, rule: dict | None) -> str:
-    rule = rule or rules(wrapper_of(page_tree(page)))
-    tree, out, fixed = page_tree(page), [], set(rule["fixed"])
+def _shown(tree: list) -> tuple[list[str], list[tuple[str, str]]]:
+    """Texts within main parts, and all texts with their paths; without those of asides."""
+    drop, main, every = asides(tree), [], []
 
-    def walk(node: list, path: str, inside: bool, wanted) -> None:
+    def walk(node: list, path: str, inside: bool) -> None:
         for c in node[1]:
             if isinstance(c, str):
-                if inside and (path not in fixed or wanted is not None):
-                    out.append(c)
-            elif not is_aside(c[0], inside):
-                here = f"{path}/{c[0]}"
-                walk(c, here, inside or (here in wanted if wanted is not None else here == rule["most"]), wanted)
+                every.append((path, c))
+                if inside:
+                    main.append(c)
+            elif id(c) not in drop:
+                walk(c, f"{path}/{c[0]}", inside or is_main(c[0]))
+
+    walk(tree, "", False)
+    return main, every
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def slot(path: str, text: str) -> str:
+    return f"{_hash(path)}:{_hash(text)}"
+
+
+def main_text(page: str, rule: dict | None, fixed: frozenset[str] = frozenset()) -> str:
+    tree = page_tree(page)
+    main, every = _shown(tree)
+    if main or not every:
+        return "\n\n".join(main)
+    rule = rule or rules(wrapper_of(tree))
+    own = [(p, t) for p, t in every if not fixed or slot(p, t) not in fixed] or every
+    mass: dict[str, int] = {}
+    for path, text in own:
+        for holder in _upwards(path):
+            mass[holder] = mass.get(holder, 0) + len(text)
+    # Of two containers with over half of the text one holds the other.
+    regions = set(rule["regions"]) & mass.keys() or mass.keys()
+    best = max((r for r in regions if 2 * mass[r] > mass[""]), key=lambda r: r.count("/"), default="")
+    return "\n\n".join(t for p, t in own if p == best or p.startswith(f"{best}/"))
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, path, text and page as hashes of every text of pages without a main part; text is null once a path."""
+    for batch in batches:
+        rows = []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            main, every = _shown(page_tree(page))
+            if not main and every:
+                digest = _hash(page)
+                rows += {(host, _hash(p), x, digest) for p, t in every for x in (None, _hash(t))}
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "path", "text", "page"])
+
 
-    walk(tree, "", False, set(rule["main"]))
-    if not out and rule["most"] is not None:
-        walk(tree, "", rule["most"] == "", None)
-    return "\n\n".join(out)
+def template_texts(pages: DataFrame) -> DataFrame:
+    """host, fixed: its template texts as path:text, joined by commas; copies of a page count once."""
+    seen = pages.select("host", "html").mapInArrow(_slots, "host string, path bigint, text bigint, page bigint").distinct()
+    counted = seen.groupBy("host", "path", "text").agg(F.count("*").alias("n"))
+    often = counted.where((F.col("n") >= TEMPLATE_PAGES) & F.col("text").isNotNull())
+    paths = counted.where("text IS NULL").select("host", "path", F.col("n").alias("n_path"))
+    return often.join(paths, ["host", "path"]).where("2 * n >= n_path").groupBy("host").agg(
+        F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "path", "text")))).alias("fixed"))
 
 
 def _partition_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,13 +373,14 @@ def infer(pages: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def _extracted(pages: pd.Series, texts: pd.Series) -> pd.Series:
+def _extracted(pages: pd.Series, texts: pd.Series, template: pd.Series) -> pd.Series:
     parsed: dict = {}
     out = []
-    for page, rule in zip(pages, texts, strict=True):
-        if rule is not None and rule not in parsed:
-            parsed[rule] = json.loads(rule)
-        out.append(main_text(page, parsed.get(rule)))
+    for page, *key in zip(pages, texts, template, strict=True):
+        key = tuple(key)
+        if key not in parsed:
+            parsed[key] = (json.loads(key[0]) if key[0] is not None else None), frozenset(key[1].split(",") if key[1] else ())
+        out.append(main_text(page, *parsed[key]))
     return pd.Series(out, dtype=object)
 
 
@@ -293,9 +389,10 @@ def main_texts(spark: SparkSession, pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn(
         "host", F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")))
     )
-    found = Scratch(spark, "wrappers").save(infer(rows), "hosts")
+    scratch = Scratch(spark, "wrappers")
+    found = scratch.save(infer(rows).join(template_texts(rows), "host", "left"), "hosts")
     total = found.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    with_rule = lookup(rows, found.select("host", "pages", "rule"), "host", "pages", total, F.struct("page_id", "url"))
-    return with_rule.select("page_id", "url", _extracted("html", "rule").alias("text")).withColumn(
+    with_rule = lookup(rows, found.select("host", "pages", "rule", "fixed"), "host", "pages", total, F.struct("page_id", "url"))
+    return with_rule.select("page_id", "url", _extracted("html", "rule", "fixed").alias("text")).withColumn(
         "n_chars", F.length("text").cast("bigint")
     )

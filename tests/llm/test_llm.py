@@ -241,6 +241,19 @@ def test_wrappers(spark):
     assert wrappers.expression(wrappers.merged(a, b)) == "<p>#</>(<ul>(<li>#</>)+</>)?(<h2>text</>)?"
 
 
+def test_wrappers_layouts(spark):
+    """Each layout of a host has its own main region; template texts are told by place and text over different pages."""
+    body = "<div class=bar><p>Subscribe today</p></div><div class=content><p>By Staff</p><p>{a}</p><ul><li>{b}</li><li>{c}</li></ul></div>"
+    rows = [(i, "http://a.org/", f"<article><p>{prose(i, 60)}</p></article>") for i in range(12)]
+    rows += [(20 + i, "http://a.org/", body.format(a=prose(50 + i, 5), b=prose(60 + i, 9), c=prose(70 + i, 9))) for i in range(4)]
+    rows += [(40 + i, "http://copies.org/", "<div><p>same text</p></div>") for i in range(4)] + [(50, None, rows[0][2]), (51, None, "<p>null url</p>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark, pages).collect()}
+    want = {i: prose(i, 60) for i in range(12)} | {40 + i: "same text" for i in range(4)} | {50: prose(0, 60), 51: "null url"}
+    want |= {20 + i: "\n\n".join([prose(50 + i, 5), prose(60 + i, 9), prose(70 + i, 9)]) for i in range(4)}
+    assert got == want
+
+
 def sets_of(rows):
     out = []
     for _, text, _, _ in rows:
