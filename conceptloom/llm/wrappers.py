@@ -72,10 +72,11 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({UNREAD})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[a-z]+")
-HIDDEN = "hidden"
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
+_NO_LABEL = str.maketrans("./", "__", "0123456789")
+#: Label word of an element that an attribute hides.
+HIDDEN = "=hidden"
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 SLOT = "#"
@@ -85,10 +86,13 @@ LABEL, OPTIONAL, REPEATED, CHILDREN, TEXT, CHARS, PAGES = range(7)
 
 def _label(tag: str, attributes: str) -> str:
     words = set()
-    for name, *values in _NAMES.findall(attributes):
-        words |= {f"{'role' if name.lower() in ('role', 'itemprop') else ''}{w}" for w in _WORDS.findall("".join(values).lower())}
-    if _HIDDEN.search(attributes):
-        words.add("hidden")
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role", "itemprop"):
+            role = "role" if name in ("role", "itemprop") else ""
+            words |= {role + w for w in (x.strip("-_") for x in value.lower().translate(_NO_LABEL).split()) if w}
+        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _UNSHOWN.search(value)):
+            words.add(HIDDEN)
     return ".".join([tag, *sorted(words)])
 
 

@@ -241,6 +241,21 @@ def test_wrappers(spark):
     assert wrappers.expression(wrappers.merged(a, b)) == "<p>#</>(<ul>(<li>#</>)+</>)?(<h2>text</>)?"
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="layout with-sidebar"><article><p>the text</p></article></div>',
+    '<div class="no-sidebar"><article><p>the text</p></article></div>',
+    '<form id="aspnetForm"><article><p>the text</p></article></form>',
+    '<div class="sidebar"><article><p>the text</p></article></div>',
+    '<article><h2 class="section-header">the text</h2></article>', '<article><p class="notice">the text</p></article>',
+    '<article><div class="legal-analysis">the text</div></article>', '<div class="overflow-hidden"><p>the text</p></div>',
+    '<form><p>the text</p></form>',
+    '<article><p>the text</p><p hidden>no</p><div style="display: none">no</div><div class="ads">no</div></article>',
+    '<div class="comments"><article>no</article></div><article><p>the text</p></article>',
+])
+def test_wrappers_class_words_are_hints(page):
+    assert wrappers.main_text(page, None) == "the text"
+
+
 def test_wrappers_layouts(spark):
     """Each layout of a host has its own main region; template texts are told by place and text over different pages."""
     body = "<div class=bar><p>Subscribe today</p></div><div class=content><p>By Staff</p><p>{a}</p><ul><li>{b}</li><li>{c}</li></ul></div>"
