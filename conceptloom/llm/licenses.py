@@ -2,18 +2,21 @@
 
 Texts and templates are normalised alike: lower case, words of letters, digits and characters beyond ASCII.  A
 window of a text matches a template if twice their common bigrams (with multiplicity), over the bigrams of both, is
-at least ``DICE``.  That bounds the window's size to DICE / (2 - DICE) up to (2 - DICE) / DICE times the template's,
-so windows of the least, the template's own and the greatest size are compared, and a template is left out where a
-window holds too few of its bigrams to reach the coefficient.  Windows begin at bigrams of the template.
+at least ``DICE``.  That bounds the window's size to DICE / (2 - DICE) up to (2 - DICE) / DICE times the template's, and a
+window of the best coefficient begins and ends at bigrams of the template, so from each such bigram all others within the
+greatest size are taken as ends, the common bigrams counted on the way.  A begin is left out where too few bigrams of
+the template follow to reach the coefficient.
 
 Defined results: null and empty texts match nothing; a text of one word has no bigram and matches nothing; of windows
-with the same coefficient the first counts; of overlapping notices the better one; a repeated document is reported once per row; null ids are carried;
+with the same coefficient the first counts; of all overlapping windows the better one, then the best of a licence; a repeated document is reported once per row; null ids are carried;
 further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import Counter, defaultdict
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -50,6 +53,30 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
                 "this work."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                "option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+                 "(at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                 "(at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+            "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+            "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+            "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS "
+            "OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
+            "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+            "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+            "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 
@@ -67,11 +94,8 @@ class Templates:
         self.least, self.names = least, [n for n, _ in templates]
         texts = [Text(t) for _, t in templates]
         self.grams = [bigrams(t.words()) for t in texts]
-        self.sizes = []
         self.by_hash = defaultdict(set)
         for j, t in enumerate(texts):
-            n = len(t) - 1
-            self.sizes.append(sorted({max(1, int(np.ceil(n * least / (2 - least)))), n, int(n * (2 - least) / least)}))
             for h in _rolled(t.hashes, 2).tolist():
                 self.by_hash[h].add(j)
         hashes = np.array(list(self.by_hash), np.uint64)
@@ -84,22 +108,59 @@ class Templates:
         for p, x in zip(at.tolist(), h[at].tolist(), strict=True):
             for j in self.by_hash.get(x, ()):
                 places[j].append(p)
-        best: dict[str, tuple] = {}
+        pairs: dict[int, tuple] = {}  # bigrams by place
+
+        def offer(j: int, i: int, limit: float = np.inf) -> None:
+            if (w := self._window(j, places[j], i, limit, words, pairs)) is not None:
+                heappush(heap, (*w, self.names[j], j, i))
+
+        heap: list[tuple] = []
         for j, found in places.items():
-            found, whole = np.array(found), sum(self.grams[j].values())
-            for size in sorted({min(s, len(h)) for s in self.sizes[j]}):
-                start = np.minimum(found, len(h) - size)
-                held = np.searchsorted(found, start + size) - np.searchsorted(found, start)
-                for s in np.unique(start[2 * held >= self.least * (size + whole)]).tolist():
-                    d = dice(bigrams(words.words(s, s + size + 1)), self.grams[j])
-                    key = (-d, s, size)
-                    if d >= self.least and key < best.get(self.names[j], (1.0,)):
-                        best[self.names[j]] = key
-        kept: list[tuple] = []  # of overlapping notices of different licences, the better one
-        for d, s, z, n in sorted((*k, n) for n, k in best.items()):
-            if all(s + z < a or a + b < s for _, a, b, _ in kept):
-                kept.append((d, s, z, n))
-        return [{"license": n, "dice": -d, "start": s, "n_words": z + 1} for d, s, z, n in sorted(kept, key=lambda k: k[3])]
+            for i in self._begins(j, np.array(found)):
+                offer(j, int(i))
+        taken: list[tuple] = []  # begins and ends of kept windows, in order; they don't overlap
+        best: dict[str, tuple] = {}
+        while heap:
+            d, s, z, n, j, i = heappop(heap)
+            k = bisect(taken, (s, s + z))
+            if k and taken[k - 1][1] >= s:
+                continue
+            if k < len(taken) and taken[k][0] <= s + z:  # the best window from here that ends before
+                offer(j, i, taken[k][0])
+                continue
+            taken.insert(k, (s, s + z))
+            best.setdefault(n, (d, s, z))
+        return [{"license": n, "dice": -d, "start": s, "n_words": z + 1} for n, (d, s, z) in sorted(best.items())]
+
+    def _sizes(self, j: int) -> tuple[int, int]:
+        """Bigrams of the smallest window, all of them common, and of the greatest."""
+        whole, most = sum(self.grams[j].values()), (2 - self.least) / self.least
+        return max(1, int(np.ceil(whole / most - 1e-9))), int(whole * most + 1e-9)
+
+    def _begins(self, j: int, at: np.ndarray) -> np.ndarray:
+        need, widest = self._sizes(j)
+        return np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < widest) if len(at) >= need else at[:0]
+
+    def _window(self, j: int, found: list[int], i: int, limit: float, words: Text, pairs: dict) -> tuple | None:
+        """(-coefficient, begin, bigrams) of the best window over the threshold from bigram ``i`` of those found on,
+        whose last word comes before ``limit``; of equal ones the smallest."""
+        grams, whole, begin, (_, widest) = self.grams[j], sum(self.grams[j].values()), found[i], self._sizes(j)
+        common, seen, best = 0, Counter(), None
+        for q in range(i, len(found)):
+            p = found[q]
+            size = p - begin + 1
+            if size > widest or begin + size >= limit:
+                break
+            if p not in pairs:
+                pairs[p] = tuple(words.words(p, p + 2))
+            pair = pairs[p]
+            if seen[pair] < grams[pair]:
+                seen[pair] += 1
+                common += 1
+                key = (-2 * common / (size + whole), begin, size)
+                if -key[0] >= self.least and (best is None or key < best):
+                    best = key
+        return best
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = DICE) -> DataFrame:

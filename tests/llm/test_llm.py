@@ -126,6 +126,23 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_compare_every_window():
+    find = licenses.Templates(licenses.TEMPLATES, licenses.DICE).search
+    mit = ('Permission is hereby granted, free of charge and without fee, to any person or organization obtaining a copy of this '
+           'software and any associated documentation files (the "Software"), to deal in the Software without restriction')
+    assert [m["license"] for m in find(f"{prose(1, 30)} {mit} {prose(2, 30)}")] == ["MIT"]
+    both = "This work is licensed under the GNU General Public License, version 2. {} This project is licensed under the GNU General Public License, version 3"
+    assert {m["license"]: round(m["dice"], 3) for m in find(both.format(prose(3, 30)))} == {"GPL-2.0": 1.0, "GPL-3.0": 0.9}
+    r = random.Random(4)  # by definition, over all windows
+    one = licenses.Templates([("X", "a b c d a b e f")], 0.8)
+    grams = licenses.bigrams("a b c d a b e f".split())
+    for _ in range(200):
+        words = [r.choice("abcdef") for _ in range(9)] + "a b c d a b e f".split()[r.randrange(3):] + [r.choice("abcdef") for _ in range(4)]
+        want = max(licenses.dice(licenses.bigrams(words[i:j]), grams) for i in range(len(words)) for j in range(i + 2, len(words) + 1))
+        got = one.search(" ".join(words))
+        assert [m["dice"] for m in got] == ([want] if want >= 0.8 else [])
+
+
 def test_decontamination(spark, odd, empty):
     r = random.Random(1)
     items = [(k, prose(50 + k, r.randint(3, 40))) for k in range(12)] + [(20, None), (21, ""), (22, prose(50, 30)), (None, prose(77, 20))]
