@@ -129,8 +129,9 @@ def from_pairs(
     """A context from any table of (object, attribute) pairs.
 
     ``objects`` (with the key column ``obj`` and, if given, the column ``name``)
-    adds the objects that have no attribute.  Objects are told apart by their
-    key, never by their name.
+    adds the objects that have no attribute; objects of pairs that it lacks stay,
+    named by their key.  A pair of an attribute that ``attributes`` lacks raises
+    when the context is read.  Objects are told apart by their key, never by their name.
     """
     attributes = list(attributes) if attributes is not None else attribute_names(pairs, attr)
     if len(attributes) > MAX_ATTRIBUTES:
@@ -142,10 +143,9 @@ def from_pairs(
     known = pairs.select(
         F.col(obj).alias("obj_id"), F.col(attr).cast("string").alias("attr_name")
     ).where(F.col("obj_id").isNotNull())
-    if objects is None:
-        joined = known.join(F.broadcast(numbers), "attr_name", "left")
-    else:
-        joined = known.join(F.broadcast(numbers), "attr_name")
+    unknown = F.raise_error(F.concat(F.lit("pair of an attribute that isn't listed: "), F.col("attr_name"))).cast("int")
+    joined = known.join(F.broadcast(numbers), "attr_name", "left").withColumn(
+        "attr_id", F.when(F.col("attr_id").isNull() & F.col("attr_name").isNotNull(), unknown).otherwise(F.col("attr_id")))
     sets = joined.groupBy("obj_id").agg(
         *M.rename(M.union_of(F.col("attr_id"), k), "m")
     )
@@ -155,49 +155,45 @@ def from_pairs(
     keys = objects.select(
         F.col(obj).alias("obj_id"),
         (F.col(name or obj).cast("string")).alias("name"),
+        F.lit(True).alias("_listed"),
     )
-    filled = keys.join(sets, "obj_id", "left").select(
+    filled = keys.join(sets, "obj_id", "full").select(
         "obj_id",
-        "name",
+        F.when(F.col("_listed"), F.col("name")).otherwise(F.col("obj_id").cast("string")).alias("name"),
         *[F.coalesce(w, F.lit(0).cast("bigint")).alias(f"m{i}") for i, w in enumerate(M.cols("m", k))],
     )
     return Context(filled, tuple(attributes))
 
 
-# A column's values are looked up in a literal up to this many; longer lists of
-# values go through pairs and a join.
+# No longer read: all numbers of values take one plan.
 MAX_LOOKUP = 256
 
 
 def from_columns(
     objects: DataFrame, obj: str, tags: dict[str, str], name: str | None = None
 ) -> Context:
-    """A context from a table with one row per object, no shuffle needed.
+    """A context from a table of objects with columns of values.
 
     ``tags`` maps a prefix to a column; each value of the column is an attribute
-    ``prefix:value``, a missing value none.  ``obj`` must be unique.
+    ``prefix:value``, a missing value none.  Rows of the same ``obj`` are one object
+    with the attributes of all and the least name; rows without ``obj`` stay apart.
     """
     def tag(prefix, column):
         return F.concat(F.lit(f"{prefix}:"), F.col(column).cast("string"))
 
     values = F.array(*[tag(p, c) for p, c in tags.items()])
     attributes = attribute_names(objects.select(F.explode(values).alias("a")), "a")
-    at = {a: j for j, a in enumerate(attributes)}
-    groups = {p: [a for a in attributes if a.startswith(f"{p}:")] for p in tags}
-    if max(map(len, groups.values()), default=0) > MAX_LOOKUP:
-        pairs = objects.select(obj, F.explode(values).alias("a")).where("a is not null")
-        return from_pairs(pairs, obj, "a", objects=objects, attributes=attributes, name=name)
     k = M.word_count(len(attributes))
-    words = M.literal(0, k)
-    zero = F.lit(0).cast("bigint")
-    for prefix, column in tags.items():
-        if groups[prefix]:
-            number = F.create_map(*[F.lit(x) for a in groups[prefix] for x in (a, at[a])])
-            own = M.singleton(F.element_at(number, tag(prefix, column)), k)
-            words = M.union(words, [F.coalesce(w, zero) for w in own])
-    return Context(
-        objects.select(
-            F.col(obj).alias("obj_id"), F.col(name or obj).cast("string").alias("name"), *M.rename(words, "m")
-        ),
-        tuple(attributes),
-    )
+    rows = objects.select(
+        F.col(obj).alias("obj_id"), F.col(name or obj).cast("string").alias("name"),
+        *[tag(p, c).alias(f"_t{i}") for i, (p, c) in enumerate(tags.items())],
+    ).withColumn("_row", F.when(F.col("obj_id").isNull(), F.monotonically_increasing_id()))
+    words, zero = M.literal(0, k), F.lit(0).cast("bigint")
+    for i in range(len(tags)):
+        # bounded by MAX_ATTRIBUTES, so safe to broadcast
+        numbers = objects.sparkSession.createDataFrame(list(enumerate(attributes)), f"_n{i} int, _t{i} string")
+        rows = rows.join(F.broadcast(numbers), f"_t{i}", "left")
+        words = M.union(words, [F.coalesce(w, zero) for w in M.singleton(F.col(f"_n{i}"), k)])
+    merged = rows.select("obj_id", "name", "_row", *M.rename(words, "m")).groupBy("obj_id", "_row").agg(
+        F.min("name").alias("name"), *[F.bit_or(m).alias(m) for m in M.names("m", k)])
+    return Context(merged.select("obj_id", "name", *M.names("m", k)), tuple(attributes))

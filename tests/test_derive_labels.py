@@ -89,6 +89,25 @@ def test_contexts_from_columns_and_pairs(spark, monkeypatch):
         K.from_columns(df, "id", {"t": "t", "n": "n"})
 
 
+def test_contexts_lose_no_pair(spark):
+    from conceptloom.operators import context as K
+
+    pairs = spark.createDataFrame([(1, "a"), (2, "b"), (9, "b")], "g int, m string")
+    objects = spark.createDataFrame([(1, "one"), (2, None), (3, "three")], "g int, label string")
+    c = K.from_pairs(pairs, "g", "m", objects=objects, name="label")
+    rows = c.objects.select("obj_id", "name", M.to_names(c.words(), c.attributes).alias("a")).collect()
+    assert {r.obj_id: (r.name, r.a) for r in rows} == {1: ("one", ["a"]), 2: (None, ["b"]), 3: ("three", []), 9: ("9", ["b"])}
+    for others in (None, objects):
+        with pytest.raises(Exception, match="isn't listed: b"):
+            K.from_pairs(pairs, "g", "m", objects=others, attributes=["a"]).objects.collect()
+    for n in (2, 300):  # repeated keys, few and many values
+        df = spark.createDataFrame([(i % (n // 2), f"v{i}") for i in range(n)] + [(None, "v0"), (None, "v1")], "id int, t string")
+        c = K.from_columns(df, "id", {"t": "t"})
+        rows = c.objects.select("obj_id", M.to_names(c.words(), c.attributes).alias("a")).collect()
+        assert len(rows) == n // 2 + 2
+        assert all(sorted(r.a) == sorted({f"t:v{r.obj_id}", f"t:v{r.obj_id + n // 2}"}) for r in rows if r.obj_id is not None)
+
+
 def test_own_labels_two_ways(spark):
     lattice = build_lattice(make_context(spark, ROWS, 6))
     mu = {}
