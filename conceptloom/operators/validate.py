@@ -31,12 +31,15 @@ def lattice_violations(lattice: Lattice) -> DataFrame:
     covers = lattice.covers().agg(
         F.count_if(~M.is_strict_subset(parent, child)).alias("wrong_direction")
     )
-    # a cover that two other covers lead to as well passes over a concept in between
+    # nothing lies between a cover's ends if each attribute that only the child has closes the parent to the child
     edges = lattice.covers().distinct()
-    up = edges.select(*M.rename(parent, "between"), *M.rename(child, "child"))
-    on = edges.select(*M.rename(child, "between"), *M.rename(parent, "parent"))
-    two_steps = up.join(on, M.names("between", k)).select(*M.names("child", k), *M.names("parent", k)).distinct()
-    skipped = edges.join(two_steps, [*M.names("child", k), *M.names("parent", k)], "left_semi").agg(
+    steps = edges.select(
+        *child, *parent, M.each_attribute(lattice.context.n_attributes).alias("attr_id")
+    ).where(M.contains(child, F.col("attr_id")) & ~M.contains(parent, F.col("attr_id"))).select(
+        *child, *parent, *M.rename(M.union(parent, M.singleton(F.col("attr_id"), k)), "q")
+    )
+    closed_steps = closures(lattice.context, steps.select(*M.names("q", k)).distinct()).select(*M.names("q", k), *closed)
+    skipped = steps.join(closed_steps, M.names("q", k)).where(~M.equal(closed, child)).select(*child, *parent).distinct().agg(
         F.count(F.lit(1)).alias("skipped_level")
     )
     # every concept but the top lies below another one

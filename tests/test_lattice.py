@@ -113,6 +113,14 @@ def test_checks_find_a_cover_that_skips_a_level(spark):
     assert found.skipped_level == 1 and found.wrong_direction == found.not_closed == 0
 
 
+def test_checks_find_a_cover_that_skips_two_levels(spark):
+    lattice = build_lattice(make_context(spark, [1, 3, 7, 15], 4))
+    far = F.struct(F.lit(15).cast("bigint").alias("i0"))
+    nodes = lattice.nodes.withColumn("lower", F.when(F.col("i0") == 1, F.array_append("lower", far)).otherwise(F.col("lower")))
+    found = lattice_violations(type(lattice)(lattice.context, nodes, 4)).first()
+    assert found.skipped_level == 1 and found.wrong_direction == found.not_closed == 0
+
+
 def test_subtree_refuses_rows_too_large_for_every_task(spark, monkeypatch):
     monkeypatch.setattr(E, "SUBTREE_BYTES", 10)
     context = make_context(spark, [1, 2, 4], 3)
