@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from conceptloom.llm import (
-    decontamination, exact_dedup, language_id, licenses, mixing, simhash_dedup, suffix_tree, token_counts, toxicity, wrappers,
+    collocations, decontamination, exact_dedup, language_id, licenses, mixing, odd_sketch_dedup, simhash_dedup, suffix_tree,
+    token_alignment, token_counts, toxicity, wrappers,
 )
 from conceptloom.llm.common import table
 
@@ -56,8 +57,22 @@ def op10_language_id(spark, d):
     return language_id.languages(spark, table(spark, d, "documents"))
 
 
+def op11_token_alignment(spark, d):
+    return token_alignment.alignment(spark, table(spark, d, "documents"))
+
+
+def op12_collocations(spark, d):
+    return collocations.collocations(spark, table(spark, d, "documents"))
+
+
+def op13_odd_sketch_near_dedup(spark, d):
+    return odd_sketch_dedup.near_duplicates(spark, table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_counts, op2_suffix_tree_scores, op3_license_scan, op4_decontamination, op5_toxicity, op6_mixing,
-    op7_html_main_text, op8_simhash_near_dedup, op9_exact_dedup, op10_language_id,
+    op7_html_main_text, op8_simhash_near_dedup, op9_exact_dedup, op10_language_id, op11_token_alignment,
+    op12_collocations, op13_odd_sketch_near_dedup,
 )}
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL, "op12_collocations": collocations.SQL,
+                      "op13_odd_sketch_near_dedup": odd_sketch_dedup.SQL}
