@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import add, and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_BITS = 63
@@ -150,6 +150,21 @@ def each_attribute(n_attributes: int) -> Column:
     return F.explode(F.lit(list(range(n_attributes))))
 
 
+def each_member(df: DataFrame, a: Words, n_attributes: int, name: str) -> DataFrame:
+    """``df`` with a row for each attribute number of ``a``, as column ``name``.
+
+    Only words that aren't empty are opened, so a sparse set of a wide context costs its words, not the width.
+    """
+    if len(a) == 1:
+        number = F.explode(F.lit(list(range(min(n_attributes, WORD_BITS)))))
+        return df.withColumn(name, number).where(F.getbit(a[0], F.col(name)) == 1)
+    words = F.filter(
+        F.array(*[F.struct(F.lit(i * WORD_BITS).alias("at"), w.alias("w")) for i, w in enumerate(a)]), lambda x: x["w"] != 0
+    )
+    opened = df.withColumn("_word", F.explode(words)).withColumn("_bit", F.explode(F.lit(list(range(WORD_BITS)))))
+    return opened.where(F.getbit("_word.w", "_bit") == 1).withColumn(name, F.col("_word.at") + F.col("_bit")).drop("_word", "_bit")
+
+
 def members(a: Words, n_attributes: int) -> Column:
     """Sorted array of the attribute numbers in ``a``."""
     every = F.sequence(F.lit(0), F.lit(n_attributes - 1)) if n_attributes else F.array()

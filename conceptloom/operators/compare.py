@@ -1,40 +1,53 @@
 """Are two labelled lattices the same up to the numbering of their nodes?
 
-A node is known by its signature: intent size, extent size, sorted attributes,
-sorted objects.  Everything is joins on signatures.
+A node is known by its signature: intent size, extent size, set of attributes, set of objects.  Joins and groups use a
+digest of it, 128 bits for each set: the XOR of two hashes of every different item, which needs no order.  The items
+themselves are compared only between nodes of one digest; they are never a key of a shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptloom.operators.graph import Graph, GraphError, edge_profile
 from conceptloom.operators.ordering import number_rows
 from conceptloom.scratch import Scratch, side_by_side
 
-SIGNATURE = "struct<i:bigint,e:bigint,attrs:array<string>,objs:array<string>>"
+DIGEST = ["i", "e", "a0", "a1", "o0", "o1"]
 
 
-def signatures(nodes: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, ``id``, ``sig``; the sizes in a label must match its items."""
-    attrs = F.array_sort(F.array_distinct("attrs"))
-    objs = F.array_sort(F.array_distinct("objs"))
+def _folded(items: Column, seed: int) -> Column:
+    return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.xxhash64(F.lit(seed), x)))
+
+
+def digests(nodes: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, ``id``, ``sig`` (the digest); the sizes in a label must match its items."""
+    attrs, objs = F.array_distinct("attrs"), F.array_distinct("objs")
     i, e = F.col("n_intent").cast("bigint"), F.col("n_extent").cast("bigint")
     fits = (F.size(attrs) == i) & (F.size(objs) == e)
-    sig = F.struct(i.alias("i"), e.alias("e"), attrs.alias("attrs"), objs.alias("objs"))
+    values = [i, e, *[_folded(x, seed) for x in (attrs, objs) for seed in (1, 2)]]
+    sig = F.struct(*[v.alias(c) for v, c in zip(values, DIGEST, strict=True)])
     problem = F.raise_error(F.concat(F.lit("label sizes do not match the items of node "), F.col("id")))
-    return nodes.select(*keys, "id", F.when(fits, sig).otherwise(problem.cast(SIGNATURE)).alias("sig"))
+    kind = f"struct<{','.join(c + ':bigint' for c in DIGEST)}>"
+    return nodes.select(*keys, "id", F.when(fits, sig).otherwise(problem.cast(kind)).alias("sig"))
+
+
+def _items() -> Column:
+    """A node's signature in full."""
+    attrs, objs = F.array_sort(F.array_distinct("attrs")), F.array_sort(F.array_distinct("objs"))
+    return F.struct(F.col("n_intent").cast("bigint").alias("i"), F.col("n_extent").cast("bigint").alias("e"),
+                    attrs.alias("attrs"), objs.alias("objs"))
 
 
 @dataclass(frozen=True)
 class Comparison:
     """Differences of a left and a right graph as tables, and the verdict.
 
-    ``matched`` has one row per signature: how many nodes of each side have it
-    (``ln``, ``rn``, NULL for none) and the id of one of them.
+    ``matched`` has one row per digest: how many nodes of each side have it (``ln``, ``rn``, NULL for none) and the id
+    of one of them.
     """
 
     matched: DataFrame  # sig, ln, left_id, rn, right_id
@@ -42,27 +55,34 @@ class Comparison:
     right: DataFrame
     left_edges: DataFrame
     right_edges: DataFrame
+    left_nodes: DataFrame
+    right_nodes: DataFrame
+
+    def _named(self, rows: DataFrame, nodes: DataFrame, one: str) -> DataFrame:
+        """``rows`` with the full signature of node ``one`` as ``sig``."""
+        return rows.drop("sig").join(nodes.select(F.col("id").alias(one), _items().alias("sig")), one)
 
     def only_left(self) -> DataFrame:
-        return self.matched.where("rn is null").select("sig")
+        return self._named(self.matched.where("rn is null"), self.left_nodes, "left_id").select("sig")
 
     def only_right(self) -> DataFrame:
-        return self.matched.where("ln is null").select("sig")
+        return self._named(self.matched.where("ln is null"), self.right_nodes, "right_id").select("sig")
 
     def ambiguous(self) -> DataFrame:
         """Signatures that several nodes of one side share: ``side``, ``sig``, ``id``."""
-        def rows(name, side, n):
+        def rows(name, side, nodes, n):
             many = self.matched.where(F.col(n) > 1).select("sig")
-            return side.join(many, "sig", "left_semi").select(F.lit(name).alias("side"), "sig", "id")
+            found = side.join(many, "sig", "left_semi")
+            return self._named(found, nodes, "id").select(F.lit(name).alias("side"), "sig", "id")
 
-        return rows("left", self.left, "ln").unionByName(rows("right", self.right, "rn"))
+        return rows("left", self.left, self.left_nodes, "ln").unionByName(rows("right", self.right, self.right_nodes, "rn"))
 
     def correspondence(self) -> DataFrame:
         """``common`` (C1, C2, ... in signature order), ``left_id``, ``right_id``, ``sig``.
 
         Ambiguous signatures keep their number but are not listed.
         """
-        both = self.matched.where("ln is not null and rn is not null")
+        both = self._named(self.matched.where("ln is not null and rn is not null"), self.left_nodes, "left_id")
         return number_rows(both, [F.col("sig")], "rank").where("ln = 1 and rn = 1").select(
             F.concat(F.lit("C"), F.col("rank") + 1).alias("common"), "left_id", "right_id", "sig"
         )
@@ -126,19 +146,34 @@ def compare_graphs(left: Graph, right: Graph) -> Comparison:
     for g in (left, right):
         if edge_profile(g).unknown:
             raise GraphError("an edge names an unknown node")
-    sides = [signatures(g.nodes) for g in (left, right)]
+    scratch = Scratch(left.nodes.sparkSession, "compare")
+    sides = [scratch.save(digests(g.nodes), name) for g, name in ((left, "left"), (right, "right"))]
 
     def grouped(side, n, one):
         return side.groupBy("sig").agg(F.count(F.lit(1)).alias(n), F.min("id").alias(one))
 
     matched = grouped(sides[0], "ln", "left_id").join(grouped(sides[1], "rn", "right_id"), "sig", "full")
-    matched = Scratch(matched.sparkSession, "compare").save(matched, "matched")
+    matched = scratch.save(matched, "matched")
+    _refuse_clashes(matched, sides, (left.nodes, right.nodes))
     return Comparison(
         matched, *sides,
-        left.edges.select("src", "dst").distinct(), right.edges.select("src", "dst").distinct(),
+        left.edges.select("src", "dst").distinct(), right.edges.select("src", "dst").distinct(), left.nodes, right.nodes,
     )
 
 
+def _refuse_clashes(matched: DataFrame, sides: list[DataFrame], nodes: tuple[DataFrame, DataFrame]) -> None:
+    """Raise if nodes of one digest have different items."""
+    first = F.coalesce("left_id", "right_id")
+    of = matched.select("sig", first.alias("first"), F.col("left_id").isNotNull().alias("is_left"), "ln", "rn")
+    shared = of.where("coalesce(ln, 0) + coalesce(rn, 0) > 1").drop("ln", "rn")
+    both = lambda rows, n: rows.join(n.select(F.col("id").alias("first"), _items().alias("want")), "first")
+    want = both(shared.where("is_left"), nodes[0]).unionByName(both(shared.where("not is_left"), nodes[1]))
+    for side, n in zip(sides, nodes, strict=True):
+        got = side.join(n.select("id", _items().alias("got")), "id")
+        if got.join(want, "sig").where("got <> want").limit(1).count():
+            raise GraphError("two labels of one digest differ")
+
+
 def pairwise(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Verdict for every two producers of a lattice for the same dataset.
 
@@ -146,7 +181,7 @@ def pairwise(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Result: ``dataset``, ``left``, ``right``, ``equivalent``.
     """
     key = ["dataset", "producer"]
-    named = signatures(nodes, *key)
+    named = digests(nodes, *key)
     sigs = named.groupBy(*key, "sig").agg(F.count(F.lit(1)).alias("n"))
     ends = edges.select(*key, "src", "dst")
     for c in ("src", "dst"):

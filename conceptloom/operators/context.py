@@ -73,15 +73,12 @@ class Context:
 
     def incidence(self) -> DataFrame:
         """Long form: one row ``(obj_id, attr_id)`` per cross of the context."""
-        return self.objects.select(
-            "obj_id", *M.names("m", self.k), M.each_attribute(self.n_attributes).alias("attr_id")
-        ).where(M.contains(self.words(), F.col("attr_id"))).select("obj_id", "attr_id")
+        pairs = M.each_member(self.objects.select("obj_id", *self.words()), self.words(), self.n_attributes, "attr_id")
+        return pairs.select("obj_id", "attr_id")
 
     def support(self) -> DataFrame:
         """Objects per attribute, attributes without objects included."""
-        having = self.rows.select(
-            *self.words(), "n", M.each_attribute(self.n_attributes).alias("attr_id")
-        ).where(M.contains(self.words(), F.col("attr_id")))
+        having = M.each_member(self.rows.select(*self.words(), "n"), self.words(), self.n_attributes, "attr_id")
         counts = having.groupBy("attr_id").agg(F.sum("n").alias("n_objects"))
         return self.attributes_df().join(counts, "attr_id", "left").select(
             "attr_id", "name", F.coalesce("n_objects", F.lit(0)).cast("bigint").alias("n_objects")

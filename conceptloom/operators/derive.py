@@ -96,6 +96,28 @@ def closures(context: Context, queries: DataFrame) -> DataFrame:
     )
 
 
+def next_closed(context: Context, queries: DataFrame) -> DataFrame:
+    """The lectic successor of each set ``q*``, closed or not: adds ``d*``, ``n_extent`` and ``added``, the attribute
+    that gives it.  The set of all attributes has none and isn't returned.
+
+    For each attribute j outside a set, what the set has below j is closed with j; of the closures that add nothing
+    else below j, that of the largest j comes next.  All candidates of all sets are closed at once.
+    """
+    k, n = context.k, context.n_attributes
+    q, d, j = M.cols("q", k), M.cols("d", k), F.col("added")
+    scratch = Scratch(context.spark, "lectic")
+    sets = scratch.save(queries.select(*M.names("q", k)).distinct().select(*M.rename(q, "s")), "sets")
+    s, full = M.cols("s", k), M.literal(context.full, k)
+    tried = M.each_member(sets, M.difference(full, s), n, "added")
+    tried = tried.select(*s, "added", *M.rename(M.union(M.intersect(s, M.below(j, k)), M.singleton(j, k)), "q"))
+    tried = scratch.save(tried, "tried")
+    closed = closures(context, tried.select(*M.names("q", k)).distinct())
+    later = tried.join(closed, M.names("q", k)).where(M.agree_below(s, d, j)).groupBy(*M.names("s", k)).agg(
+        F.max_by(F.struct(*d, "n_extent", "added"), "added").alias("_next")
+    )
+    return queries.join(later.select(*M.rename(s, "q"), "_next.*"), M.names("q", k))
+
+
 def pair_closures(context: Context) -> DataFrame:
     """Closures of all two-attribute sets ``a < b``: ``a``, ``b``, ``d*``, ``n_extent``.
 

@@ -8,8 +8,10 @@ is extended by every attribute j outside B: closing B + {j} gives
   and no de-duplication is needed;
 * a lower neighbour D of B if as many j lead to D as D has more attributes.
 
-Two ways to run it, same result:
+Ways to run it, same result:
 
+``frontier`` The default (``operators/frontier.py``): large extents are expanded by
+             Spark, small ones walked in groups with just their own rows.
 ``join``     Breadth first, one pair of jobs per level.  A table holds the
              (concept, row) memberships of the level.  Closures are one mergeable
              aggregate over it, the next level's memberships an equi-join on the
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 
 from conceptloom.functions import masks as M
 from conceptloom.operators.context import Context
+from conceptloom.operators.frontier import enumerate_frontier
 from conceptloom.operators.joins import spread_join
 from conceptloom.operators.lattice import Lattice, node_type
 from conceptloom.scratch import Scratch
@@ -59,7 +62,7 @@ class LatticeTooLarge(ValueError):
 
 def build_lattice(
     context: Context,
-    method: str = "auto",
+    method: str = "frontier",
     max_concepts: int | None = None,
     rows: DataFrame | None = None,
 ) -> Lattice:
@@ -98,10 +101,10 @@ def build_lattice(
     size = head.rows * (8 * context.k + 5 * context.n_attributes + 16)
     fits = size <= SUBTREE_BYTES and context.n_attributes <= SUBTREE_ATTRIBUTES
     if method == "auto":
-        method = "subtree" if fits else "join"
+        method = "frontier"
     if method == "subtree" and not fits:
         raise ValueError(f"{head.rows} rows of {context.n_attributes} attributes are too large for every task; use method='join'")
-    walk = {"subtree": _by_subtree, "join": _by_join}[method]
+    walk = {"frontier": enumerate_frontier, "subtree": _by_subtree, "join": _by_join}[method]
     nodes = walk(context, rows, scratch, top, head.n, guard, fresh)
     if not head.has_full:
         # no object has every attribute: the bottom concept has an empty extent

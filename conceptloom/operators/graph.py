@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from conceptloom.functions import masks as M
 from conceptloom.scratch import Scratch, side_by_side
 
 SPECIFIC_TO_GENERAL = "specific_to_general"
@@ -106,27 +107,6 @@ def topological_layers(graph: Graph) -> DataFrame:
     return every.groupBy("id").agg(F.max("layer").alias("layer"))
 
 
-def reach(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """All (``kind``, ``id``, ``source``) such that ``id`` is reached from ``source``
-    along the kind's edges ``src -> dst`` in zero or more steps."""
-    scratch = Scratch(edges.sparkSession, "reach")
-    key = ["kind", "id", "source"]
-    hop = edges.select("kind", F.col("src").alias("id"), "dst")
-    new = scratch.save(sources.select("kind", "id", F.col("id").alias("source")), "round=0")
-    schema = T.StructType([*new.schema.fields, T.StructField("round", T.IntegerType())])
-    rounds = 0
-    while new.limit(1).count():
-        seen = scratch.spark.read.schema(schema).parquet(scratch.path).select(*key)
-        rounds += 1
-        now, steps = new, []
-        for _ in range(STEPS):
-            now = now.join(hop, ["kind", "id"]).select("kind", F.col("dst").alias("id"), "source").distinct()
-            steps.append(now)
-        found = reduce(DataFrame.unionByName, steps).distinct()
-        new = scratch.save(found.join(seen, key, "left_anti"), f"round={rounds}")
-    return scratch.spark.read.schema(schema).parquet(scratch.path).select(*key)
-
-
 def upward(graph: Graph, orientation: str) -> DataFrame:
     """Edges from specific to general whatever the graph's orientation."""
     if orientation == SPECIFIC_TO_GENERAL:
@@ -142,35 +122,78 @@ class FullLabels:
     extents: DataFrame  # id, item
 
 
+# More different intent sizes than this are not taken as layers.
+MAX_LAYERS = 16_385
+
+
+def _layers(graph: Graph, profile) -> tuple[DataFrame, int]:
+    """(``id``, ``layer``) with every edge from a lower to a higher layer, and the number of layers.
+
+    Intent sizes do if every edge strictly changes them the same way; else longest paths, which refuse cycles.
+    """
+    if profile.n in (profile.down, profile.up):
+        sizes = [r.n_intent for r in graph.nodes.select("n_intent").distinct().limit(MAX_LAYERS + 1).collect()]
+        if len(sizes) <= MAX_LAYERS:
+            order = sorted(sizes, key=lambda i: -1 if i is None else i, reverse=profile.n == profile.down)
+            ranks = graph.nodes.sparkSession.createDataFrame(
+                [(i, at) for at, i in enumerate(order)], T.StructType([graph.nodes.schema["n_intent"], T.StructField("layer", T.IntegerType())])
+            )
+            same = graph.nodes["n_intent"].eqNullSafe(ranks["n_intent"])
+            return graph.nodes.join(F.broadcast(ranks), same).select("id", "layer"), len(order)  # at most MAX_LAYERS rows
+    layers = Scratch(graph.nodes.sparkSession, "layered").save(topological_layers(graph), "layers")
+    return layers, (layers.agg(F.max("layer")).first()[0] or 0) + 1
+
+
 def expand(graph: Graph) -> FullLabels:
     """Reduced to full labels.
 
-    A full intent is a node's own attributes and those of everything above it, a
-    full extent its own objects and those of everything below.  Nodes, not their
-    labels, are propagated; labels are joined in once.
+    A full intent is a node's own attributes and those of everything above it, a full extent its own objects and those
+    of everything below.  Items become bits of numbered chunks; layer by layer, a node's chunks are its own ones or-ed
+    with those of its neighbours in the layers before, so every edge is used once and no pair of a node and a far
+    ancestor is ever formed.
     """
     graph = graph.saved("expand")
     profile = edge_profile(graph)
     if profile.unknown:
         raise GraphError("an edge names an unknown node")
-    # No cycle is possible if every edge strictly changes the intent size the same way.
-    if profile.n not in (profile.down, profile.up):
-        topological_layers(graph)  # refuses cycles
-    orientation = profile.orientation
-    up = upward(graph, orientation)
-    down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    kinds = {"attrs": down, "objs": up}
+    layers, depth = _layers(graph, profile)
+    scratch = Scratch(graph.nodes.sparkSession, "expand")
+    along = profile.orientation == SPECIFIC_TO_GENERAL  # extents flow along the edges, intents against them
+    flows = {"objs": along, "attrs": not along}
+    places = {True: F.col("layer"), False: F.lit(depth - 1) - F.col("layer")}
 
     def each(of):
-        return reduce(DataFrame.unionByName, [of(k).withColumn("kind", F.lit(k)) for k in kinds])
+        return reduce(DataFrame.unionByName, [of(k).withColumn("kind", F.lit(k)) for k in flows])
 
-    own = each(lambda k: graph.nodes.where(F.size(k) > 0).select("id"))
-    items = each(lambda k: graph.nodes.select(F.col("id").alias("source"), F.explode(k).alias("item")))
-    pairs = reach(each(lambda k: kinds[k]), own)
-    spread = pairs.join(items, ["kind", "source"]).select("kind", "id", "item").distinct()
-    spread = Scratch(pairs.sparkSession, "expand").save(spread, "items")
+    items = scratch.save(
+        each(lambda k: graph.nodes.select(F.explode(k).alias("item"))).distinct()
+        .select("kind", "item", F.monotonically_increasing_id().alias("number")), "items",
+    )
+    items = items.select("kind", "item", F.expr(f"number div {M.WORD_BITS}").alias("chunk"), (F.col("number") % M.WORD_BITS).cast("int").alias("bit"))
+    # What each step needs, apart: own chunks, and edges into the nodes of the step's layer.
+    own = each(lambda k: graph.nodes.where(F.size(k) > 0).join(layers, "id").select("id", places[flows[k]].alias("step"), F.explode(k).alias("item")))
+    bit = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("bits")
+    own = scratch.save_by(own.join(items, ["kind", "item"]).groupBy("step", "kind", "id", "chunk").agg(bit), "own", "step")
+
+    def into(k):
+        a, b = ("src", "dst") if flows[k] else ("dst", "src")
+        ends = graph.edges.select(F.col(a).alias("from"), F.col(b).alias("id")).distinct()
+        return ends.join(layers, "id").select("from", "id", places[flows[k]].alias("step"))
+
+    edges = scratch.save_by(each(into), "into", "step")
+    key = ["kind", "id", "chunk"]
+    done_type = T.StructType([own.schema[c] for c in [*key, "bits"]] + [T.StructField("step", T.IntegerType())])
+    for step in range(depth):
+        parts = own.where(F.col("step") == step).select(*key, "bits")
+        if step:
+            done = scratch.read("done", done_type).select("kind", F.col("id").alias("from"), "chunk", "bits")
+            parts = parts.unionByName(edges.where(F.col("step") == step).join(done, ["kind", "from"]).select(*key, "bits"))
+        scratch.save(parts.groupBy(*key).agg(F.bit_or("bits").alias("bits")), f"done/step={step}")
+    done = scratch.read("done", done_type)
+    spread = M.each_member(done.select(*key, "bits"), [F.col("bits")], M.WORD_BITS, "bit").join(items, ["kind", "chunk", "bit"])
+    spread = scratch.save(spread.select("kind", "id", "item"), "labels")
     return FullLabels(
-        graph, orientation,
+        graph, profile.orientation,
         spread.where("kind = 'attrs'").select("id", "item"),
         spread.where("kind = 'objs'").select("id", "item"),
     )

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from conceptloom.functions import masks as M
 from conceptloom.operators.derive import closures
 from conceptloom.operators.lattice import Lattice
+from conceptloom.operators.neighbours import missing_concepts
 from conceptloom.scratch import side_by_side
 
 
 def lattice_violations(lattice: Lattice) -> DataFrame:
     """One row of counts, all zero for a correct lattice: intents that occur twice,
     are not closed, or have another extent size; edges that don't lead to a more
-    general concept, or that lead past one in between; concepts without a parent, but the top.
-    That no concept is missing is not checked."""
+    general concept, or that lead past one in between; concepts without a parent, but the top; concepts that the
+    others lead to and that are missing."""
     k = lattice.k
     concepts = lattice.concepts()
     intent, closed = lattice.intent(), M.cols("d", k)
@@ -33,9 +34,7 @@ def lattice_violations(lattice: Lattice) -> DataFrame:
     )
     # nothing lies between a cover's ends if each attribute that only the child has closes the parent to the child
     edges = lattice.covers().distinct()
-    steps = edges.select(
-        *child, *parent, M.each_attribute(lattice.context.n_attributes).alias("attr_id")
-    ).where(M.contains(child, F.col("attr_id")) & ~M.contains(parent, F.col("attr_id"))).select(
+    steps = M.each_member(edges, M.difference(child, parent), lattice.context.n_attributes, "attr_id").select(
         *child, *parent, *M.rename(M.union(parent, M.singleton(F.col("attr_id"), k)), "q")
     )
     closed_steps = closures(lattice.context, steps.select(*M.names("q", k)).distinct()).select(*M.names("q", k), *closed)
@@ -52,4 +51,5 @@ def lattice_violations(lattice: Lattice) -> DataFrame:
         covers,
         skipped,
         tops.select((F.col("n") - 1).alias("extra_tops")),
+        missing_concepts(concepts, lattice.context).agg(F.count(F.lit(1)).alias("missing")),
     ])

@@ -12,7 +12,7 @@ from conceptloom.sources.context_csv import read_context
 
 def context_to_dot(
     spark: SparkSession, csv_path: str, delimiter: str | None = None, mode: str = "strict",
-    method: str = "auto", order: str = "intent", labels: str = "reduced", color_by: str = "own",
+    method: str = "frontier", order: str = "intent", labels: str = "reduced", color_by: str = "own",
     max_concepts: int | None = None,
 ) -> DataFrame:
     """Rows of DOT text for the lattice of a context file."""
@@ -20,9 +20,9 @@ def context_to_dot(
     return dot.dot_lines(build_lattice(context, method, max_concepts), labels, order, color_by)
 
 
-def expand_dot(spark: SparkSession, path: str, statements: bool = False) -> DataFrame:
-    """Rows of DOT text with full labels for a graph with reduced ones."""
-    full = expand(dot.read_dot(spark, path, statements=statements))
+def expand_dot(spark: SparkSession, path: str, loose_breaks: bool = False) -> DataFrame:
+    """Rows of DOT text with full labels for a graph with reduced ones, of any layout."""
+    full = expand(dot.read_dot(spark, path, loose_breaks=loose_breaks, free=True))
     validate(full)
     return dot.expanded_lines(full)
 

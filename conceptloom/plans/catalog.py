@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from conceptloom.functions import masks as M
 from conceptloom.functions import text as X
+from conceptloom.operators import blocks as B
+from conceptloom.operators import columns as V
 from conceptloom.operators import compare as C
 from conceptloom.operators import derive as D
 from conceptloom.operators import graph as G
 from conceptloom.operators import labels as L
 from conceptloom.operators import metering as R
+from conceptloom.operators import neighbours as N
 from conceptloom.operators.context import Context, from_masks
 from conceptloom.operators.enumerate import build_lattice
 from conceptloom.operators.lattice import Lattice
@@ -190,6 +193,30 @@ def closure_sets(spark, d):
     return D.closures(context, sets).select(F.col("q0").alias("q"), F.col("d0").alias("mask"), "n_extent")
 
 
+@register("closure_by_columns", Q.base("docs", False) + """,
+qs as (select distinct r & (r - 1) q from rws where r <> 0)
+select q, coalesce(bit_and(r), any_value(f)) as mask, coalesce(sum(n), 0)::bigint n_extent
+from qs cross join full_ left join rws on r & q = q group by q""")
+def closure_by_columns(spark, d):
+    """The same closures from the columns: chunks of extents, and the attributes that contain them."""
+    context = context_of(spark, d, "docs").with_rows()
+    sets = context.rows.where("m0 <> 0").select(F.col("m0").bitwiseAND(F.col("m0") - 1).alias("q0")).distinct()
+    found = V.closures_by_columns(V.vertical(context), sets)
+    return found.select(F.col("q0").alias("q"), F.col("d0").alias("mask"), "n_extent")
+
+
+@register("next_closed_set", Q.base("docs") + """,
+qs as (select distinct r & (r - 1) q from rws where r <> 0 union select i from con),
+k as (select i, reverse(lpad(bin(i), 63, '0')) s from con)
+select q, i mask, n_extent from (select q, arg_min(i, s) i from qs join k on s > reverse(lpad(bin(q), 63, '0')) group by q) join ext using (i)""")
+def next_closed_set(spark, d):
+    """The lectic successors of all concepts, and of sets that aren't closed."""
+    context = context_of(spark, d, "docs").saved()
+    sets = context.rows.where("m0 <> 0").select(F.col("m0").bitwiseAND(F.col("m0") - 1).alias("q0"))
+    sets = sets.unionByName(build_lattice(context).concepts().select(F.col("i0").alias("q0"))).distinct()
+    return D.next_closed(context, sets).select(F.col("q0").alias("q"), F.col("d0").alias("mask"), "n_extent")
+
+
 @register("attribute_concepts", Q.base("docs", False) + """
 select att.m as name, coalesce(bit_and(r), any_value(f)) intent_mask, coalesce(sum(n), 0)::bigint n_extent
 from att cross join full_ left join rws on (r >> j::int) & 1 = 1 group by att.m, att.j""")
@@ -314,7 +341,47 @@ def edge_json_round_trip(spark, d):
 @register("lattice_checks", "select 0::bigint repeated, 0::bigint not_closed, 0::bigint wrong_extent, 0::bigint wrong_direction, 0::bigint skipped_level, 0::bigint extra_tops")
 def lattice_checks(spark, d):
     """Closedness, extents, uniqueness and direction checked by other operators."""
-    return lattice_violations(lattice_of(spark, d, "docs"))
+    return lattice_violations(lattice_of(spark, d, "docs")).drop("missing")
+
+
+@register("lattice_checks_broken", Q.base("docs") + Q.COVERS + """,
+p as (select * from ext where bit_count(i) <> 2),
+cl as (select coalesce(bit_and(r), any_value(f)) c from p cross join att cross join full_
+         left join rws on r & (p.i | 1::bigint << j::int) = (p.i | 1::bigint << j::int)
+       where (p.i >> j::int) & 1 = 0 group by p.i, j union select bit_and(r) from rws)
+select 1::bigint repeated, 0::bigint not_closed, (select count(*) from p where bit_count(i) = 3) wrong_extent, 0::bigint wrong_direction,
+  0::bigint skipped_level, (select count(*) from p where not exists (select 1 from cov where child = p.i and bit_count(parent) <> 2)) extra_tops,
+  (select count(distinct c) from cl where c not in (select i from p)) missing""")
+def lattice_checks_broken(spark, d):
+    """A lattice without its concepts of two attributes, with wrong extents of three and its top twice."""
+    lattice = lattice_of(spark, d, "docs")
+    size = M.size(lattice.intent())
+    nodes = lattice.nodes.where(size != 2).withColumn("n_extent", F.col("n_extent") + F.when(size == 3, 1).otherwise(0))
+    top = lattice.nodes.where(M.equal(lattice.intent(), [F.lit(lattice.extremes().where("which = 'top'").first().i0)]))
+    return lattice_violations(Lattice(lattice.context, nodes.unionByName(top), lattice.n_concepts))
+
+
+@register("covers_of_concepts", Q.base("nation") + Q.COVERS + "select child, parent from cov")
+def covers_of_concepts(spark, d):
+    """The cover relation of concepts that come from a file."""
+    context = context_of(spark, d, "nation")
+    intents, rows = N.concepts_of_graph(graph_of(spark, d, "nation", "full"), list(context.attributes))
+    found = N.covers_of_concepts(intents, context.n_attributes, rows)
+    return found.select(F.col("child0").alias("child"), F.col("parent0").alias("parent"))
+
+
+@register("covers_without_rows", Q.base("docs") + Q.COVERS + "select child, parent from cov")
+def covers_without_rows(spark, d):
+    """The same from nothing but a table of intents."""
+    lattice = lattice_of(spark, d, "docs")
+    found = N.covers_of_concepts(lattice.concepts().select("i0"), lattice.context.n_attributes)
+    return found.select(F.col("child0").alias("child"), F.col("parent0").alias("parent"))
+
+
+@register("concepts_by_blocks", Q.base("docs") + "select i intent_mask, n_extent from ext")
+def concepts_by_blocks(spark, d):
+    """The lattice merged from those of three blocks of rows."""
+    return B.concepts_by_blocks(context_of(spark, d, "docs"), 3).concepts.select(F.col("i0").alias("intent_mask"), "n_extent")
 
 
 # -- labels -------------------------------------------------------------------------------
@@ -403,6 +470,19 @@ def dot_lines(spark, d):
     return number_rows(lines, list(dot.SORT), "at").select("at", "line")
 
 
+@register("dot_full_lines", Q.base("nation") + Q.COVERS + Q.IDS + Q.OWN + f""",
+txt as (select 0 s, 0 id, 0 id2, 'digraph G {{ ' || chr(10) || chr(9) || 'rankdir=BT;' line
+        union all select 1, id, 0, {Q.dot_node(*Q.ALL_ITEMS)} from own
+        union all select 2, a.id, b.id, chr(9) || a.id || ' -> ' || b.id
+                  from cov join num a on a.i = child join num b on b.i = parent
+        union all select 3, 0, 0, '}}')
+select row_number() over (order by s, id, id2) - 1 as at, line from txt""")
+def dot_full_lines(spark, d):
+    """The whole DOT text with full labels."""
+    lines = Scratch(spark, "text").save(dot.dot_lines(lattice_of(spark, d, "nation"), "full"), "lines")
+    return number_rows(lines, list(dot.SORT), "at").select("at", "line")
+
+
 # -- graphs -------------------------------------------------------------------------------
 
 
@@ -422,6 +502,22 @@ def dot_round_trip(spark, d):
     return nodes.select("id", "n_intent", "n_extent", joined("attrs").alias("attrs"), joined("objs").alias("objs"), "color")
 
 
+@register("dot_free_layout", Q.base("nation") + Q.IDS + Q.OWN + f"""
+select id::varchar id, n_intent, n_extent, own_attrs attrs,
+       coalesce((select string_agg(nm, ',' order by g) from obj where r = own.i), '') objs, {Q.COLOR} color from own""")
+def dot_free_layout(spark, d):
+    """The same from a text with several statements a line, and statements over several lines."""
+    scratch = Scratch(spark, "free")
+    lines = scratch.save(dot.dot_lines(lattice_of(spark, d, "nation")), "lines")
+    text = number_rows(lines, list(dot.SORT), "at").groupBy(F.floor(F.col("at") / 3).alias("row")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "line"))).getField("line").alias("l")
+    ).select("row", F.regexp_replace(F.array_join("l", "; "), ",label=", ",\n  label =\n").alias("line"))
+    # a small text of the nation lattice, in order in one file
+    text.repartition(1).sortWithinPartitions("row").select("line").write.text(f"{scratch.path}/dot")
+    nodes = dot.read_dot(spark, f"{scratch.path}/dot", free=True).nodes
+    return nodes.select("id", "n_intent", "n_extent", joined("attrs").alias("attrs"), joined("objs").alias("objs"), "color")
+
+
 @register("orientation_vote", Q.base("nation") + Q.COVERS + """
 select count(*) forward, 0::bigint backward, 'specific_to_general' orientation from cov""")
 def orientation_vote(spark, d):
@@ -446,6 +542,42 @@ def expand_reduced_to_full(spark, d):
     )
 
 
+def reversed_edges(graph: G.Graph) -> G.Graph:
+    return G.Graph(graph.nodes, graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+@register("orientation_reversed", Q.base("nation") + Q.COVERS + """
+select 0::bigint forward, count(*) backward, 'general_to_specific' orientation from cov""")
+def orientation_reversed(spark, d):
+    return G.orientation_votes(reversed_edges(graph_of(spark, d, "nation", "reduced")))
+
+
+@register("expand_reversed", Q.base("nation") + Q.IDS + """
+select id::varchar id, 'attribute' kind, m item from num join att on (i >> j::int) & 1 = 1
+union all select id::varchar, 'object', nm from num join obj on r & i = i""")
+def expand_reversed(spark, d):
+    """A graph whose edges lead from general to specific."""
+    full = G.expand(reversed_edges(graph_of(spark, d, "nation", "reduced")))
+    return full.intents.select("id", F.lit("attribute").alias("kind"), "item").unionByName(
+        full.extents.select("id", F.lit("object").alias("kind"), "item")
+    )
+
+
+@register("expand_broken", Q.base("nation") + Q.COVERS + Q.IDS + Q.OWN + """,
+e as (select * from cov where parent <> (select bit_and(i) from con)),
+up(x, y) as (select i, i from con union select up.x, e.parent from up join e on e.child = up.y),
+gi as (select up.x i, count(distinct m) n from up left join mu on mu.i = up.y group by all),
+ge as (select up.y i, count(distinct nm) n from up left join obj on r = up.x group by all)
+select 0::bigint bad_ids, (select count(*) from gi where n <> bit_count(i)) bad_intents,
+  (select count(*) from ge join ext using (i) where n <> n_extent) bad_extents, 0::bigint lost_attributes, 0::bigint lost_objects,
+  0::bigint repeated_ids, (select count(*) from con where i not in (select parent from e)) sources,
+  (select count(*) from con where i not in (select child from e)) sinks""")
+def expand_broken(spark, d):
+    """The checks on a graph that lost the edges into its top."""
+    graph = graph_of(spark, d, "nation", "reduced")
+    return G.violations(G.expand(G.Graph(graph.nodes, graph.edges.where("dst <> '0'"))))
+
+
 @register("expand_violations", """select 0::bigint bad_ids, 0::bigint bad_intents, 0::bigint bad_extents, 0::bigint lost_attributes,
   0::bigint lost_objects, 0::bigint repeated_ids, 1::bigint sources, 1::bigint sinks""")
 def expand_violations(spark, d):
@@ -490,6 +622,25 @@ def compare_missing_edge(spark, d):
     return C.compare_graphs(graph, fewer).summary()
 
 
+@register("compare_edge_differences", Q.base("nation") + Q.COVERS + Q.IDS + """
+select 'left' side, a.id::varchar src, b.id::varchar dst from cov join num a on a.i = child join num b on b.i = parent
+where parent = (select bit_and(i) from con)""")
+def compare_edge_differences(spark, d):
+    """The edges that one side lacks, by name."""
+    graph = graph_of(spark, d, "nation", "full")
+    return C.compare_graphs(graph, G.Graph(graph.nodes, graph.edges.where("dst <> '0'"))).edge_differences()
+
+
+@register("compare_ambiguous", Q.base("nation") + Q.IDS + """
+select 'left' side, x || id::varchar id, n_intent i, n_extent e from num, (values (''), ('copy')) t(x) where n_intent = 1""")
+def compare_ambiguous(spark, d):
+    """Nodes that share a label: those of one attribute are there twice on the left."""
+    graph = graph_of(spark, d, "nation", "full")
+    copies = graph.nodes.where("n_intent = 1").withColumn("id", F.concat(F.lit("copy"), "id"))
+    found = C.compare_graphs(G.Graph(graph.nodes.unionByName(copies), graph.edges), graph).ambiguous()
+    return found.select("side", "id", "sig.i", "sig.e")
+
+
 @register("compare_different", Q.base("nation") + """,
 less as (select g, nm, r & ~1::bigint r from obj), lrw as (select distinct r from less),
 con2(i) as (select f & ~1::bigint i from full_ union select con2.i & lrw.r from con2, lrw),

@@ -167,7 +167,7 @@ def _normalize_one(spark, run_dir: str, run: dict) -> dict:
         return record | {"status": "OK", "message": "already full", "normalized_dot": raw}
     target = os.path.join(run_dir, "normalize", f"{run['algorithm_id']}__{run['dataset_id']}__full_{time.time_ns()}")
     try:
-        graph = dot.read_dot(spark, raw, statements=os.path.getsize(raw) <= dot.WHOLE_FILE, loose_breaks=True)
+        graph = dot.read_dot(spark, raw, loose_breaks=True, free=True)
         full = G.expand(graph)
         G.validate(full)
         dot.write_dot(dot.expanded_lines(full), target)

@@ -12,6 +12,7 @@ from conceptloom.operators import labels as L
 from conceptloom.operators.graph import FullLabels, Graph, GraphError
 from conceptloom.operators.lattice import Lattice
 from conceptloom.scratch import Scratch
+from conceptloom.sources.dot_splitter import pieces
 from conceptloom.sources.files import listing
 
 # Nodes with more objects than this are written one object per line, with DOT's
@@ -177,7 +178,7 @@ def write_dot(lines: DataFrame, path: str) -> int:
 _ID = r'("[^"]*"|[A-Za-z0-9_.\-]+)'
 _NODE = rf'(?s)^\s*{_ID}\s*\[(.*)\]\s*;?\s*$'
 _EDGE = rf'^\s*{_ID}\s*->\s*{_ID}\s*(?:\[[^\]]*\])?\s*;?\s*$'
-_LABEL = r'label\s*=\s*"([^"]*)"'
+_LABEL = r'(?<![A-Za-z_])label\s*=\s*(?:"([^"]*)"|([^\s",\]]+))'
 _COUNTS = r'^\s*(.*?)\s*\(I:\s*(\d+)\s*,\s*E:\s*(\d+)\s*\)\s*$'
 # Escaped characters stand aside as private-use characters while a text is cut,
 # and so do the cutting characters inside quotes.
@@ -197,28 +198,26 @@ def _back(pairs):
 
 
 def read_dot(
-    spark: SparkSession, path: str, statements: bool = False, loose_breaks: bool = False
+    spark: SparkSession, path: str, statements: bool = False, loose_breaks: bool = False, free: bool = False
 ) -> Graph:
     """Read a labelled lattice.
 
     By default one node or edge per line, as the writer lays them out; the file is
-    split among tasks.  ``statements`` reads each file as a whole and accepts any
-    layout, continuation lines included.  ``loose_breaks`` also takes ``\\\\n``
-    (escaped twice) and ``\\l`` as line breaks.
+    split among tasks.  ``free`` accepts any layout, continuation lines included, in
+    files of any size, and splits them too.  ``statements`` does so with each small
+    file as one text.  ``loose_breaks`` also takes ``\\\\n`` (escaped twice) and ``\\l``
+    as line breaks.
     """
-    if statements:
+    if free:
+        whole = pieces(spark, path, lambda c: _swap(_loosen(c, loose_breaks), _ASIDE))
+        lines = whole.select(F.explode(_statements(F.col("value"))).alias("value")).where(F.trim("value") != "")
+    elif statements:
         largest = listing(spark, path, recursive=False).agg(F.max("length").alias("n")).first().n
         if (largest or 0) > WHOLE_FILE:
             raise GraphError(f"a file of {largest} bytes is too large to be read as one text")
         text = spark.read.text(path, wholetext=True)
         joined = F.regexp_replace(F.regexp_replace("value", r"\\\r?\n", ""), r"\r\n?", "\n")
-        # every second piece between quotes is inside them
-        pieces = F.transform(
-            F.split(_swap(_loosen(joined, loose_breaks), _ASIDE), '"'),
-            lambda t, i: F.when(i % 2 == 1, _swap(t, _QUOTED)).otherwise(t),
-        )
-        statement = r"([^;\n\[{}]*\[[^\]]*\]|[^;\n\[{}]+)"
-        found = F.regexp_extract_all(F.array_join(pieces, '"'), F.lit(statement), F.lit(1))
+        found = _statements(_swap(_loosen(joined, loose_breaks), _ASIDE))
         lines = text.select(F.explode(found).alias("value")).where(F.trim("value") != "")
     else:
         lines = spark.read.text(path).select(_swap(_loosen(F.col("value"), loose_breaks), _ASIDE).alias("value"))
@@ -244,6 +243,14 @@ def read_dot(
     return graph
 
 
+def _statements(text: Column) -> Column:
+    """The statements of a text whose escaped characters stand aside."""
+    # every second piece between quotes is inside them
+    quoted = F.transform(F.split(text, '"'), lambda t, i: F.when(i % 2 == 1, _swap(t, _QUOTED)).otherwise(t))
+    statement = r"([^;\n\[{}]*\[[^\]]*\]|[^;\n\[{}]+)"
+    return F.regexp_extract_all(F.array_join(quoted, '"'), F.lit(statement), F.lit(1))
+
+
 def _loosen(c: Column, loose: bool) -> Column:
     return F.regexp_replace(c, r"\\+([nl])", r"\\$1") if loose else c
 
@@ -259,7 +266,7 @@ def _nodes(lines: DataFrame) -> DataFrame:
     block = F.regexp_extract("value", _NODE, 2)
     found = lines.select(
         _plain(F.regexp_extract("value", _NODE, 1)).alias("id"),
-        _swap(F.regexp_extract(block, _LABEL, 1), _back(_QUOTED)).alias("label"),
+        _swap(F.concat(F.regexp_extract(block, _LABEL, 1), F.regexp_extract(block, _LABEL, 2)), _back(_QUOTED)).alias("label"),
         _options(block).alias("options"),
     ).where((F.col("id") != "") & F.col("label").contains("(I:"))
     text = F.regexp_replace(F.trim("label"), r"\\[nl]|\r\n?", "\n")
