@@ -347,7 +347,7 @@ def lattice_checks(spark, d):
 @register("lattice_checks_broken", Q.base("docs") + Q.COVERS + """,
 p as (select * from ext where bit_count(i) <> 2),
 cl as (select coalesce(bit_and(r), any_value(f)) c from p cross join att cross join full_
-         left join rws on r & (p.i | 1::bigint << j::int) = (p.i | 1::bigint << j::int)
+         left join rws on r & (p.i | (1::bigint << j::int)) = (p.i | (1::bigint << j::int))
        where (p.i >> j::int) & 1 = 0 group by p.i, j union select bit_and(r) from rws)
 select 1::bigint repeated, 0::bigint not_closed, (select count(*) from p where bit_count(i) = 3) wrong_extent, 0::bigint wrong_direction,
   0::bigint skipped_level, (select count(*) from p where not exists (select 1 from cov where child = p.i and bit_count(parent) <> 2)) extra_tops,

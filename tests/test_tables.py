@@ -211,3 +211,25 @@ def test_labels_of_one_digest_are_compared_by_their_items(spark, monkeypatch):
     edges = spark.createDataFrame([], "src string, dst string")
     with pytest.raises(G.GraphError, match="digest"):
         C.compare_graphs(G.Graph(nodes, edges), G.Graph(other, edges))
+
+
+def test_stream_state_is_compacted(spark, tmp_path):
+    import os
+
+    from conceptloom.streaming.incremental import LatticeState
+
+    rng = random.Random(23)
+    state = LatticeState(spark, str(tmp_path / "s"), [f"a{j}" for j in range(5)], compact=2)
+    seen = []
+    for batch, size in enumerate([3, 2, 0, 2, 1]):
+        rows = [rng.getrandbits(5) for _ in range(size)]
+        seen += rows
+        data = spark.createDataFrame([(100 * batch + i, "o", r) for i, r in enumerate(rows)], "obj_id bigint, name string, m0 bigint")
+        for _ in range(2):  # a batch run again counts once, also after its snapshot
+            state.append(data, batch)
+        parts = [x for kind in ("rows", "nodes") for x in os.listdir(tmp_path / "s" / kind) if x.startswith("batch=")]
+        assert len(parts) <= 3
+        want = brute_concepts(seen, 5)
+        assert got_concepts(state.lattice()) == want
+        assert set(got_covers(state.lattice())) == brute_covers(want)
+    assert len(os.listdir(tmp_path / "s" / "snapshot")) == 1
