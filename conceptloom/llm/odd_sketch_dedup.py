@@ -8,11 +8,12 @@ number of samples that differ, precisely so for similar sets.  Candidates whose
 least similarity reaches once in a million (``most_ones``) go; the others are confirmed on the full sets.
 
 Classes need links that connect, not all pairs of a group.  Of each band key the least member is the hub and is compared
-with all others; keys whose members are still in different components get a further hub from outside the first one's
-component, round by round, and a hub that has been compared with all leaves the key.  What is left after ``TURNS``
-rounds is compared in pairs across components, so no link between components is lost, and a group of copies costs its
-size.  Members of a key that are truly unlike each other remain pairs: that last step grows with their number squared,
-but only through the odd sketches (72 bytes a row), never through sets.
+with all others; for keys whose members are still in different components this is repeated ``TURNS`` times with a hub
+from outside the first one's component.  What is left is compared across components in blocks: a key's fringe, the
+members outside its largest component, meets blocks of that component and of the fringe, and of each two blocks only
+links that join components leave the task.  So a group of copies costs its size, no pair of a group is ever a row, and
+no link between components is lost.  Work is a group's size times its fringe; for a group of which no two belong
+together that is its square, which no exact method avoids.
 
 Defined results: a document without words has an empty set, size 0, is linked with nothing and is its own component;
 one with fewer words than a shingle has one shingle of them all.  Repeated rows are documents of their own in the same
@@ -27,9 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conceptloom.llm.bitmaps import filtered
 from conceptloom.llm.common import ascii_lower, lookup, whole_text
 from conceptloom.llm.components import components
 from conceptloom.scratch import Scratch
@@ -41,7 +44,11 @@ BANDS, ROWS = 40, 5
 #: Bits of an odd sketch.
 BITS = 512
 SEED = 13
-TURNS = 6
+TURNS = 1
+#: Shingles of the sets in a block.
+CELLS = 1 << 18
+#: Bits of the bitmaps that keep rows without a partner from being shuffled (8 MiB each, at any size of the input).
+BITMAP = 26
 #: Copies of a hub's set are made for each so many of its candidates, so that no task compares all of them.
 SPOKES = 512
 #: Shingles whose samples are taken at once: small enough for the processor's cache.
@@ -166,6 +173,34 @@ class _Verifier:
         """Different pairs that sizes and sketches allow."""
         return pairs.distinct().join(self.side("a"), "a").join(self.side("b"), "b").where(self.similar()).select("a", "b")
 
+    def across(self, apart: DataFrame, name: str) -> DataFrame:
+        """Links that join components, among all members of a key in different components; ``apart``: key, t, label."""
+        sized = self.scratch.save(
+            apart.select("key", "t", "label").join(self.sets, "t").join(self.full, "t"), f"{name}-members"
+        )
+        parts = sized.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("cells"))
+        keys = parts.groupBy("key").agg(
+            F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("cells").alias("cells"),
+            F.max_by("cells", F.struct("n", "label")).alias("main_cells"),
+        ).select("key", "main", F.ceil(F.col("main_cells") / CELLS).alias("main_blocks"),
+                 F.ceil((F.col("cells") - F.col("main_cells")) / CELLS).alias("fringe_blocks"))
+        own = F.col("label") == F.col("main")
+        block = F.pmod(F.xxhash64("t"), F.when(own, F.col("main_blocks")).otherwise(F.col("fringe_blocks"))).alias("block")
+        numbered = sized.join(keys, "key").select("*", own.alias("is_main"), block)
+        place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+        here, upto = F.col("block"), lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
+        # fringe block i meets block j of the largest component (kind 0), and fringe block j >= i (kind 1)
+        main = F.transform(upto("fringe_blocks"), lambda i: place(0, i, here, 1))
+        fringe = F.concat(
+            F.transform(upto("main_blocks"), lambda j: place(0, here, j, 0)),
+            F.transform(F.sequence(here, F.col("fringe_blocks") - 1), lambda j: place(1, here, j, 0)),
+            F.transform(F.sequence(F.lit(0).cast("bigint"), here), lambda i: place(1, i, here, 1)),
+        )
+        dealt = numbered.select("key", "t", "label", "size", *self.words, "set", F.explode(F.when(F.col("is_main"), main).otherwise(fringe)).alias("_p"))
+        dealt = dealt.select("key", "t", "label", "size", *self.words, "set", "_p.*")
+        found = dealt.groupBy("key", "kind", "i", "j").applyInArrow(_between(self.ones, self.percent, len(self.words)), "a bigint, b bigint")
+        return self.scratch.save(found.distinct(), name)
+
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those whose sets are similar; the side with the more pairs of one set is dealt out over copies of it."""
         pairs = self.scratch.save(pairs, f"{name}-sketched")
@@ -185,6 +220,57 @@ class _Verifier:
         )
 
 
+def _between(ones: int, percent: int, words: int):
+    """Links between two blocks of sets, one for each two components."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        table = group.combine_chunks()
+        side, t, label, size = (table[c].to_numpy() for c in ("side", "t", "label", "size"))
+        lists = table["set"].chunk(0) if table["set"].num_chunks else pa.array([], pa.list_(pa.int64()))
+        cells, at = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(size)))
+        odd = np.stack([table[f"o{i}"].to_numpy() for i in range(words)], axis=1).view(np.uint64)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        differ = np.zeros((len(a), len(b)), np.int32)
+        for i in range(words):
+            differ += np.bitwise_count(odd[a, i][:, None] ^ odd[b, i][None])
+        low, high = np.minimum(size[a][:, None], size[b][None]), np.maximum(size[a][:, None], size[b][None])
+        maybe = (differ <= ones) & (label[a][:, None] != label[b][None]) & (low * 100 >= high * percent)
+        keep_a, keep_b = maybe.any(axis=1), maybe.any(axis=0)
+        a, b, maybe = a[keep_a], b[keep_b], maybe[keep_a][:, keep_b]
+        if not len(a):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        both = _common([cells[at[i] : at[i + 1]] for i in a], [cells[at[i] : at[i + 1]] for i in b])
+        union = size[a][:, None] + size[b][None] - both
+        x, y = np.nonzero(maybe & (both * 100 >= union * percent))
+        pairs = np.stack([np.minimum(label[a[x]], label[b[y]]), np.maximum(label[a[x]], label[b[y]])])
+        _, first = np.unique(pairs, axis=1, return_index=True)
+        x, y = x[first], y[first]
+        return pa.table({"a": pa.array(t[a[x]]), "b": pa.array(t[b[y]])})
+
+    return compare
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, through products of 0/1 matrices, some shingles at a time."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    step = max(1, (1 << 21) // max(len(left), len(right)))
+
+    def marks(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(sets), len(some)), np.float32)
+        row, all_cells = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        col = np.searchsorted(some, all_cells)
+        col[col == len(some)] = 0
+        hit = some[col] == all_cells
+        m[row[hit], col[hit]] = 1
+        return m
+
+    for at in range(0, len(shared), step):
+        some = shared[at : at + step]
+        out += marks(left, some) @ marks(right, some).T
+    return out.astype(np.int64)
+
+
 def links(scratch: Scratch, check: _Verifier, members: DataFrame, turns: int = TURNS) -> DataFrame:
     """(a, b): confirmed links that connect all sets of ``members`` (key, t) that any chain of links connects."""
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -210,9 +296,7 @@ def links(scratch: Scratch, check: _Verifier, members: DataFrame, turns: int = T
             break
         # The next hub is one outside the component of the least member, which was joined first.
         hubs = apart.where("label <> _lo").groupBy("key").agg(F.min_by("t", F.xxhash64("t", F.lit(turn))).alias("hub"))
-    side = lambda s: apart.select("key", F.col("t").alias(s), F.col("label").alias(f"label_{s}")).join(check.side(s), s)
-    across = side("a").join(side("b"), "key").where("a < b and label_a <> label_b").where(check.similar())
-    return edges.unionByName(check.confirmed(across.select("a", "b").distinct(), "across"))
+    return edges.unionByName(check.across(apart, "across"))
 
 
 def near_duplicates(
@@ -233,12 +317,13 @@ def near_duplicates(
         .select("d0", "d1", "least_id", "_n", "_c.*", F.monotonically_increasing_id().alias("t")), "sets",
     )
     keys = sets.select("t", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    members = scratch.save(keys.join(shared, "key").select("key", "t"), "members")
+    shared = scratch.save(keys.select("key").groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "shared")
+    members = scratch.save(filtered(keys, F.col("key"), shared, "key", BITMAP).join(shared, "key").select("key", "t"), "members")
     check = _Verifier(scratch, sets.select("t", "size", *odd), sets, percent, bands * rows, bits)
     # Full sets of those that have a candidate, from one document of each set.
     wanted = sets.join(members.select("t").distinct(), "t", "left_semi").select("t", "of_id", "of_digest")
     texts = docs.select("doc_id", F.md5(_normal()).alias("digest"), _normal().alias("_text"))
+    texts = filtered(texts, F.xxhash64("digest"), wanted.select(F.xxhash64("of_digest").alias("h")), "h", BITMAP)
     same = (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
     check.full = scratch.save(
         texts.join(wanted, same).dropDuplicates(["t"]).select("t", _sets_of(words)("_text").alias("set")), "full"
