@@ -228,14 +228,15 @@ def report_text(spark: SparkSession, run_dir: str) -> str:
     execution, normalize, compare = (load(run_dir, s) for s in configs.STAGES[:3])
     runs = execution.get("results", [])
     timeouts = execution.get("timeout_events", [])
-    out = [f"# {reports.TITLE} - {os.path.basename(os.path.abspath(run_dir))}", "", f"Généré le: {now_iso()}", ""]
+    out = [f"# {reports.TITLE} - {os.path.basename(os.path.abspath(run_dir))}", "", f"{reports.STAMP}: {now_iso()}", ""]
 
     def section(key, *body):
         out.extend([f"## {reports.SECTIONS[key]}", "", *body, ""])
 
     section(
-        "summary", f"- Cas execution: {execution.get('total_cases', 0)}", f"- Cas normalize: {normalize.get('total_cases', 0)}",
-        f"- Paires compare: {compare.get('total_pairs', 0)}", f"- Timeouts: {len(timeouts)}",
+        "summary", *(f"- {reports.COUNTS[s]}: {r.get('total_pairs', r.get('total_cases', 0))}"
+                     for s, r in (("execution", execution), ("normalize", normalize), ("compare", compare))),
+        f"- Timeouts: {len(timeouts)}",
     )
     titles = reports.EXECUTION_TITLES
     if runs:
@@ -266,7 +267,7 @@ def report_text(spark: SparkSession, run_dir: str) -> str:
     for dataset, row in sorted(compare.get("equivalence_matrix", {}).items()):
         lines.append(f"- {dataset}")
         lines += [f"  - {pair}: {value}" for pair, value in sorted(row.items())] or ["  - no comparisons"]
-    section("matrix", *(lines or ["Aucune comparaison disponible."]))
+    section("matrix", *(lines or ["no comparisons"]))
     if timeouts:
         shown = [{"Dataset": t["dataset_id"], "Algo": t["algorithm_id"], "Timeout(s)": t["timeout_seconds"], "At": t["at"]} for t in timeouts]
         section("timeouts", reports.markdown_table(shown, list(shown[0])))
@@ -306,14 +307,14 @@ def compiled_text(spark: SparkSession, pattern: str, title: str, first: str = ""
     table = compile_reports(spark, pattern, first).orderBy(natural_key(F.col("dataset_id")), "dataset_id")
     rest = [c for c in table.columns if c not in ("dataset_id", "ok", "failed", "n_equivalent")]
     rows = [  # one row per dataset
-        {"Dataset": r.dataset_id, "OK exec (réussi/échec)": f"{r.ok}/{r.failed}", "Nb d'algo équivalents": r.n_equivalent}
+        {"Dataset": r.dataset_id, "OK / failed": f"{r.ok}/{r.failed}", "Largest equivalent group": r.n_equivalent}
         | {f"{c} (s)" if c.startswith("Temps ") else c: r[c] for c in rest}
         for r in table.collect()
     ]
     if not rows:
         raise FileNotFoundError(f"no report matches {pattern}")
-    out = [f"# Compilation pipeline - {title}", "", f"Généré le: {now_iso()}", f"Rapports compilés: {len(rows)}", "",
-           "## Vue synthétique", "", reports.markdown_table(rows, list(rows[0])), "", "## Détails par dataset", ""]
+    out = [f"# {title}", "", f"{len(rows)} datasets, written {now_iso()}", "",
+           "## All datasets", "", reports.markdown_table(rows, list(rows[0])), "", "## Dataset by dataset", ""]
     details: dict[str, dict[str, list[dict]]] = {}
     for r in reports.read_tables(spark, pattern).orderBy("path", "section", "at").collect():  # rows of short reports
         details.setdefault(r.cells.get("Dataset", ""), {}).setdefault(r.section, []).append(r.cells)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # The headings and column titles of a report.
 TITLE = "Rapport pipeline"
+STAMP = "Généré le"
+COUNTS = {"execution": "Cas execution", "normalize": "Cas normalize", "compare": "Paires compare"}
 SECTIONS = {
     "summary": "Résumé global",
     "resources": "Ressources par algorithme",
@@ -113,7 +115,7 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``title`` and ``generated_at`` (``n/a`` if absent) of reports."""
     text = spark.read.text(path, wholetext=True)
-    stamp = F.trim(F.regexp_extract("value", r"(?m)^Généré le:\s*(.+)$", 1))
+    stamp = F.trim(F.regexp_extract("value", rf"(?m)^{STAMP}:\s*(.+)$", 1))
     return text.select(
         F.col("_metadata.file_path").alias("path"),
         F.trim(F.regexp_extract("value", rf"(?m)^#\s+{TITLE}\s+-\s+(.+)$", 1)).alias("title"),
