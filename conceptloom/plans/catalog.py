@@ -706,6 +706,52 @@ def pairwise_matrix(spark, d):
     return C.pairwise(*_produced(spark, d))
 
 
+def _case_sql(source: str) -> str:
+    """Sinks of a lattice, whole and without the edges into its top."""
+    return Q.base(source) + Q.COVERS + """, t as (select bit_and(i) top from con)
+select p, case when sinks = 1 then 'OK' else 'CONVERSION_FAILED' end status from (
+  select 'whole' p, (select count(*) from con where i not in (select child from cov)) sinks
+  union all select 'cut', (select count(*) from con where i not in (select child from cov, t where parent <> top)) from t)"""
+
+
+_CASES_SQL = f"""select 'nation' dataset_id, p algorithm_id, status from ({_case_sql("nation")})
+union all select 'cust_prio', p, status from ({_case_sql("cust_prio")})
+union all select 'absent', p, 'MISSING_RAW_DOT' from (values ('whole'), ('cut')) t(p)"""
+
+
+def _case_graphs(spark, d) -> dict[tuple[str, str], G.Graph]:
+    """Graphs with reduced labels by dataset and producer; one producer loses the edges into the top."""
+    out = {}
+    for source in ("nation", "cust_prio"):
+        graph = graph_of(spark, d, source, "reduced")
+        out[source, "whole"], out[source, "cut"] = graph, G.Graph(graph.nodes, graph.edges.where("dst <> '0'"))
+    return out
+
+
+@register("normalize_cases", _CASES_SQL)
+def normalize_cases(spark, d):
+    """Status of every dataset with every producer: is there a graph, and does it expand to a full labelling?"""
+    found = []
+    for (source, producer), graph in _case_graphs(spark, d).items():
+        checks = G.violations(G.expand(graph))
+        bad = reduce(Column.__or__, [F.col(c) != (1 if c in ("sources", "sinks") else 0) for c in checks.columns])
+        found.append(checks.select(F.lit(source).alias("dataset_id"), F.lit(producer).alias("algorithm_id"), bad.alias("failed")))
+    datasets = spark.createDataFrame([("nation",), ("cust_prio",), ("absent",)], "dataset_id string")
+    both = ["dataset_id", "algorithm_id"]
+    cases = R.cases(datasets, ["whole", "cut"]).join(reduce(DataFrame.unionByName, found), both, "left")
+    status = R.normalize_status(F.col("failed").isNotNull(), F.lit(False), F.coalesce("failed", F.lit(False)))
+    return cases.select(*both, status.alias("status"))
+
+
+@register("producer_groups", f"""select 'nation' dataset, 3::bigint n_equivalent
+union all select 'cust_prio', (case when status = 'OK' then 3 else 2 end)::bigint from ({_case_sql("cust_prio")}) where p = 'cut'""")
+def producer_groups(spark, d):
+    """Largest group of producers whose lattices agree, from comparisons of their graphs."""
+    nodes, edges = _produced(spark, d)
+    nodes = Scratch(spark, "producers").save(nodes, "nodes")
+    return C.equivalence_group_sizes(nodes.select("dataset", "producer").distinct(), C.pairwise(nodes, edges))
+
+
 # -- run tables -------------------------------------------------------------------------------
 
 
