@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conceptloom.llm.common import ascii_lower, lookup, whole_text
+from conceptloom.llm.common import ascii_lower, lookup, spare, whole_text
 from conceptloom.scratch import Scratch
 
 BITS = 52
@@ -124,11 +124,11 @@ def _digests(scratch: Scratch, docs: DataFrame) -> DataFrame:
     )
 
 
-def _suspects(spark: SparkSession, docs: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose fingerprint may be repeated, the other rows), with columns _fp and _norm."""
-    may_repeat = _may_repeat(spark, repeated)
-    marked = docs.withColumn("_norm", ascii_lower(whole_text())).withColumn("_fp", fingerprint(F.col("_norm")))
-    return marked.where(may_repeat("_fp")), marked.where(~may_repeat("_fp"))
+def _suspects(spark: SparkSession, docs: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(rows whose fingerprint may be repeated, the other rows, name of the added column of normalised text)."""
+    may_repeat, norm, fp = _may_repeat(spark, repeated), spare(docs, "_norm"), spare(docs, "_fp")
+    marked = docs.withColumn(norm, ascii_lower(whole_text())).withColumn(fp, fingerprint(F.col(norm)))
+    return marked.where(may_repeat(fp)), marked.where(~may_repeat(fp)), norm
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs, scratch = docs.select("doc_id", "text"), Scratch(spark, "exact-dedup")
     digests = _digests(scratch, docs)
     repeated = scratch.save(repeated_fingerprints(digests), "repeated")
-    suspects, _ = _suspects(spark, docs, repeated)
+    suspects, _, _ = _suspects(spark, docs, repeated)
     verified = scratch.save(
         suspects.groupBy("_norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1").select(F.sha2("_norm", 256).alias("text_sha256"), "keep_id", "group_size",
@@ -161,14 +161,12 @@ def survivors(spark: SparkSession, docs: DataFrame) -> DataFrame:
     repeated = scratch.save(
         repeated_fingerprints(docs.select(fingerprint(ascii_lower(whole_text())).alias("fp"))), "repeated"
     )
-    suspects, others = _suspects(spark, docs, repeated)
-    rest = [c for c in columns if c != "doc_id"]
-    best = suspects.groupBy("_norm").agg(
-        F.max(F.struct(F.col("doc_id"), F.struct(*[F.col(c) for c in rest]).alias("_rest"))).alias("_best")
+    suspects, others, norm = _suspects(spark, docs, repeated)
+    # The row as a value, not as the order: its columns may be of types without one.
+    best = suspects.groupBy(norm).agg(
+        F.max_by(F.struct(*[F.col(c) for c in columns]), F.struct("doc_id", "text")).alias(spare(suspects, "_best"))
     )
-    return best.select(
-        *[F.col("_best.doc_id") if c == "doc_id" else F.col(f"_best._rest.{c}").alias(c) for c in columns]
-    ).unionByName(others.select(*columns))
+    return best.select(f"{best.columns[-1]}.*").unionByName(others.select(*columns))
 
 
 SQL = """with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t

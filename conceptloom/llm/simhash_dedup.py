@@ -24,6 +24,7 @@ columns are ignored by ``near_duplicates`` and carried by ``survivors``; an empt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -33,7 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptloom.llm.common import ascii_lower, lookup, whole_text
+from conceptloom.llm.bitmaps import bitmap_of, filtered, may_be_in
+from conceptloom.llm.common import ascii_lower, lookup, small_batches, spare, whole_text
 from conceptloom.llm.components import components
 from conceptloom.llm.decontamination import Text
 from conceptloom.scratch import Scratch
@@ -49,6 +51,8 @@ PAIRS = 64
 WORDS, SIMILARITY = 5, 0.8
 NEAR_RADIUS, NEAR_SEGMENTS = 24, 8
 BANDS, ROWS = 24, 4
+#: Bits of the bitmaps that keep texts without a partner from being shuffled (8 MiB each, at any size of the input).
+BITMAP = 26
 _WHITE = bytes(range(9, 14))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,6 +171,18 @@ def _sketch(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_sketch_of(t) for t in texts], columns=["near", "size", "keys"])
 
 
+def _marks(shingle: int):
+    """Fingerprint and sketch of a text in one pass."""
+
+    @F.pandas_udf("fp bigint, near bigint, size int, keys array<bigint>")
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [{"fp": fingerprint_of(t, shingle)} | _sketch_of(t) for t in texts]
+            yield pd.DataFrame(rows, columns=["fp", "near", "size", "keys"])
+
+    return marks
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _shingle_set(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles_of(t).view(np.int64) for t in texts], dtype=object)
@@ -185,8 +201,10 @@ def similar(scratch: Scratch, docs: DataFrame, marked: DataFrame, least: float =
     keys = texts.select("t", F.explode("keys").alias("key"))
     shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "shared-keys")
     members = scratch.save(keys.join(shared, "key"), "members")
+    wanted = texts.join(members, "t", "left_semi").select(F.xxhash64("node").alias("h"))
+    here = docs.select(F.md5(_normal()).alias("node"), _normal().alias("_text"))
     sets = scratch.save(
-        docs.select(F.md5(_normal()).alias("node"), _normal().alias("_text"))
+        filtered(here, F.xxhash64("node"), wanted, "h", BITMAP)  # only texts with a candidate move
         .join(texts.join(members, "t", "left_semi").select("node", "t"), "node").dropDuplicates(["t"])
         .select("t", _shingle_set("_text").alias("_set")), "sets",
     )
@@ -238,8 +256,12 @@ def similar(scratch: Scratch, docs: DataFrame, marked: DataFrame, least: float =
 
 def _classes(spark: SparkSession, docs: DataFrame, shingle: int, radius: int, segments: int, least: float | None = None):
     scratch = Scratch(spark, "simhash")
-    marks = [F.md5(_normal()).alias("node"), _sketch(_normal()).alias("_s")] if least is not None else []
-    marked = scratch.save(docs.select("doc_id", fingerprint(shingle)(_normal()).alias("fp"), *marks), "fingerprints")
+    if least is None:
+        marked = docs.select("doc_id", fingerprint(shingle)(_normal()).alias("fp"))
+    else:
+        marked = docs.select("doc_id", F.md5(_normal()).alias("node"), _marks(shingle)(_normal()).alias("_m")).select(
+            "doc_id", "node", "_m.fp", F.struct("_m.near", "_m.size", "_m.keys").alias("_s"))
+    marked = scratch.save(marked, "fingerprints")
     fps = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("_id"), F.count("*").alias("_n")), "distinct")
     edges = links(scratch, fps, radius, segments)
     if least is not None:
@@ -265,12 +287,19 @@ def survivors(
     least: float = SIMILARITY,
 ) -> DataFrame:
     """The rows that stay, with all their columns: of each component, those with its least id."""
-    marked, classes = _classes(spark, docs, shingle, radius, segments, least)
+    with small_batches(spark):
+        marked, classes = _classes(spark, docs, shingle, radius, segments, least)
     found = lookup(marked.select("doc_id", "node", "fp"), classes, "fp", "_n", marked.count(), F.struct("doc_id"))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct().select(
-        F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node")
+    gone = Scratch(spark, "simhash-gone").save(
+        found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct().select(
+            F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node"), F.xxhash64("node").alias("_h")), "gone",
+    )
+    node = spare(docs, "_node")
+    here = docs.withColumn(node, F.md5(_normal()))
+    # Texts that certainly stay don't move; of the others those that go are found by id and text.
+    shared = spark.sparkContext.broadcast(bitmap_of(gone, "_h", BITMAP))
+    maybe = may_be_in(shared, BITMAP)(F.xxhash64(node))
+    same = F.col("doc_id").eqNullSafe(gone["_gone"]) & (F.col(node) == gone["_gone_node"])
+    return here.where(~maybe).select(*docs.columns).unionByName(
+        here.where(maybe).join(gone, same, "left_anti").select(*docs.columns)
     )
-    here = docs.withColumn("_node", F.md5(_normal()))
-    return here.join(
-        gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_node") == F.col("_gone_node")), "left_anti"
-    ).select(*docs.columns)

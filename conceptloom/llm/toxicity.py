@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import id_remainder, whole_text
+from conceptloom.llm.common import id_remainder, small_batches, whole_text
+from conceptloom.scratch import Scratch
 
 #: At most so many texts of each label are learnt from.
 SAMPLE = 4000
@@ -188,4 +189,5 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that aren't predicted to be toxic, with all their columns."""
-    return docs.where(score(spark, docs, labels) < 0.5)
+    with small_batches(spark):
+        return Scratch(spark, "toxicity").save(docs.where(score(spark, docs, labels) < 0.5), "accepted")

@@ -240,3 +240,49 @@ def test_odd_sketch_estimates():
             assert ones <= limit
             found.append(odd_sketch_dedup.similarity_of(ones, n))
         assert abs(np.mean(found) - similarity) < near
+
+
+def test_survivors_keep_columns_of_any_name_and_type(spark):
+    """The filters of the pipeline give rows back as they were, helper names and columns without an order included."""
+    from pyspark.sql import functions as F
+
+    from conceptloom.llm import exact_dedup, simhash_dedup
+
+    rows = [(1, "One text", "a"), (2, "one TEXT", "b"), (3, prose(5, 40), "c"), (4, prose(5, 40) + " tail", "d"), (None, None, "e"), (7, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _norm string")
+    for name in ("_fp", "_node", "_best", "_gone"):
+        docs = docs.withColumn(name, F.col("_norm"))
+    docs = docs.withColumn("bag", F.create_map(F.lit("k"), F.col("_norm")))
+    same = lambda r: r._norm == r._fp == r._node == r._best == r._gone == r.bag["k"]
+    exact = exact_dedup.survivors(spark, docs)
+    assert exact.columns == docs.columns
+    out = exact.collect()
+    assert sorted(r._norm for r in out) == ["b", "c", "d", "f"] and all(map(same, out))
+    near = simhash_dedup.survivors(spark, docs)
+    assert near.columns == docs.columns
+    out = near.collect()
+    assert {r._norm for r in out} >= {"a", "c"} and "b" not in {r._norm for r in out} and all(map(same, out))
+    assert sum(r._norm in "cd" for r in out) == 1
+
+
+def test_small_batches_restores_the_setting(spark):
+    from conceptloom.llm.common import small_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), small_batches(spark, 1000):
+        assert spark.conf.get(name) == "1000"
+        1 / 0  # noqa: B018
+    assert spark.conf.get(name) == before
+
+
+def test_bitmaps_lose_no_row(spark):
+    from pyspark.sql import functions as F
+
+    from conceptloom.llm.bitmaps import filtered
+
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
+    wanted = rows.where("id % 50 = 0")
+    kept = filtered(rows, F.col("h"), wanted, "h", 16)
+    assert kept.where("id % 50 = 0").count() == 100 and kept.count() < 300
+    assert filtered(rows, F.col("h"), wanted.limit(0), "h", 16).count() == 0
