@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import UPPER, id_remainder, whole_text
+from conceptloom.llm.common import UPPER, id_remainder, small_batches, whole_text
 from conceptloom.scratch import Scratch
 
 DEPTH = 6
@@ -41,8 +42,9 @@ HEAD = 1 << 16
 _TABLE = bytes.maketrans(UPPER.encode() + bytes(range(9, 14)), UPPER.lower().encode() + b" " * 5)
 _END = "\n"
 _PAD = bytes(DEPTH)  # before a text
-_AT_ONCE = 4 << 20  # bytes of text
-_WORDS_HELD = 1 << 20
+_AT_ONCE = 1 << 20  # bytes of text
+_WORDS_HELD = 1 << 18
+_CODES_HELD = 1 << 21
 
 
 def words_of(text: str) -> list[bytes]:
@@ -79,6 +81,17 @@ def _batches(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``_AT_ONCE`` bytes of text."""
+    for batch in batches:
+        begin, size = 0, 0
+        for end, n in enumerate(pc.binary_length(batch.column("text")).to_pylist(), 1):
+            size += n
+            if size >= _AT_ONCE or end == batch.num_rows:
+                yield batch.slice(begin, end - begin)
+                begin, size = end, 0
+
+
 def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -89,7 +102,7 @@ def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         new, n = np.unique(_codes(texts), return_counts=True)
         code, place = np.unique(np.concatenate([code, new]), return_inverse=True)
         count = np.bincount(place, weights=np.concatenate([count, n]), minlength=len(code)).astype(np.int64)
-        if len(code) > 4 * _WORDS_HELD:
+        if len(code) > _CODES_HELD:
             yield out()
             code, count = code[:0], count[:0]
     yield out()
@@ -250,6 +263,11 @@ def by_table(windows: DataFrame, tree, tail: DataFrame) -> DataFrame:
 
 def scores(spark: SparkSession, docs: DataFrame, modulus: int = 7, left_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    with small_batches(spark):
+        return _scores(spark, docs, modulus, left_out)
+
+
+def _scores(spark: SparkSession, docs: DataFrame, modulus: int, left_out: int) -> DataFrame:
     scratch = Scratch(spark, "suffix-tree")
     rows = docs.select("doc_id", (id_remainder(modulus) == left_out).alias("held_out"), whole_text().alias("text"))
     training = rows.where(~F.col("held_out")).select("text")
@@ -264,7 +282,7 @@ def scores(spark: SparkSession, docs: DataFrame, modulus: int = 7, left_out: int
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value
-        for batch in batches:
+        for batch in _portions(batches):
             words = [[*words_of(t.as_py()), _END.encode()] for t in batch.column("text")]
             texts = [b" ".join(w) for w in words]
             parts = [tree.value.scores(part) for part in _batches(iter(texts))]
