@@ -190,7 +190,7 @@ def _compare(spark, run_dir, root, cases, limit, resume) -> bool:
             try:
                 for a in (left, right):
                     if a not in graphs:
-                        graphs[a] = dot.read_dot(spark, files[a])
+                        graphs[a] = dot.read_dot(spark, files[a], free=True)
                 report = C.compare_graphs(graphs[left], graphs[right]).summary().first().asDict()
                 record |= {"status": "OK", "equivalent": report["equivalent"], "report": report,
                            "returncode": 0 if report["equivalent"] else 1}

@@ -233,3 +233,39 @@ def test_stream_state_is_compacted(spark, tmp_path):
         assert got_concepts(state.lattice()) == want
         assert set(got_covers(state.lattice())) == brute_covers(want)
     assert len(os.listdir(tmp_path / "s" / "snapshot")) == 1
+
+
+def test_labels_of_many_objects_are_read_back(spark, tmp_path):
+    """More objects than a label has on one line: normalize_cases, pairwise_matrix and producer_groups read such labels."""
+    from conceptloom.plans import catalog
+
+    n = dot.WRAP + 1
+    spark.range(n).selectExpr("id c_custkey", "id % 2 c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(n).selectExpr("id o_custkey", "if(id = 0, '2', '1') o_orderpriority", "'F' o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("select id n_nationkey, string(id) n_name from range(2)").write.parquet(str(tmp_path / "nation.parquet"))
+    nodes = catalog.graph_of(spark, str(tmp_path), "cust_prio", "reduced").nodes
+    assert nodes.selectExpr("max(size(objs))").first()[0] == n - 1
+    found = catalog._produced(spark, str(tmp_path))[0].groupBy("dataset", "producer").agg(F.max(F.size("objs"))).collect()
+    assert {(r[0], r[1]): r[2] for r in found if r[0] == "cust_prio"} == {("cust_prio", p): n for p in ("join", "subtree", "broken")}
+
+
+def test_labels_over_several_files(spark, tmp_path, monkeypatch):
+    """A text of many rows is several files, and a label may go on in the next one."""
+    import os
+
+    lattice = build_lattice(make_context(spark, random_rows(19, 6, 40), 6))
+    dot.write_dot(dot.dot_lines(lattice, "full"), str(tmp_path / "one"))
+    monkeypatch.setattr(dot, "ONE_FILE", 0)
+    coalesce, parts = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    old = {c: spark.conf.get(c) for c in (coalesce, parts)}
+    spark.conf.set(coalesce, "false")
+    spark.conf.set(parts, "7")
+    try:
+        dot.write_dot(dot.dot_lines(lattice, "full", wrap=2), str(tmp_path / "many"))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    files = sorted(x for x in os.listdir(tmp_path / "many") if x.startswith("part-"))
+    texts = [(tmp_path / "many" / x).read_text() for x in files]
+    assert any(t.endswith("\\\n") for t in texts)
+    assert C.compare_graphs(dot.read_dot(spark, str(tmp_path / "one")), dot.read_dot(spark, str(tmp_path / "many"), free=True)).summary().first().equivalent
