@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptloom.operators.context import Context, attribute_names, from_columns, from_pairs
+from conceptloom.scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +115,7 @@ def supplier_brand(spark: SparkSession, d: str) -> Context:
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_suppkey").alias("g"), F.col("p_brand").alias("m")).agg(F.count(F.lit(1)).alias("n"))
     )
+    counts = Scratch(spark, "pairs").save(counts, "sold")  # once: totals, attributes and rows don't read the lines again
     totals = counts.groupBy("g").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("brands"))
     kept = counts.join(totals, "g").where(F.col("n") * F.col("brands") > F.col("total"))
     return from_pairs(kept, "g", "m")

@@ -269,3 +269,13 @@ def test_labels_over_several_files(spark, tmp_path, monkeypatch):
     texts = [(tmp_path / "many" / x).read_text() for x in files]
     assert any(t.endswith("\\\n") for t in texts)
     assert C.compare_graphs(dot.read_dot(spark, str(tmp_path / "one")), dot.read_dot(spark, str(tmp_path / "many"), free=True)).summary().first().equivalent
+
+
+def test_lines_of_suppliers_are_read_once(spark, tmp_path):
+    from conceptloom.plans import contexts
+
+    spark.sql("select 1L l_suppkey, id l_partkey from range(3) union all select 2L, 0L").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("select id p_partkey, if(id < 2, 'a', 'b') p_brand from range(3)").write.parquet(str(tmp_path / "part.parquet"))
+    context = contexts.supplier_brand(spark, str(tmp_path))
+    assert not any("lineitem.parquet" in f for f in context.objects.inputFiles())
+    assert [r[0] for r in context.objects.select("obj_id").collect()] == [1] and context.attributes == ("a",)
