@@ -286,3 +286,22 @@ def test_bitmaps_lose_no_row(spark):
     kept = filtered(rows, F.col("h"), wanted, "h", 16)
     assert kept.where("id % 50 = 0").count() == 100 and kept.count() < 300
     assert filtered(rows, F.col("h"), wanted.limit(0), "h", 16).count() == 0
+
+
+def test_starts_outside_a_trie_are_left_out_and_none_inside():
+    """Keys of every length around the prefix, one the beginning of another, and bytes above 127."""
+    from conceptloom.llm import collocations as X
+
+    words = ["a", "ab", "abcdefg", "abcdefgh", "abcdefghi", "abz", "b", "é", "ÿÿÿÿÿ", "zz"]
+    rng = np.random.default_rng(3)
+    data = X.normal(" ".join(rng.choice(words, 3000)).replace(" b ", " b. ").encode())
+    chunk = X.Chunk(data, len(data))
+    every = sorted({data[chunk.starts[i] : chunk.ends[i + k - 1]] for k in (1, 2, 3) for i in chunk.windows(k)})
+    begins = X.prefixes(chunk)
+    for at in range(0, len(every), 37):
+        keys = every[at : at + 37]
+        low, high = X.prefix_range(keys)
+        among = np.flatnonzero((begins >= np.uint64(low)) & (begins <= np.uint64(high)))
+        assert len(among) < chunk.n
+        trie = X.build_trie(keys)
+        assert (X.count_phrases(chunk, *trie, len(keys), among) == X.count_phrases(chunk, *trie, len(keys))).all()
