@@ -15,7 +15,7 @@ id; further columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +26,8 @@ from conceptloom.llm.common import whole_text
 CHUNK = 1 << 16
 OVERLAP = 256
 MARGIN = 64
-#: Texts are handed to the library in groups of about so many characters.
-GROUP = 1 << 20
+#: Texts are handed to the library in groups of about so many characters: what it returns stays in the processor's cache.
+GROUP = 1 << 16
 LIMIT = 512
 
 
@@ -65,7 +65,31 @@ def spliced_count(text: str, encode: Callable, chunk: int = CHUNK, overlap: int
             continue
         total += starts[at] - counted
         base, size, lap, left, starts, counted = begin, chunk, overlap, right, new, new[at]
-    return total + len(left.ids) - counted
+    return total + len(left) - counted
+
+
+def counts_of(tokenizer, texts: Iterable[str], chunk: int = CHUNK, overlap: int = OVERLAP, size: int = GROUP) -> list[int]:
+    """Number of tokens of each text; the encodings only give their lengths, as lists of ids are made anew for each."""
+    encode = lambda t: tokenizer.encode(t, add_special_tokens=False)
+    out, group, held = [], [], 0
+
+    def flush() -> None:
+        nonlocal held
+        out.extend(map(len, tokenizer.encode_batch_fast(group, add_special_tokens=False)))
+        group.clear()
+        held = 0
+
+    for t in texts:
+        if len(t) > chunk:
+            flush()
+            out.append(spliced_count(t, encode, chunk, overlap))
+            continue
+        if held and held + len(t) > size:
+            flush()
+        group.append(t)
+        held += len(t)
+    flush()
+    return out
 
 
 def token_count(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[Column], Column]:
@@ -79,24 +103,9 @@ def token_count(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callab
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        encode = lambda t: tokenizer.encode(t, add_special_tokens=False)
-
-        def flush(group: list[str]) -> list[int]:
-            return [len(e.ids) for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
 
         for texts in batches:
-            out, group, held = [], [], 0
-            for t in texts:
-                if len(t) > chunk:
-                    out += [*flush(group), spliced_count(t, encode, chunk, overlap)]
-                    group, held = [], 0
-                    continue
-                group.append(t)
-                held += len(t)
-                if held > GROUP:
-                    out += flush(group)
-                    group, held = [], 0
-            yield pd.Series(out + flush(group), dtype="int64")
+            yield pd.Series(counts_of(tokenizer, texts, chunk, overlap), dtype="int64")
 
     return count
 

@@ -71,6 +71,23 @@ def test_token_counts(spark, odd, empty):
             assert token_counts.spliced_count(text, encode, chunk, lap) == len(encode(text).ids)
 
 
+def test_token_counts_take_lengths_in_small_groups():
+    """Groups stay within their size, whatever the texts' lengths, and no list of ids is asked for."""
+    groups = []
+
+    class Library:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            groups.append(sum(map(len, texts)))
+            return [range(len(t)) for t in texts]  # has a length, and no ids
+
+    r = random.Random(9)
+    texts = ["x" * r.choice([0, 1, 50, 90, 100, 130]) for _ in range(200)]
+    assert token_counts.counts_of(Library(), texts, size=100) == [len(t) for t in texts]
+    assert max(groups) == 130 and sum(g > 100 for g in groups) == sum(len(t) > 100 for t in texts)
+    assert token_counts.counts_of(Library(), []) == []
+    assert token_counts.GROUP <= token_counts.CHUNK
+
+
 def test_suffix_tree(spark, odd, empty):
     docs = docs_of(spark, ODD + [(100 + i, prose(i % 4, 80), "en", "a") for i in range(60)])
     rows = suffix_tree.scores(spark, docs).collect()
