@@ -12,7 +12,8 @@ with all others; for keys whose members are still in different components this i
 from outside the first one's component.  What is left is compared across components in blocks: a key's fringe, the
 members outside its largest component, meets blocks of that component and of the fringe, and of each two blocks only
 links that join components leave the task.  So a group of copies costs its size, no pair of a group is ever a row, and
-no link between components is lost.  Work is a group's size times its fringe; for a group of which no two belong
+no link between components is lost.  Of keys with the same members one is compared.  Sketches decide first; sets move
+only for texts that a candidate or a block still names.  Work is a group's size times its fringe; for a group of which no two belong
 together that is its square, which no exact method avoids.
 
 Defined results: a document without words has an empty set, size 0, is linked with nothing and is its own component;
@@ -154,12 +155,17 @@ def _sets_of(words: int):
     return shingles
 
 
-class _Verifier:
-    """Confirms candidate pairs (a, b) of sets: odd sketches first, then the full sets."""
+class Verifier:
+    """Confirms candidate pairs (a, b) of sets: sketches first, then the full sets.
 
-    def __init__(self, scratch: Scratch, sets: DataFrame, full: DataFrame, percent: int, n: int, bits: int):
+    ``sets`` has t, size and the ``words`` of the sketches, of which similar pairs differ in at most ``ones`` bits;
+    ``full`` has t and set, at least of those that have a candidate.
+    """
+
+    def __init__(self, scratch: Scratch, sets: DataFrame, full: DataFrame | None, percent: float, ones: int, words: list[str],
+                 spokes: int = SPOKES):
         self.scratch, self.sets, self.full, self.percent = scratch, sets, full, percent
-        self.ones, self.words = most_ones(percent, n, bits), [f"o{i}" for i in range(bits // 64)]
+        self.ones, self.words, self.spokes = ones, words, spokes
 
     def side(self, s: str) -> DataFrame:
         return self.sets.select(F.col("t").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", *self.words)])
@@ -175,9 +181,7 @@ class _Verifier:
 
     def across(self, apart: DataFrame, name: str) -> DataFrame:
         """Links that join components, among all members of a key in different components; ``apart``: key, t, label."""
-        sized = self.scratch.save(
-            apart.select("key", "t", "label").join(self.sets, "t").join(self.full, "t"), f"{name}-members"
-        )
+        sized = self.scratch.save(apart.select("key", "t", "label").join(_named(self.sets, apart, "t"), "t"), f"{name}-members")
         parts = sized.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("cells"))
         keys = parts.groupBy("key").agg(
             F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("cells").alias("cells"),
@@ -196,9 +200,9 @@ class _Verifier:
             F.transform(F.sequence(here, F.col("fringe_blocks") - 1), lambda j: place(1, here, j, 0)),
             F.transform(F.sequence(F.lit(0).cast("bigint"), here), lambda i: place(1, i, here, 1)),
         )
-        dealt = numbered.select("key", "t", "label", "size", *self.words, "set", F.explode(F.when(F.col("is_main"), main).otherwise(fringe)).alias("_p"))
-        dealt = dealt.select("key", "t", "label", "size", *self.words, "set", "_p.*")
-        found = dealt.groupBy("key", "kind", "i", "j").applyInArrow(_between(self.ones, self.percent, len(self.words)), "a bigint, b bigint")
+        dealt = numbered.select("key", "t", "label", "size", *self.words, F.explode(F.when(F.col("is_main"), main).otherwise(fringe)).alias("_p"))
+        dealt = dealt.select("key", "t", "label", "size", *self.words, "_p.*").join(_named(self.full, sized, "t"), "t")
+        found = dealt.groupBy("key", "kind", "i", "j").applyInArrow(_between(self.ones, self.percent, self.words), "a bigint, b bigint")
         return self.scratch.save(found.distinct(), name)
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -207,12 +211,12 @@ class _Verifier:
         total = pairs.count()
         many = pairs.groupBy("a").agg(F.count("*").alias("_n"), F.count("*").alias("spokes"))
         dealt = lookup(pairs, many, "a", "_n", total, F.col("b")).withColumn(
-            "copy", F.pmod(F.xxhash64("b"), F.floor(F.col("spokes") / SPOKES) + 1)
+            "copy", F.pmod(F.xxhash64("b"), F.floor(F.col("spokes") / self.spokes) + 1)
         )
-        hubs = self.full.join(many, F.col("t") == F.col("a")).select(
-            "a", F.col("set").alias("set_a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_n") / SPOKES))).alias("copy")
+        hubs = _named(self.full, pairs, "a").join(many, F.col("t") == F.col("a")).select(
+            "a", F.col("set").alias("set_a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_n") / self.spokes))).alias("copy")
         )
-        other = self.full.select(F.col("t").alias("b"), F.col("set").alias("set_b"))
+        other = _named(self.full, pairs, "b").select(F.col("t").alias("b"), F.col("set").alias("set_b"))
         both = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - both
         return self.scratch.save(
@@ -220,7 +224,12 @@ class _Verifier:
         )
 
 
-def _between(ones: int, percent: int, words: int):
+def _named(table: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """``table`` without most of the rows whose t isn't in ``column`` of ``rows``, so that they don't move."""
+    return filtered(table, F.xxhash64("t"), rows.select(F.xxhash64(column).alias("_h")), "_h", BITMAP)
+
+
+def _between(ones: int, percent: float, words: list[str]):
     """Links between two blocks of sets, one for each two components."""
 
     def compare(group: pa.Table) -> pa.Table:
@@ -228,10 +237,10 @@ def _between(ones: int, percent: int, words: int):
         side, t, label, size = (table[c].to_numpy() for c in ("side", "t", "label", "size"))
         lists = table["set"].chunk(0) if table["set"].num_chunks else pa.array([], pa.list_(pa.int64()))
         cells, at = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(size)))
-        odd = np.stack([table[f"o{i}"].to_numpy() for i in range(words)], axis=1).view(np.uint64)
+        odd = np.stack([table[w].to_numpy() for w in words], axis=1).view(np.uint64)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         differ = np.zeros((len(a), len(b)), np.int32)
-        for i in range(words):
+        for i in range(len(words)):
             differ += np.bitwise_count(odd[a, i][:, None] ^ odd[b, i][None])
         low, high = np.minimum(size[a][:, None], size[b][None]), np.maximum(size[a][:, None], size[b][None])
         maybe = (differ <= ones) & (label[a][:, None] != label[b][None]) & (low * 100 >= high * percent)
@@ -271,9 +280,16 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links(scratch: Scratch, check: _Verifier, members: DataFrame, turns: int = TURNS) -> DataFrame:
+def once(members: DataFrame) -> DataFrame:
+    """Of keys with the same members (by their number and digests of 96 bits) the least one with its members; no pair is lost."""
+    h = F.xxhash64("t", F.lit(SEED))
+    same = members.groupBy("key").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("t")).alias("_x"), F.sum(F.shiftright(h, 32)).alias("_y"))
+    return members.join(same.groupBy("_n", "_x", "_y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def links(scratch: Scratch, check: Verifier, members: DataFrame, turns: int = TURNS) -> DataFrame:
     """(a, b): confirmed links that connect all sets of ``members`` (key, t) that any chain of links connects."""
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    members = scratch.save(once(members), "once")
     hubs = members.groupBy("key").agg(F.min("t").alias("hub"))
     edges, turn = None, 0
     while True:
@@ -287,7 +303,7 @@ def links(scratch: Scratch, check: _Verifier, members: DataFrame, turns: int = T
             .join(label, "t", "left").select("key", "t", F.coalesce("label", "t").alias("label")), f"known-{turn}",
         )
         still = known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
-        apart = scratch.save(known.join(still, "key"), f"apart-{turn}")
+        apart = scratch.save(once(known.join(still, "key")), f"apart-{turn}")
         if not apart.limit(1).count():
             return edges
         turn += 1
@@ -299,6 +315,15 @@ def links(scratch: Scratch, check: _Verifier, members: DataFrame, turns: int = T
     return edges.unionByName(check.across(apart, "across"))
 
 
+def one_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """t, _text: the normal text of each row of ``wanted`` (t, of_id, of_digest), from one row of ``docs``; only such rows
+    move, and once.  Rows of one digest have one text, so a hash of the id only has to tell most of its copies apart."""
+    of = wanted.select("t", F.col("of_digest").alias("digest"), F.xxhash64("of_digest", "of_id").alias("_h"))
+    texts = docs.select(F.md5(_normal()).alias("digest"), "doc_id", _normal().alias("_text")).select(
+        "digest", F.xxhash64("digest", "doc_id").alias("_h"), "_text")
+    return filtered(texts, F.col("_h"), of, "_h", BITMAP).join(of, ["digest", "_h"]).dropDuplicates(["digest", "_h"]).select("t", "_text")
+
+
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
     bits: int = BITS, turns: int = TURNS,
@@ -319,14 +344,11 @@ def near_duplicates(
     keys = sets.select("t", F.explode("keys").alias("key"))
     shared = scratch.save(keys.select("key").groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "shared")
     members = scratch.save(filtered(keys, F.col("key"), shared, "key", BITMAP).join(shared, "key").select("key", "t"), "members")
-    check = _Verifier(scratch, sets.select("t", "size", *odd), sets, percent, bands * rows, bits)
+    check = Verifier(scratch, sets.select("t", "size", *odd), None, percent, most_ones(percent, bands * rows, bits), odd)
     # Full sets of those that have a candidate, from one document of each set.
     wanted = sets.join(members.select("t").distinct(), "t", "left_semi").select("t", "of_id", "of_digest")
-    texts = docs.select("doc_id", F.md5(_normal()).alias("digest"), _normal().alias("_text"))
-    texts = filtered(texts, F.xxhash64("digest"), wanted.select(F.xxhash64("of_digest").alias("h")), "h", BITMAP)
-    same = (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
     check.full = scratch.save(
-        texts.join(wanted, same).dropDuplicates(["t"]).select("t", _sets_of(words)("_text").alias("set")), "full"
+        one_text(docs, wanted.select("t", "of_id", "of_digest")).select("t", _sets_of(words)("_text").alias("set")), "full"
     )
     label = components(scratch, links(scratch, check, members, turns), "components").withColumnRenamed("node", "t")
     joined = sets.select("d0", "d1", "t", "least_id", "_n").join(label, "t", "left").withColumn("label", F.coalesce("label", "t"))

@@ -226,6 +226,32 @@ def test_odd_sketch_near_duplicates(spark, turns):
     assert odd_sketch_dedup.near_duplicates(spark, docs_of(spark, [])).count() == 0
 
 
+def test_keys_with_the_same_members_are_compared_once(spark):
+    """Sets don't move with the keys they share: no working table has more than one row a text and set of members."""
+    members = spark.createDataFrame([(k, t) for k in range(40) for t in ((1, 2, 3) if k % 2 else (2, 3, 4 + k))], "key bigint, t bigint")
+    got = odd_sketch_dedup.once(members).groupBy("key").agg({"t": "collect_set"}).collect()
+    assert sorted(sorted(r[1]) for r in got) == [[1, 2, 3], *[[2, 3, 4 + k] for k in range(0, 40, 2)]]
+    saved = {}
+
+    class Recorder(odd_sketch_dedup.Scratch):
+        def save(self, df, name):
+            saved[name] = super().save(df, name)
+            return saved[name]
+
+    r, rows = random.Random(3), []
+    for i in range(40):  # two groups that share words, of which no two texts of different groups are similar
+        half = prose(40 + i % 2, 10).split()
+        rows.append((i, " ".join([*prose(50, 60).split(), *half, f"w{r.randrange(5)}"]), "en"))
+    old, odd_sketch_dedup.Scratch = odd_sketch_dedup.Scratch, Recorder
+    try:
+        out = odd_sketch_dedup.near_duplicates(spark, docs_of(spark, rows), turns=0).collect()
+    finally:
+        odd_sketch_dedup.Scratch = old
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == sorted(groups([x[:2] for x in rows]))
+    assert "across-members" in saved and "set" not in saved["across-members"].columns
+    assert saved["across-members"].select("key").distinct().count() < saved["members"].select("key").distinct().count()
+
+
 def test_odd_sketch_estimates():
     """XOR counts follow the similarity; no pair at the least similarity is pruned."""
     rng = np.random.default_rng(3)
