@@ -13,9 +13,9 @@ between them.  Those meetings are bounded by the ball's size and lose no link.
 differ in about 10 of 64 bits, up to ``NEAR_RADIUS``, where no key of equal segments prunes any more.  Their candidates
 are texts that share one of ``BANDS`` keys of ``ROWS`` minimal shingle hashes (a pair of similarity 0.8 has none in
 common once in 300 000 times); pigeonring chains and the Hamming check prune them, and the shingle sets themselves
-decide.  Of a key with more than ``PAIRS`` texts each is compared with one of them, the hub; only texts that stay
-unconnected to it are then compared with those of other components of the key, so no link is lost and groups of copies
-are not expanded to all pairs.
+decide.  As in ``odd_sketch_dedup``, each text of a key is compared with one of them, the hub; only texts that stay
+unconnected are then compared, block by block, with those of other components of the key, so no link is lost and no group
+is expanded to all pairs.
 
 Defined results: null, empty and blank texts have fingerprint 0 and are linked like any other; repeated rows are
 documents of their own with the same class; a null id never is a component's id unless all its ids are null; further
@@ -38,6 +38,8 @@ from conceptloom.llm.bitmaps import bitmap_of, filtered, may_be_in
 from conceptloom.llm.common import ascii_lower, lookup, small_batches, spare, whole_text
 from conceptloom.llm.components import components
 from conceptloom.llm.decontamination import Text
+from conceptloom.llm.odd_sketch_dedup import Verifier, one_text
+from conceptloom.llm.odd_sketch_dedup import links as connecting
 from conceptloom.scratch import Scratch
 
 BITS = 64
@@ -45,7 +47,7 @@ RADIUS = 2
 SEGMENTS = 16
 SHINGLE = 3
 SEED = 42
-#: The most distinct fingerprints of a key that are compared in pairs.
+#: The most distinct fingerprints of a key that are compared in pairs, and comparisons that share a copy of a text's set.
 PAIRS = 64
 #: Links by similarity of shingle sets: words of a shingle, least similarity, most differing bits, segments of the ring.
 WORDS, SIMILARITY = 5, 0.8
@@ -192,63 +194,32 @@ def _normal() -> Column:
     return ascii_lower(whole_text())
 
 
+class _Pigeonring(Verifier):
+    """Fingerprints as sketches: some chain on their ring keeps within every budget, and so do all bits."""
+
+    def similar(self) -> Column:
+        differ = F.col("near_a").bitwiseXOR(F.col("near_b"))
+        return super().similar() & reduce(Column.__or__, [
+            _within_budgets(_turned(differ, i * (BITS // NEAR_SEGMENTS)), NEAR_SEGMENTS, NEAR_RADIUS) for i in range(NEAR_SEGMENTS)
+        ])
+
+
 def similar(scratch: Scratch, docs: DataFrame, marked: DataFrame, least: float = SIMILARITY, pairs: int = PAIRS) -> DataFrame:
-    """(a, b): fingerprints of texts with similar shingle sets; ``marked`` has node (digest of the text), fp, _s (sketch)."""
+    """(a, b): fingerprints of texts with similar shingle sets, as many as connect what all such links connect.
+
+    ``marked`` has doc_id, node (digest of the text), fp, _s (sketch); ``pairs``: so many comparisons share a copy of a text's set.
+    """
     texts = scratch.save(
-        marked.where("_s.size > 0").groupBy("node").agg(F.first(F.struct("fp", "_s")).alias("_t"))
-        .select("node", "_t.fp", "_t._s.*", F.monotonically_increasing_id().alias("t")), "texts",
+        marked.where("_s.size > 0").groupBy("node").agg(F.first(F.struct("fp", "_s")).alias("_t"), F.min("doc_id").alias("of_id"))
+        .select("node", "of_id", "_t.fp", "_t._s.*", F.monotonically_increasing_id().alias("t")), "texts",
     )
     keys = texts.select("t", F.explode("keys").alias("key"))
-    shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "shared-keys")
-    members = scratch.save(keys.join(shared, "key"), "members")
-    wanted = texts.join(members, "t", "left_semi").select(F.xxhash64("node").alias("h"))
-    here = docs.select(F.md5(_normal()).alias("node"), _normal().alias("_text"))
-    sets = scratch.save(
-        filtered(here, F.xxhash64("node"), wanted, "h", BITMAP)  # only texts with a candidate move
-        .join(texts.join(members, "t", "left_semi").select("node", "t"), "node").dropDuplicates(["t"])
-        .select("t", _shingle_set("_text").alias("_set")), "sets",
-    )
-    side = lambda df, old, *cols: df.select(F.col("t").alias(old), *[F.col(c).alias(f"{c}_{old}") for c in cols])
-    differ = F.col("near_a").bitwiseXOR(F.col("near_b"))
-    chains = reduce(Column.__or__, [
-        _within_budgets(_turned(differ, i * (BITS // NEAR_SEGMENTS)), NEAR_SEGMENTS, NEAR_RADIUS) for i in range(NEAR_SEGMENTS)
-    ])
-    both = F.size(F.array_intersect("_set_a", "_set_b"))
-
-    def verified(found: DataFrame, name: str) -> DataFrame:
-        close = scratch.save(
-            found.join(side(texts, "a", "near", "size"), "a").join(side(texts, "b", "near", "size"), "b")
-            .where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least).where(chains).select("a", "b"),
-            f"{name}-close",
-        )
-        return scratch.save(
-            close.join(side(sets, "a", "_set"), "a").join(side(sets, "b", "_set"), "b")
-            .where(both >= (F.size("_set_a") + F.size("_set_b") - both) * least).select("a", "b"), name,
-        )
-
-    def paired(rows: DataFrame) -> DataFrame:
-        return rows.select("key", F.col("t").alias("a")).join(rows.select("key", F.col("t").alias("b")), "key").where(
-            "a < b").select("a", "b").distinct()
-
-    edges = verified(paired(members.where(F.col("_n") <= pairs)), "similar")
-    crowded = scratch.save(members.where(F.col("_n") > pairs).select("key", "t"), "crowded")
-    if crowded.limit(1).count():
-        hubs = crowded.groupBy("key").agg(F.min("t").alias("hub"))
-        spokes = crowded.join(hubs, "key").where("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b")).distinct()
-        edges = edges.unionByName(verified(spokes, "spokes"))
-        label = components(scratch, edges, "connected").withColumnRenamed("node", "t")
-        known = scratch.save(
-            crowded.join(texts.select("t", "near", "size"), "t").join(label, "t", "left")
-            .select("key", "t", "near", "size", F.coalesce("label", "t").alias("label")), "labelled",
-        )
-        main = known.groupBy("key").agg(F.min_by("label", "t").alias("main"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-        main = scratch.save(main.where("_lo <> _hi").select("key", "main"), "open-keys")
-        apart = side(known.join(main, "key").where("label <> main"), "a", "key", "near", "size", "label")
-        rest = side(known.join(main, "key", "left_semi"), "b", "key", "near", "size", "label")
-        across = apart.join(rest, F.col("key_a") == F.col("key_b")).where("label_a <> label_b").where(
-            F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least).where(chains)
-        edges = edges.unionByName(verified(
-            across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across"))
+    shared = scratch.save(keys.select("key").groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "shared-keys")
+    members = scratch.save(filtered(keys, F.col("key"), shared, "key", BITMAP).join(shared, "key").select("key", "t"), "members")
+    wanted = texts.join(members.select("t").distinct(), "t", "left_semi").select("t", "of_id", F.col("node").alias("of_digest"))
+    sets = scratch.save(one_text(docs, wanted).select("t", _shingle_set("_text").alias("set")), "sets")  # only texts with a candidate
+    check = _Pigeonring(scratch, texts.select("t", "size", "near"), sets, least * 100, NEAR_RADIUS, ["near"], pairs)
+    edges = connecting(scratch, check, members)
     fp = lambda old: texts.select(F.col("t").alias(old), F.col("fp").alias(f"fp_{old}"))
     return edges.join(fp("a"), "a").join(fp("b"), "b").where("fp_a <> fp_b").select(
         F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()

@@ -399,6 +399,27 @@ def test_similar_texts_connect_like_brute_force(spark, pairs):
                 assert (label[k] == label[j]) == (find(k) == find(j)), (rows[k][0], rows[j][0])
 
 
+def test_similar_texts_are_not_expanded_to_pairs(spark):
+    """A group of n near copies makes a multiple of n candidate pairs, not n * (n - 1) / 2."""
+    words, made = prose(3, 150).split(), []
+    rows = [(i, " ".join([*words[:i], f"new{i}", *words[i + 1 :]]), "en", "a") for i in range(50)]
+
+    class Recorder(Scratch):
+        def save(self, df, name):
+            out = super().save(df, name)
+            if {"a", "b"} <= set(out.columns) and not name.startswith("component"):
+                made.append(out.count())
+            return out
+
+    F, scratch = simhash_dedup.F, Recorder(spark, "similar")
+    marked = scratch.save(docs_of(spark, rows).select(
+        "doc_id", F.md5(simhash_dedup._normal()).alias("node"), F.xxhash64("text").alias("fp"),
+        simhash_dedup._sketch(simhash_dedup._normal()).alias("_s")), "marked")
+    edges = scratch.save(simhash_dedup.similar(scratch, docs_of(spark, rows), marked), "found")
+    assert len({x.label for x in components(scratch, edges).collect()}) == 1
+    assert made and max(made) <= 4 * len(rows)
+
+
 def test_exact_dedup(spark, odd, empty):
     rows = ODD + [(400 + i, ["Copy of a TEXT", "copy OF a text", prose(i, 30)][i % 3], "en", "a") for i in range(60)]
     docs = docs_of(spark, rows)
