@@ -5,13 +5,15 @@ MinHash samples are taken; sets that share all samples of a band are candidates
 none about once in ten million).  The samples are also folded into an odd sketch: sample i with value x flips the
 bit that (i, x) hashes to, so in the XOR of two sketches equal samples cancel out and the number of ones grows with the
 number of samples that differ, precisely so for similar sets.  Candidates whose XOR has more ones than a pair at the
-least similarity reaches once in a million (``most_ones``) go; the others are confirmed on the full sets.
+least similarity reaches once in a million (``most_ones``) go.  A second odd sketch has the parities of the set itself: its
+XOR has no more ones than the sets have different shingles, so pairs with more than the least similarity allows go, without
+any loss.  The others are confirmed on the full sets.
 
 Classes need links that connect, not all pairs of a group.  Of each band key the least member is the hub and is compared
 with all others; for keys whose members are still in different components this is repeated ``TURNS`` times with a hub
 from outside the first one's component.  What is left is compared across components in blocks: a key's fringe, the
 members outside its largest component, meets blocks of that component and of the fringe, and of each two blocks only
-links that join components leave the task.  So a group of copies costs its size, no pair of a group is ever a row, and
+links that join components leave the task; a set goes to a block only if its sketches allow a partner there.  So a group of copies costs its size, no pair of a group is ever a row, and
 no link between components is lost.  Of keys with the same members one is compared.  Sketches decide first; sets move
 only for texts that a candidate or a block still names.  Work is a group's size times its fringe; for a group of which no two belong
 together that is its square, which no exact method avoids.
@@ -42,12 +44,12 @@ WORDS = 4
 #: Least similarity in percent.
 PERCENT = 80
 BANDS, ROWS = 40, 5
-#: Bits of an odd sketch.
-BITS = 512
+#: Bits of an odd sketch, of the samples and of the whole set.
+BITS, PARITY_BITS = 512, 512
 SEED = 13
 TURNS = 1
-#: Shingles of the sets in a block.
-CELLS = 1 << 18
+#: Shingles of the sets in a block, and shingles that a set counts as besides its own, so that blocks of short texts are bounded.
+CELLS, LEAST_CELLS = 1 << 18, 128
 #: Bits of the bitmaps that keep rows without a partner from being shuffled (8 MiB each, at any size of the input).
 BITMAP = 26
 #: Copies of a hub's set are made for each so many of its candidates, so that no task compares all of them.
@@ -104,6 +106,16 @@ def odd_sketch(least: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity_words(bits: int = PARITY_BITS) -> list[str]:
+    return [f"p{i}" for i in range(bits // 64)]
+
+
+def parity_sketch(hashes: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """Parity of the hashes of a set that fall on each bit, as 64-bit words: two such differ in at most as many bits as the sets in hashes."""
+    odd = np.bincount((_mixed(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similarity_of(ones: int, n: int, bits: int = BITS) -> float:
     """Estimated similarity of two sets of ``n`` samples whose sketches differ in ``ones`` bits."""
     return 1 + bits / (4 * n) * math.log(max(1e-9, 1 - 2 * ones / bits))
@@ -126,7 +138,8 @@ def _normal() -> Column:
 
 
 def _sketched(words: int, bands: int, rows: int, bits: int):
-    words_type = ", ".join(f"o{i} bigint" for i in range(bits // 64))
+    names = [*[f"o{i}" for i in range(bits // 64)], *parity_words()]
+    words_type = ", ".join(f"{x} bigint" for x in names)
 
     @F.pandas_udf(f"d0 bigint, d1 bigint, size bigint, keys array<bigint>, {words_type}")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -137,12 +150,12 @@ def _sketched(words: int, bands: int, rows: int, bits: int):
             for t in texts:
                 s = shingle_set(t, words)
                 if not len(s):
-                    out.append((0, 0, 0, np.zeros(0, np.int64), *[0] * (bits // 64)))
+                    out.append((0, 0, 0, np.zeros(0, np.int64), *[0] * len(names)))
                     continue
                 d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
                 least = samples(s, bands, rows)
-                out.append((*d, len(s), band_keys(least, rows), *odd_sketch(least, bits).tolist()))
-            yield pd.DataFrame(out, columns=["d0", "d1", "size", "keys", *[f"o{i}" for i in range(bits // 64)]])
+                out.append((*d, len(s), band_keys(least, rows), *odd_sketch(least, bits).tolist(), *parity_sketch(s).tolist()))
+            yield pd.DataFrame(out, columns=["d0", "d1", "size", "keys", *names])
 
     return sketch
 
@@ -158,22 +171,24 @@ def _sets_of(words: int):
 class Verifier:
     """Confirms candidate pairs (a, b) of sets: sketches first, then the full sets.
 
-    ``sets`` has t, size and the ``words`` of the sketches, of which similar pairs differ in at most ``ones`` bits;
-    ``full`` has t and set, at least of those that have a candidate.
+    ``sets`` has t, size, the ``words`` of the sketches, of which similar pairs differ in at most ``ones`` bits, and the parities
+    of the sets; ``full`` has t and set, at least of those that have a candidate.
     """
 
     def __init__(self, scratch: Scratch, sets: DataFrame, full: DataFrame | None, percent: float, ones: int, words: list[str],
                  spokes: int = SPOKES):
         self.scratch, self.sets, self.full, self.percent = scratch, sets, full, percent
         self.ones, self.words, self.spokes = ones, words, spokes
+        self.columns = ["size", *words, *parity_words()]
 
     def side(self, s: str) -> DataFrame:
-        return self.sets.select(F.col("t").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", *self.words)])
+        return self.sets.select(F.col("t").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in self.columns])
 
     def similar(self) -> Column:
         """What sizes and sketches allow, over columns of both sides."""
-        ones = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in self.words), F.lit(0))
-        return (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * self.percent) & (ones <= self.ones)
+        ones, odd = (sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0)) for words in (self.words, parity_words()))
+        return (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * self.percent) & (ones <= self.ones) & (
+            odd * (100 + self.percent) <= (F.col("size_a") + F.col("size_b")) * (100 - self.percent))
 
     def sketched(self, pairs: DataFrame) -> DataFrame:
         """Different pairs that sizes and sketches allow."""
@@ -182,7 +197,7 @@ class Verifier:
     def across(self, apart: DataFrame, name: str) -> DataFrame:
         """Links that join components, among all members of a key in different components; ``apart``: key, t, label."""
         sized = self.scratch.save(apart.select("key", "t", "label").join(_named(self.sets, apart, "t"), "t"), f"{name}-members")
-        parts = sized.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("cells"))
+        parts = sized.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.col("size") + LEAST_CELLS).alias("cells"))
         keys = parts.groupBy("key").agg(
             F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("cells").alias("cells"),
             F.max_by("cells", F.struct("n", "label")).alias("main_cells"),
@@ -200,9 +215,13 @@ class Verifier:
             F.transform(F.sequence(here, F.col("fringe_blocks") - 1), lambda j: place(1, here, j, 0)),
             F.transform(F.sequence(F.lit(0).cast("bigint"), here), lambda i: place(1, i, here, 1)),
         )
-        dealt = numbered.select("key", "t", "label", "size", *self.words, F.explode(F.when(F.col("is_main"), main).otherwise(fringe)).alias("_p"))
-        dealt = dealt.select("key", "t", "label", "size", *self.words, "_p.*").join(_named(self.full, sized, "t"), "t")
-        found = dealt.groupBy("key", "kind", "i", "j").applyInArrow(_between(self.ones, self.percent, self.words), "a bigint, b bigint")
+        dealt = numbered.select("key", "t", "label", *self.columns, F.explode(F.when(F.col("is_main"), main).otherwise(fringe)).alias("_p"))
+        dealt = dealt.select("key", "t", "label", *self.columns, "_p.*")
+        blocks = ("key", "kind", "i", "j")
+        maybe = self.scratch.save(dealt.groupBy(*blocks).applyInArrow(
+            _with_partner(self.ones, self.percent, self.words), dealt.schema).select(*blocks, "side", "t", "label", *self.columns), f"{name}-maybe")
+        found = maybe.join(_named(self.full, maybe, "t"), "t").groupBy(*blocks).applyInArrow(
+            _between(self.ones, self.percent, self.words), "a bigint, b bigint")
         return self.scratch.save(found.distinct(), name)
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -229,21 +248,43 @@ def _named(table: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     return filtered(table, F.xxhash64("t"), rows.select(F.xxhash64(column).alias("_h")), "_h", BITMAP)
 
 
+def _allowed(table: pa.Table, ones: int, percent: float, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two sides of a block, and which pairs in different components sizes and sketches allow."""
+    side, label, size = (table[c].to_numpy() for c in ("side", "label", "size"))
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+    def differ(names: list[str]) -> np.ndarray:
+        out = np.zeros((len(a), len(b)), np.int32)
+        for w in names:
+            word = table[w].to_numpy().view(np.uint64)
+            out += np.bitwise_count(word[a][:, None] ^ word[b][None])
+        return out
+
+    low, high = np.minimum(size[a][:, None], size[b][None]), np.maximum(size[a][:, None], size[b][None])
+    return a, b, (label[a][:, None] != label[b][None]) & (low * 100 >= high * percent) & (differ(words) <= ones) & (
+        differ(parity_words()) * (100 + percent) <= (low + high) * (100 - percent))
+
+
+def _with_partner(ones: int, percent: float, words: list[str]):
+    """Rows of a block that sizes and sketches allow a partner."""
+
+    def keep(group: pa.Table) -> pa.Table:
+        table = group.combine_chunks()
+        a, b, maybe = _allowed(table, ones, percent, words)
+        return table.take(np.concatenate((a[maybe.any(axis=1)], b[maybe.any(axis=0)])))
+
+    return keep
+
+
 def _between(ones: int, percent: float, words: list[str]):
     """Links between two blocks of sets, one for each two components."""
 
     def compare(group: pa.Table) -> pa.Table:
         table = group.combine_chunks()
-        side, t, label, size = (table[c].to_numpy() for c in ("side", "t", "label", "size"))
+        t, label, size = (table[c].to_numpy() for c in ("t", "label", "size"))
         lists = table["set"].chunk(0) if table["set"].num_chunks else pa.array([], pa.list_(pa.int64()))
         cells, at = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(size)))
-        odd = np.stack([table[w].to_numpy() for w in words], axis=1).view(np.uint64)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        differ = np.zeros((len(a), len(b)), np.int32)
-        for i in range(len(words)):
-            differ += np.bitwise_count(odd[a, i][:, None] ^ odd[b, i][None])
-        low, high = np.minimum(size[a][:, None], size[b][None]), np.maximum(size[a][:, None], size[b][None])
-        maybe = (differ <= ones) & (label[a][:, None] != label[b][None]) & (low * 100 >= high * percent)
+        a, b, maybe = _allowed(table, ones, percent, words)
         keep_a, keep_b = maybe.any(axis=1), maybe.any(axis=0)
         a, b, maybe = a[keep_a], b[keep_b], maybe[keep_a][:, keep_b]
         if not len(a):
@@ -331,11 +372,12 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept of every row."""
     docs, scratch = docs.select("doc_id", "text"), Scratch(spark, "odd-sketch")
     odd = [f"o{i}" for i in range(bits // 64)]
+    words_of = [*odd, *parity_words()]
     marked = scratch.save(
         docs.select("doc_id", F.md5(_normal()).alias("digest"), _sketched(words, bands, rows, bits)(_normal()).alias("_s"))
         .select("doc_id", "digest", "_s.*"), "sketches",
     )
-    cells = F.struct(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), "size", "keys", *odd)
+    cells = F.struct(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), "size", "keys", *words_of)
     sets = scratch.save(
         marked.where("size > 0").groupBy("d0", "d1")
         .agg(F.min("doc_id").alias("least_id"), F.count("*").alias("_n"), F.min_by(cells, "digest").alias("_c"))
@@ -344,7 +386,7 @@ def near_duplicates(
     keys = sets.select("t", F.explode("keys").alias("key"))
     shared = scratch.save(keys.select("key").groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "shared")
     members = scratch.save(filtered(keys, F.col("key"), shared, "key", BITMAP).join(shared, "key").select("key", "t"), "members")
-    check = Verifier(scratch, sets.select("t", "size", *odd), None, percent, most_ones(percent, bands * rows, bits), odd)
+    check = Verifier(scratch, sets.select("t", "size", *words_of), None, percent, most_ones(percent, bands * rows, bits), odd)
     # Full sets of those that have a candidate, from one document of each set.
     wanted = sets.join(members.select("t").distinct(), "t", "left_semi").select("t", "of_id", "of_digest")
     check.full = scratch.save(

@@ -12,8 +12,8 @@ between them.  Those meetings are bounded by the ball's size and lose no link.
 ``survivors`` also links texts whose sets of five-word shingles have a similarity of ``SIMILARITY`` or more.  Such pairs
 differ in about 10 of 64 bits, up to ``NEAR_RADIUS``, where no key of equal segments prunes any more.  Their candidates
 are texts that share one of ``BANDS`` keys of ``ROWS`` minimal shingle hashes (a pair of similarity 0.8 has none in
-common once in 300 000 times); pigeonring chains and the Hamming check prune them, and the shingle sets themselves
-decide.  As in ``odd_sketch_dedup``, each text of a key is compared with one of them, the hub; only texts that stay
+common once in 300 000 times); pigeonring chains, the Hamming check and parities of the sets (which lose nothing) prune them, and the shingle sets
+themselves decide.  As in ``odd_sketch_dedup``, each text of a key is compared with one of them, the hub; only texts that stay
 unconnected are then compared, block by block, with those of other components of the key, so no link is lost and no group
 is expanded to all pairs.
 
@@ -38,7 +38,7 @@ from conceptloom.llm.bitmaps import bitmap_of, filtered, may_be_in
 from conceptloom.llm.common import ascii_lower, lookup, small_batches, spare, whole_text
 from conceptloom.llm.components import components
 from conceptloom.llm.decontamination import Text
-from conceptloom.llm.odd_sketch_dedup import Verifier, one_text
+from conceptloom.llm.odd_sketch_dedup import Verifier, one_text, parity_sketch, parity_words
 from conceptloom.llm.odd_sketch_dedup import links as connecting
 from conceptloom.scratch import Scratch
 
@@ -148,10 +148,10 @@ def shingles_of(text: str, k: int = WORDS) -> np.ndarray:
 
 
 def _sketch_of(text: str) -> dict:
-    """Fingerprint and size of the shingle set, and its keys for candidates."""
+    """Fingerprint, size and parities of the shingle set, and its keys for candidates."""
     h = shingles_of(text)
     if not len(h):
-        return {"near": 0, "size": 0, "keys": []}
+        return {"near": 0, "size": 0, "keys": []} | dict.fromkeys(parity_words(), 0)
     seeds = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
     least, ones = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64), np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 12):  # long texts in steps
@@ -162,25 +162,27 @@ def _sketch_of(text: str) -> dict:
     for column in least.reshape(BANDS, ROWS).T:
         keys = (keys ^ keys >> np.uint64(32)) * _MIX + column
     near = int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big", signed=True)
-    return {"near": near, "size": len(h), "keys": keys.view(np.int64).tolist()}
+    return {"near": near, "size": len(h), "keys": keys.view(np.int64).tolist()} | dict(zip(parity_words(), parity_sketch(h).tolist(), strict=True))
 
 
 _SKETCH = T.StructType().add("near", T.LongType()).add("size", T.IntegerType()).add("keys", T.ArrayType(T.LongType()))
+for _word in parity_words():
+    _SKETCH = _SKETCH.add(_word, T.LongType())
 
 
 @F.pandas_udf(_SKETCH)
 def _sketch(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_sketch_of(t) for t in texts], columns=["near", "size", "keys"])
+    return pd.DataFrame([_sketch_of(t) for t in texts], columns=_SKETCH.names)
 
 
 def _marks(shingle: int):
     """Fingerprint and sketch of a text in one pass."""
 
-    @F.pandas_udf("fp bigint, near bigint, size int, keys array<bigint>")
+    @F.pandas_udf(f"fp bigint, near bigint, size int, keys array<bigint>, {', '.join(f'{w} bigint' for w in parity_words())}")
     def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = [{"fp": fingerprint_of(t, shingle)} | _sketch_of(t) for t in texts]
-            yield pd.DataFrame(rows, columns=["fp", "near", "size", "keys"])
+            yield pd.DataFrame(rows, columns=["fp", "near", "size", "keys", *parity_words()])
 
     return marks
 
@@ -218,7 +220,7 @@ def similar(scratch: Scratch, docs: DataFrame, marked: DataFrame, least: float =
     members = scratch.save(filtered(keys, F.col("key"), shared, "key", BITMAP).join(shared, "key").select("key", "t"), "members")
     wanted = texts.join(members.select("t").distinct(), "t", "left_semi").select("t", "of_id", F.col("node").alias("of_digest"))
     sets = scratch.save(one_text(docs, wanted).select("t", _shingle_set("_text").alias("set")), "sets")  # only texts with a candidate
-    check = _Pigeonring(scratch, texts.select("t", "size", "near"), sets, least * 100, NEAR_RADIUS, ["near"], pairs)
+    check = _Pigeonring(scratch, texts.select("t", "size", "near", *parity_words()), sets, least * 100, NEAR_RADIUS, ["near"], pairs)
     edges = connecting(scratch, check, members)
     fp = lambda old: texts.select(F.col("t").alias(old), F.col("fp").alias(f"fp_{old}"))
     return edges.join(fp("a"), "a").join(fp("b"), "b").where("fp_a <> fp_b").select(
@@ -231,7 +233,7 @@ def _classes(spark: SparkSession, docs: DataFrame, shingle: int, radius: int, se
         marked = docs.select("doc_id", fingerprint(shingle)(_normal()).alias("fp"))
     else:
         marked = docs.select("doc_id", F.md5(_normal()).alias("node"), _marks(shingle)(_normal()).alias("_m")).select(
-            "doc_id", "node", "_m.fp", F.struct("_m.near", "_m.size", "_m.keys").alias("_s"))
+            "doc_id", "node", "_m.fp", F.struct(*[f"_m.{c}" for c in ("near", "size", "keys", *parity_words())]).alias("_s"))
     marked = scratch.save(marked, "fingerprints")
     fps = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("_id"), F.count("*").alias("_n")), "distinct")
     edges = links(scratch, fps, radius, segments)

@@ -268,6 +268,58 @@ def test_odd_sketch_estimates():
         assert abs(np.mean(found) - similarity) < near
 
 
+def test_parities_prune_without_loss():
+    """Sketches of whole sets differ in no more bits than the sets in shingles; most pairs below the least similarity are pruned."""
+    rng, percent, pruned = np.random.default_rng(5), odd_sketch_dedup.PERCENT, 0
+    for n, both in [(400, 160), *[(n, k) for n in (1, 3, 40, 400, 3000) for k in {n * 4 // 5, n * 9 // 10, n * 89 // 100, n}]]:
+        sets = [np.concatenate((x, y)) for x in [rng.integers(1 << 62, size=both, dtype=np.uint64)] for y in rng.integers(1 << 62, size=(2, n - both), dtype=np.uint64)]
+        a, b = (odd_sketch_dedup.parity_sketch(s).view(np.uint64) for s in sets)
+        ones = int(np.bitwise_count(a ^ b).sum())
+        assert ones <= 2 * (n - both)
+        allowed = ones * (100 + percent) <= 2 * n * (100 - percent)
+        assert allowed or 100 * both < percent * (2 * n - both)
+        pruned += not allowed
+    assert pruned
+
+
+def test_sets_go_to_blocks_only_with_a_partner(spark):
+    """Members of a key that no other component's sketches allow aren't joined with their sets."""
+    saved, r, rows = {}, random.Random(3), []
+
+    class Recorder(odd_sketch_dedup.Scratch):
+        def save(self, df, name):
+            saved[name] = super().save(df, name)
+            return saved[name]
+
+    shared = prose(50, 60).split()
+    for i in range(40):
+        rows.append((i, " ".join([*shared, *prose(100 + i % 20, 30).split(), f"w{r.randrange(5)}"]), "en"))
+    old, odd_sketch_dedup.Scratch = odd_sketch_dedup.Scratch, Recorder
+    try:
+        out = odd_sketch_dedup.near_duplicates(spark, docs_of(spark, rows), turns=0).collect()
+    finally:
+        odd_sketch_dedup.Scratch = old
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == sorted(groups([x[:2] for x in rows]))
+    assert saved["across-maybe"].count() < saved["across-members"].count()
+
+
+def test_bitmaps_need_few_jobs(spark):
+    """A bitmap isn't fetched partition by partition."""
+    from pyspark.sql import functions as F
+
+    from conceptloom.llm.bitmaps import bitmap_of
+
+    spark.sparkContext.setJobGroup("bitmap", "bitmap")
+    try:
+        rows = spark.range(5000, numPartitions=4).select(F.xxhash64("id").alias("h"))
+        bits = np.unpackbits(np.frombuffer(bitmap_of(rows, "h", 16), np.uint8), bitorder="little")
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")) <= 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {(r.h % (1 << 64)) >> 48 for r in rows.collect()}
+    assert set(np.flatnonzero(bits).tolist()) == want
+
+
 def test_survivors_keep_columns_of_any_name_and_type(spark):
     """The filters of the pipeline give rows back as they were, helper names and columns without an order included."""
     from pyspark.sql import functions as F
