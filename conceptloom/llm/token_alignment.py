@@ -75,6 +75,9 @@ class _Ranks:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [self.encoding.encode_ordinary(t) for t in texts]
 
+    def decode(self, ids: list[int]) -> bytes:
+        return self.encoding.decode_bytes(ids)
+
 
 class _Json:
     """Byte-level BPE as a tokenizers file (.json)."""
@@ -96,6 +99,9 @@ class _Json:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
 
 class _Pieces:
     """Pieces with byte fallback (.model); the library adds the space in front."""
@@ -113,6 +119,9 @@ class _Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
 
 def parts_of(text: str, size: int = CHUNK) -> list[str]:
     """The text cut before single spaces, at the first one after ``size`` characters of each part."""
@@ -144,7 +153,9 @@ class Vocabularies:
         both = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.width = len(self.b.pieces)
         self.pairs = both[:, 0] * self.width + both[:, 1]  # sorted codes
-        self.names = [np.array([f"{i}{end}" for end in ",|;" for i in range(len(v.pieces))], object) for v in (self.a, self.b)]
+        # All of one width, filled up with zero bytes, so that those of a text are gathered at once.
+        width = max(len(str(len(v.pieces))) for v in (self.a, self.b)) + 1
+        self.names = [np.array([f"{i}{end}".encode() for end in ",|;" for i in range(len(v.pieces))], f"S{width}") for v in (self.a, self.b)]
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both tokenizers of each text, or None if a tokenizer doesn't give the bytes of space+text."""
@@ -157,7 +168,7 @@ class Vocabularies:
             ids = []
             for vocabulary, got in ((self.a, got_a), (self.b, got_b)):
                 ids.append([i for _ in ps for i in next(got)])
-                if text and b"".join(map(vocabulary.pieces.__getitem__, ids[-1])) != b" " + text.encode("utf-8", "surrogatepass"):
+                if text and vocabulary.decode(ids[-1]) != b" " + text.encode("utf-8", "surrogatepass"):
                     text = ""
             yield (np.array(ids[0], np.int64), np.array(ids[1], np.int64)) if text else None
 
@@ -194,15 +205,14 @@ def overlaps(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def groups_text(v: Vocabularies, ids_a: np.ndarray, ids_b: np.ndarray, order: np.ndarray, group: np.ndarray) -> str:
     """``a1,a2|b1;a3|b2,b3`` of a text's groups."""
-    side = order >= len(ids_a)
-    turn = np.lexsort((side, group))  # within a group A tokens, then B tokens; both stay in order
-    side, group = side[turn], group[turn]
-    last = np.append((side[1:] != side[:-1]) | (group[1:] != group[:-1]), True)
-    ids = np.concatenate((ids_a, ids_b))[order][turn]
-    texts = np.empty(len(ids), object)
-    texts[~side] = v.names[0][ids[~side] + last[~side] * len(v.a.pieces)]
-    texts[side] = v.names[1][ids[side] + last[side] * 2 * len(v.b.pieces)]
-    return "".join(texts.tolist())[:-1]
+    is_b = order >= len(ids_a)
+    of_a, of_b = group[~is_b], group[is_b]  # both sides stay in order
+    many_a, many_b = np.bincount(of_a, minlength=group[-1] + 1), np.bincount(of_b, minlength=group[-1] + 1)
+    last_a, last_b = (np.append(x[1:] != x[:-1], True) for x in (of_a, of_b))
+    texts = np.empty(len(order), v.names[0].dtype)  # within a group A tokens, then B tokens
+    texts[np.arange(len(of_a)) + (np.cumsum(many_b) - many_b)[of_a]] = v.names[0][ids_a + last_a * len(v.a.pieces)]
+    texts[np.arange(len(of_b)) + np.cumsum(many_a)[of_b]] = v.names[1][ids_b + last_b * 2 * len(v.b.pieces)]
+    return texts.tobytes().translate(None, b"\0")[:-1].decode()
 
 
 def align(v: Vocabularies, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[int, np.ndarray, str]:

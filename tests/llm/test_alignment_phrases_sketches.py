@@ -112,6 +112,19 @@ def test_alignment_parts(monkeypatch):
             assert a is None or (a[k].tolist() == b[k].tolist() == c[k].tolist())
 
 
+def test_group_names_are_gathered_without_objects():
+    """The written ids of a text's groups come from arrays of one width, and are the plain ids."""
+    v = token_alignment.vocabularies(token_alignment.default_a(), token_alignment.default_b())
+    assert all(x.dtype.kind == "S" for x in v.names)
+    text = "Plain words, 42 Ärger"
+    ids_a, ids_b = next(iter(v.encoded([text])))
+    assert v.a.decode(ids_a.tolist()) == v.b.decode(ids_b.tolist()) == b" " + text.encode()
+    got = token_alignment.align(v, ids_a, ids_b)[2]
+    sides = [g.split("|") for g in got.split(";")]
+    assert [int(i) for a, _ in sides for i in a.split(",")] == ids_a.tolist()
+    assert [int(i) for _, b in sides for i in b.split(",")] == ids_b.tolist()
+
+
 def test_overlaps_lie_in_groups():
     r = random.Random(1)
     for _ in range(50):
