@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import id_remainder, whole_text
+from conceptloom.llm.common import id_remainder, small_batches, whole_text
+from conceptloom.scratch import Scratch
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -142,7 +143,9 @@ def language(spark: SparkSession, docs: DataFrame) -> Column:
 
 
 def languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row."""
-    return docs.select("doc_id", (id_remainder(4) == 2).alias("held_out"), language(spark, docs).alias("_p")).select(
+    """doc_id, held_out, lang_pred, score of every row; written here, as texts go to Python in batches of bounded bytes."""
+    found = docs.select("doc_id", (id_remainder(4) == 2).alias("held_out"), language(spark, docs).alias("_p")).select(
         "doc_id", "held_out", "_p.lang_pred", "_p.score"
     )
+    with small_batches(spark):
+        return Scratch(spark, "language").save(found, "predicted")

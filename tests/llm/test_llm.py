@@ -454,3 +454,18 @@ def test_language(spark, odd, empty):
     assert len(held) > 50 and np.mean(held) > 0.97
     assert {x.lang_pred for x in out if x.doc_id in (1, 2, 3)} == {"und"}
     assert language_id.languages(spark, empty).count() == 0
+
+
+def test_language_takes_batches_of_bounded_bytes(spark, monkeypatch):
+    """Texts are sent to Python while the size of a batch is bounded in bytes, whatever the number of rows."""
+    held, name = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    class Recorder(Scratch):
+        def save(self, df, table):
+            held.append(spark.conf.get(name))
+            return super().save(df, table)
+
+    monkeypatch.setattr(language_id, "Scratch", Recorder, raising=False)
+    docs = docs_of(spark, [(i, prose(i, 20, "abcdef"), "aa", "a") for i in range(8)])
+    assert language_id.languages(spark, docs).count() == 8
+    assert held == [str(4 << 20)]
