@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptloom.llm.bitmaps import bitmap_of, filtered, may_be_in
+from conceptloom.llm.bitmaps import filtered, may_be_in, short_bitmap_of
 from conceptloom.llm.common import ascii_lower, lookup, small_batches, spare, whole_text
 from conceptloom.llm.components import components
 from conceptloom.llm.decontamination import Text
@@ -270,7 +270,7 @@ def survivors(
     node = spare(docs, "_node")
     here = docs.withColumn(node, F.md5(_normal()))
     # Texts that certainly stay don't move; of the others those that go are found by id and text.
-    shared = spark.sparkContext.broadcast(bitmap_of(gone, "_h", BITMAP))
+    shared = spark.sparkContext.broadcast(short_bitmap_of(gone, "_h", BITMAP))
     maybe = may_be_in(shared, BITMAP)(F.xxhash64(node))
     same = F.col("doc_id").eqNullSafe(gone["_gone"]) & (F.col(node) == gone["_gone_node"])
     return here.where(~maybe).select(*docs.columns).unionByName(

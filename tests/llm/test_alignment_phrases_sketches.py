@@ -396,3 +396,35 @@ def test_starts_outside_a_trie_are_left_out_and_none_inside():
         assert len(among) < chunk.n
         trie = X.build_trie(keys)
         assert (X.count_phrases(chunk, *trie, len(keys), among) == X.count_phrases(chunk, *trie, len(keys))).all()
+
+
+def test_short_bitmap(spark):
+    """A bitmap of few words is not sent whole, and lets the same hashes through."""
+    from conceptloom.llm.bitmaps import bitmap_of, in_bitmap, in_words, short_bitmap_of
+
+    hashes = [hash((i, "h")) << 8 ^ i * 0x9E3779B97F4A7C1 for i in range(300)]
+    hashes = [(h + (1 << 63)) % (1 << 64) - (1 << 63) for h in hashes]
+    rows = spark.createDataFrame([(h,) for h in hashes], "h bigint")
+    short = short_bitmap_of(rows, "h", 20)
+    assert isinstance(short, tuple) and sum(x.nbytes for x in short) < 1 << 13
+    asked = np.concatenate((np.array(hashes, np.int64), np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 20000))).view(np.uint64)
+    whole = np.frombuffer(bitmap_of(rows, "h", 20), np.uint8)
+    assert (in_words(short, asked, 20) == in_bitmap(whole, asked, 20)).all() and in_words(short, asked, 20)[:300].all()
+    assert isinstance(short_bitmap_of(rows, "h", 10), bytes)
+    assert not in_words(short_bitmap_of(rows.limit(0), "h", 20), asked, 20).any()
+
+
+def test_components_by_one_join_a_round(spark, monkeypatch):
+    """A round's own labels come from the join that gives the neighbours' labels; the classes are as by hand."""
+    from conceptloom.llm import components as module
+    from conceptloom.scratch import Scratch
+
+    joins = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: joins.append(
+        (name, df._jdf.queryExecution().optimizedPlan().toString().count("Join "))) or save(self, df, name))
+    edges = [(i, i + 1) for i in range(0, 40) if i != 20] + [(5, 5), (-7, 90), (90, 3)]
+    got = {r.node: r.label for r in module.components(Scratch(spark, "t"), spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {-7: -7, 90: -7} | {i: -7 if i <= 20 else 21 for i in range(41)}
+    assert max(n for name, n in joins if not name.endswith("-edges")) == 2
+    assert module.components(Scratch(spark, "t"), spark.createDataFrame([], "a bigint, b bigint")).count() == 0
