@@ -428,3 +428,20 @@ def test_components_by_one_join_a_round(spark, monkeypatch):
     assert got == {-7: -7, 90: -7} | {i: -7 if i <= 20 else 21 for i in range(41)}
     assert max(n for name, n in joins if not name.endswith("-edges")) == 2
     assert module.components(Scratch(spark, "t"), spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_collocations_add_up_arrays(spark, monkeypatch):
+    """Windows and counts go through Spark as arrays of a bucket or block, not as a row each, and add up to the same phrases."""
+    from conceptloom.scratch import Scratch
+
+    for name, value in (("CHUNK", 256), ("WINDOWS", 100), ("BUCKET", 300), ("BLOCK", 8)):
+        monkeypatch.setattr(collocations, name, value)
+    texts = [prose(i % 9, 60, "abc") for i in range(120)]
+    plain = Counter(tuple(w[i : i + k]) for w in map(str.split, texts) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    chunks = collocations.chunks_of(Scratch(spark, "t"), docs_of(spark, [(i, t, "en") for i, t in enumerate(texts)]))
+    rows = chunks.mapInArrow(collocations._added([1, 2], 7), "bucket int, h binary, n binary, of binary, ids binary").collect()
+    hashes = sum(len(r.h) // 8 for r in rows)
+    assert len({r.bucket for r in rows}) == 7 and len(rows) < hashes / 4
+    assert sum(np.frombuffer(r.n, np.int32).sum() for r in rows) == sum(n for w, n in plain.items() if len(w) < 3)
+    got = {tuple(r.phrase.split(" ")): r.a for r in collocations.phrase_counts(spark, Scratch(spark, "t"), chunks).collect()}
+    assert got == {w: n for w, n in plain.items() if n >= collocations.LEAST}
