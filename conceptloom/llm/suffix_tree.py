@@ -7,7 +7,7 @@ byte diverges from that of its longest proper suffix: count times Kullback-Leibl
 different next bytes) * ln(count), the cost of describing it; so are all suffixes of a state.  Next-byte distributions
 are smoothed with those of the suffix state (Witten-Bell).  A byte is scored by the state of its longest suffix.
 
-Windows of DEPTH + 1 bytes are counted in each partition and summed by Spark; the tree is then learnt by joins and
+Windows of DEPTH + 1 bytes are counted in each partition and summed by Spark, bucket by bucket; the tree is then learnt by joins and
 aggregates of that table, and stays a table that grows with the input.  Only its head is broadcast: states with at least
 ``LEAST`` of all positions, so at most (DEPTH + 1) / LEAST, each with marks of the bytes by which states outside the head
 lengthen it.  Windows whose longest state is in the head are scored where they are; of all others the different
@@ -45,6 +45,9 @@ _PAD = bytes(DEPTH)  # before a text
 _AT_ONCE = 1 << 20  # bytes of text
 _WORDS_HELD = 1 << 18
 _CODES_HELD = 1 << 21
+#: Bytes of text whose windows are added up together.
+BUCKET = 1 << 22
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -92,20 +95,69 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 begin, size = end, 0
 
 
-def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    code, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``values`` and where each value's run begins in it."""
+    order = np.argsort(values)
+    value = values[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(len(value), 1), bool), value[1:] != value[:-1])))
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(count)], names=["code", "n"])
 
-    for texts in _batches(written(words_of(t.as_py())) for b in batches for t in b.column(0)):
-        new, n = np.unique(_codes(texts), return_counts=True)
-        code, place = np.unique(np.concatenate([code, new]), return_inverse=True)
-        count = np.bincount(place, weights=np.concatenate([count, n]), minlength=len(code)).astype(np.int64)
-        if len(code) > _CODES_HELD:
+def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, count = np.concatenate(codes), np.concatenate(counts)
+    order, first = _runs(code)
+    return code[order[first]], np.add.reduceat(count[order], first) if len(code) else count
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes in order as differences, byte by byte of each, so that their leading zeros lie together and are compressed."""
+    return np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _window_counts(buckets: int):
+    """A task's windows, added up until ``_CODES_HELD`` are different; a row has the codes of one bucket (of a hash) and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            code, count = codes[0], counts[0]
+            bucket = ((code * _MIX >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+            some = [(b, order[x:y]) for b, (x, y) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if y > x]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _ in some], pa.int32()), pa.array([_packed(code[x]) for _, x in some], pa.binary()),
+                 pa.array([count[x].astype(np.int32).tobytes() for _, x in some], pa.binary())], names=["bucket", "codes", "counts"])
+
+        for texts in _batches(written(words_of(t.as_py())) for b in batches for t in b.column(0)):
+            new = np.sort(_codes(texts))
+            first = np.flatnonzero(np.concatenate((np.ones(1, bool), new[1:] != new[:-1])))
+            codes.append(new[first])
+            counts.append(np.diff(first, append=len(new)))
+            held += len(first)
+            if held > 2 * _CODES_HELD:
+                code, count = _added(codes, counts)
+                codes, counts, held = [code], [count], len(code)
+                if held > _CODES_HELD:
+                    yield out()
+                    codes, counts, held = [], [], 0
+        if held:
+            code, count = _added(codes, counts)
+            codes, counts = [code], [count]
             yield out()
-            code, count = code[:0], count[:0]
-    yield out()
+
+    return run
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """(code, n) of a bucket."""
+    code, n = _added([_unpacked(x.as_py()) for x in group.column("codes")],
+                     [np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in group.column("counts")])
+    return pa.table({"code": pa.array(code.astype(np.int64)), "n": pa.array(n)})
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +237,11 @@ class Tree:
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Of each text, the sum over windows that the head decides, and the other windows as numbers."""
-        code, place = np.unique(_codes(texts, backwards=True), return_inverse=True)
+        code = _codes(texts, backwards=True)
+        order, first = _runs(code)
+        place = np.empty(len(code), np.int64)
+        place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(code)))
+        code = code[order[first]]
         p, _, open_ = self.resolve(code)
         each = np.where(open_, 0.0, np.log10(p))[place]
         ends = np.cumsum([len(t) for t in texts])
@@ -196,9 +252,10 @@ class Tree:
 
 def learn(scratch: Scratch, texts: DataFrame) -> tuple[Tree, DataFrame]:
     """The head of the tree, and all other states: k, context, total, kinds, next (next byte -> count)."""
-    windows = scratch.save(
-        texts.mapInArrow(_window_counts, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "windows"
-    )
+    # The windows of a task are mostly different, so they are not rows: buckets of a bounded size are added up as arrays.
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    counted = texts.mapInArrow(_window_counts(size // BUCKET + 1), "bucket int, codes binary, counts binary")
+    windows = scratch.save(counted.groupBy("bucket").applyInArrow(_summed, "code bigint, n bigint"), "windows")
     low = lambda k: F.lit((1 << 8 * k) - 1).cast("bigint")
     before = F.shiftright("code", 8)
     levels = F.array(*[F.struct(F.lit(k).alias("k"), before.bitwiseAND(low(k)).alias("context")) for k in range(DEPTH + 1)])

@@ -469,3 +469,32 @@ def test_language_takes_batches_of_bounded_bytes(spark, monkeypatch):
     docs = docs_of(spark, [(i, prose(i, 20, "abcdef"), "aa", "a") for i in range(8)])
     assert language_id.languages(spark, docs).count() == 8
     assert held == [str(4 << 20)]
+
+
+def test_suffix_tree_windows_as_arrays(spark, monkeypatch):
+    """Windows go through Spark as arrays of a bucket, not as a row each, and add up to the plain counts."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from conceptloom.llm import suffix_tree as st
+
+    for name, value in (("_AT_ONCE", 500), ("_CODES_HELD", 900), ("BUCKET", 1000)):
+        monkeypatch.setattr(st, name, value)
+    texts = ["", "One two  three", *(" ".join(f"{'abc'[i * j % 3]}{i * j % 17}" for j in range(40)) for i in range(50))]
+    plain = Counter()
+    for t in texts:
+        data = bytes(st.DEPTH) + st.written(st.words_of(t))
+        plain.update(int.from_bytes(data[i : i + st.DEPTH + 1]) for i in range(len(data) - st.DEPTH))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    rows = pa.Table.from_batches(list(st._window_counts(5)(iter([batch]))))
+    assert rows.num_rows < len(plain) / 4
+    found = Counter()
+    for b in range(5):
+        some = st._summed(rows.filter(pa.compute.equal(rows["bucket"], b)))
+        found.update(dict(zip(some["code"].to_pylist(), some["n"].to_pylist(), strict=True)))
+        assert len(set(some["code"].to_pylist())) == some.num_rows
+    assert found == plain
+    codes = np.array([0, 3, 1 << 40, (1 << 56) - 1], np.uint64)
+    assert (st._unpacked(st._packed(codes)) == codes).all()
