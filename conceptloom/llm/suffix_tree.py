@@ -221,13 +221,19 @@ class Tree:
             keys, total, kinds, *own = self.states.get(k, self._no_state)
             pair_keys, n = self.pairs.get(k, self._no_pair)
             pair = pair[first]
-            at = self._find(keys, pair & np.uint64((1 << 8 * k) - 1))
-            before, alive, open_ = alive[up], alive[up] & (at < len(keys)), open_[up]
+            # A state's suffixes are states, so only windows with a state of one byte less are looked up.
+            was = np.flatnonzero(alive[up])
+            at = np.full(len(pair), len(keys))
+            at[was] = self._find(keys, pair[was] & np.uint64((1 << 8 * k) - 1))
+            alive, open_, p = at < len(keys), open_[up], p[up]
             if k:
-                byte = pair & np.uint64(255)
-                word = np.choose((byte >> np.uint64(6)).astype(np.int64), [m[place[up]] for m in marks])
-                open_ = open_ | before & ~alive & ((word >> (byte & np.uint64(63)) & np.uint64(1)) == 1)
-            p = np.where(alive, (n[self._find(pair_keys, pair)] + kinds[at] * p[up]) / (total[at] + kinds[at]), p[up])
+                ends = was[~alive[was]]
+                byte, here = pair[ends] & np.uint64(255), place[up[ends]]
+                word = np.choose((byte >> np.uint64(6)).astype(np.int64), [m[here] for m in marks])
+                open_[ends] |= (word >> (byte & np.uint64(63)) & np.uint64(1)) == 1
+            on = was[alive[was]]
+            here = at[on]
+            p[on] = (n[self._find(pair_keys, pair[on])] + kinds[here] * p[on]) / (total[here] + kinds[here])
             depth, marks, place = np.where(alive, k, depth[up]), own, at
             run = np.cumsum(new) - 1
         return p[run], depth[run], open_[run]
