@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +37,15 @@ class Lattice:
             *self.intent(), M.size(self.intent()).alias("n_intent"), "n_extent"
         )
 
-    def covers(self) -> DataFrame:
-        """Hasse diagram: ``child*`` (specific) -> ``parent*`` (general)."""
+    def covers(self, **of_parent: Column) -> DataFrame:
+        """Hasse diagram: ``child*`` (specific) -> ``parent*`` (general).
+
+        ``of_parent`` adds columns over the parent's node, worked out once for all its children.
+        """
         return self.nodes.select(
-            *M.rename(self.intent(), "parent"), F.explode("lower").alias("child")
+            *M.rename(self.intent(), "parent"), *[c.alias(n) for n, c in of_parent.items()], F.explode("lower").alias("_child")
         ).select(
-            *M.rename(M.fields(F.col("child"), "i", self.k), "child"), *M.names("parent", self.k)
+            *M.rename(M.fields(F.col("_child"), "i", self.k), "child"), *M.names("parent", self.k), *of_parent
         )
 
     def intent_names(self, prefix: str = "i"):

@@ -250,9 +250,8 @@ def _concepts(source: str) -> Query:
 def _covers(source: str) -> Query:
     def run(spark, d):
         lattice = lattice_of(spark, d, source)
-        return lattice.covers().select(
-            joined(lattice.intent_names("child")).alias("child"),
-            joined(lattice.intent_names("parent")).alias("parent"),
+        return lattice.covers(parent=joined(lattice.intent_names())).select(
+            joined(lattice.intent_names("child")).alias("child"), "parent",
         )
 
     return run

@@ -37,10 +37,10 @@ class Scratch:
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it read back from the written table."""
+    def save(self, df: DataFrame, name: str, most: int = 0) -> DataFrame:
+        """Write ``df``, at most ``most`` rows a file if given, and return it read back from the written table."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("maxRecordsPerFile", most).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_by(self, df: DataFrame, name: str, column: str) -> DataFrame:
