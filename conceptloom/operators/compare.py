@@ -17,18 +17,36 @@ from conceptloom.operators.ordering import number_rows
 from conceptloom.scratch import Scratch, side_by_side
 
 DIGEST = ["i", "e", "a0", "a1", "o0", "o1"]
+LONG_SET = "struct<n:bigint,o0:bigint,o1:bigint>"
 
 
 def _folded(items: Column, seed: int) -> Column:
     return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.xxhash64(F.lit(seed), x)))
 
 
+def long_sets(graph: Graph) -> DataFrame:
+    """``id``, ``long``: size and digest of the objects of nodes that have some in ``graph.more``."""
+    more = graph.more.select("id", "item")
+    listed = graph.nodes.join(more.select("id").distinct(), "id", "left_semi").select("id", F.explode("objs").alias("item"))
+    every = more.unionByName(listed).distinct().groupBy("id").agg(
+        F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(seed), "item")).alias(f"o{seed - 1}") for seed in (1, 2)]
+    )
+    return every.select("id", F.struct("n", "o0", "o1").alias("long"))
+
+
 def digests(nodes: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, ``id``, ``sig`` (the digest); the sizes in a label must match its items."""
+    """``keys``, ``id``, ``sig`` (the digest); the sizes in a label must match its items.
+
+    A column ``long`` that isn't null (``long_sets``) stands for ``objs``.
+    """
     attrs, objs = F.array_distinct("attrs"), F.array_distinct("objs")
     i, e = F.col("n_intent").cast("bigint"), F.col("n_extent").cast("bigint")
-    fits = (F.size(attrs) == i) & (F.size(objs) == e)
-    values = [i, e, *[_folded(x, seed) for x in (attrs, objs) for seed in (1, 2)]]
+    n_objs, folded = F.size(objs).cast("bigint"), [_folded(x, seed) for x in (attrs, objs) for seed in (1, 2)]
+    if "long" in nodes.columns:
+        n_objs = F.coalesce("long.n", n_objs)
+        folded[2:] = [F.coalesce(f"long.{c}", x) for c, x in zip(("o0", "o1"), folded[2:], strict=True)]
+    fits = (F.size(attrs) == i) & (n_objs == e)
+    values = [i, e, *folded]
     sig = F.struct(*[v.alias(c) for v, c in zip(values, DIGEST, strict=True)])
     problem = F.raise_error(F.concat(F.lit("label sizes do not match the items of node "), F.col("id")))
     kind = f"struct<{','.join(c + ':bigint' for c in DIGEST)}>"
@@ -177,7 +195,7 @@ def _refuse_clashes(matched: DataFrame, sides: list[DataFrame], nodes: tuple[Dat
 def pairwise(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Verdict for every two producers of a lattice for the same dataset.
 
-    ``nodes`` and ``edges`` are graph tables with ``dataset`` and ``producer``.
+    ``nodes`` and ``edges`` are graph tables with ``dataset`` and ``producer``; ``nodes`` may have a column ``long``.
     Result: ``dataset``, ``left``, ``right``, ``equivalent``.
     """
     key = ["dataset", "producer"]

@@ -24,11 +24,12 @@ class GraphError(ValueError):
 class Graph:
     """``nodes``: ``id``, ``label_id``, ``n_intent``, ``n_extent``, ``attrs``,
     ``objs`` (arrays), ``color`` and, if read from a file, ``options``, the other
-    node attributes as a map.  ``edges``: ``src``, ``dst``."""
+    node attributes as a map.  ``edges``: ``src``, ``dst``.  ``more`` is None unless the reader was asked for it."""
 
     nodes: DataFrame
     edges: DataFrame
     stored: bool = False  # both are written tables
+    more: DataFrame | None = None  # id, item: objects of long labels that aren't in objs
 
     def saved(self, label: str = "graph") -> "Graph":
         if self.stored:

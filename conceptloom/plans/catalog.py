@@ -490,12 +490,12 @@ def graph_of(spark, d, source: str, labels: str) -> G.Graph:
     return _through_dot(build_lattice(context_of(spark, d, source).saved()), labels)
 
 
-def _through_dot(lattice: Lattice, labels: str) -> G.Graph:
-    """Read in any layout: labels of many objects are written over several lines."""
+def _through_dot(lattice: Lattice, labels: str, long: bool = False) -> G.Graph:
+    """Read in any layout: labels of many objects are written over several lines, which ``long`` leaves apart."""
     spark = lattice.context.spark
     path = f"{Scratch(spark, 'graph').path}/dot"
     dot.write_dot(dot.dot_lines(lattice, labels), path)
-    return dot.read_dot(spark, path, free=True)
+    return dot.read_dot(spark, path, free=True, long=long)
 
 
 @register("dot_round_trip", Q.base("nation") + Q.IDS + Q.OWN + f"""
@@ -686,7 +686,12 @@ def _produced(spark, d) -> tuple[DataFrame, DataFrame]:
             edges.append(graph.edges.select(*tag, "*"))
 
         for method in ("join", "subtree"):
-            graph = _through_dot(build_lattice(context, method), "full")
+            graph = _through_dot(build_lattice(context, method), "full", long=True)
+            sized = graph.nodes.withColumn("long", F.lit(None).cast(C.LONG_SET))
+            if graph.more is not None:
+                sets = Scratch(spark, "produced").save(C.long_sets(graph), "long")  # once for all producers of the graph
+                sized = graph.nodes.join(F.broadcast(sets), "id", "left")
+            graph = G.Graph(sized, graph.edges)
             keep(method, graph)
         cut = graph.edges.where("dst <> '0'") if source == "cust_prio" else graph.edges
         keep("broken", G.Graph(graph.nodes, cut))

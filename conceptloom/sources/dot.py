@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from conceptloom.operators import labels as L
 from conceptloom.operators.graph import FullLabels, Graph, GraphError
 from conceptloom.operators.lattice import Lattice
 from conceptloom.scratch import Scratch
-from conceptloom.sources.dot_splitter import pieces
+from conceptloom.sources.dot_splitter import pieces, split_pieces
 from conceptloom.sources.files import listing
 
 # Nodes with more objects than this are written one object per line, with DOT's
@@ -198,7 +199,7 @@ def _back(pairs):
 
 
 def read_dot(
-    spark: SparkSession, path: str, statements: bool = False, loose_breaks: bool = False, free: bool = False
+    spark: SparkSession, path: str, statements: bool = False, loose_breaks: bool = False, free: bool = False, long: bool = False
 ) -> Graph:
     """Read a labelled lattice.
 
@@ -206,10 +207,13 @@ def read_dot(
     split among tasks.  ``free`` accepts any layout, continuation lines included, in
     files of any size, and splits them too.  ``statements`` does so with each small
     file as one text.  ``loose_breaks`` also takes ``\\\\n`` (escaped twice) and ``\\l``
-    as line breaks.
+    as line breaks.  ``long`` is ``free`` with the objects of labels of very many lines in ``Graph.more`` instead of
+    ``objs``, so that no row holds them.
     """
-    if free:
-        whole = pieces(spark, path, lambda c: _swap(_loosen(c, loose_breaks), _ASIDE))
+    prepare = lambda c: _swap(_loosen(c, loose_breaks), _ASIDE)
+    apart = rest = None
+    if free or long:
+        whole, apart, rest = split_pieces(spark, path, prepare) if long else (pieces(spark, path, prepare), None, None)
         lines = whole.select(F.explode(_statements(F.col("value"))).alias("value")).where(F.trim("value") != "")
     elif statements:
         largest = listing(spark, path, recursive=False).agg(F.max("length").alias("n")).first().n
@@ -234,7 +238,15 @@ def read_dot(
         _plain(F.regexp_extract("value", _EDGE, 1)).alias("src"),
         _plain(F.regexp_extract("value", _EDGE, 2)).alias("dst"),
     ).distinct()
-    graph = Graph(_nodes(lines.where(~is_edge)), edges).saved("dot")
+    nodes, more = _nodes(lines.where(~is_edge)), None
+    if apart is not None:
+        heads = _nodes(apart, "folder", "piece")
+        nodes = nodes.unionByName(heads.drop("folder", "piece"))
+        ids = F.broadcast(heads.select("folder", "piece", "id"))  # one for LONG lines at least
+        each = rest.join(ids, ["folder", "piece"]).select("id", F.explode(F.split("value", r"\\[nl]")).alias("item"))
+        item = _swap(F.trim("item"), [(mark, escaped[1]) for escaped, mark in _ASIDE])
+        more = Scratch(spark, "dot").save(each.select("id", item.alias("item")).where("item <> ''"), "more")
+    graph = replace(Graph(nodes, edges).saved("dot"), more=more)
     total = graph.nodes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d")).first()
     if not total.n:
         raise GraphError("no node with a concept label")
@@ -262,10 +274,10 @@ def _plain(c: Column) -> Column:
     return _swap(_swap(bare, _back(_QUOTED)), [(mark, escaped[1]) for escaped, mark in _ASIDE])
 
 
-def _nodes(lines: DataFrame) -> DataFrame:
+def _nodes(lines: DataFrame, *keys: str) -> DataFrame:
     block = F.regexp_extract("value", _NODE, 2)
     found = lines.select(
-        _plain(F.regexp_extract("value", _NODE, 1)).alias("id"),
+        *keys, _plain(F.regexp_extract("value", _NODE, 1)).alias("id"),
         _swap(F.concat(F.regexp_extract(block, _LABEL, 1), F.regexp_extract(block, _LABEL, 2)), _back(_QUOTED)).alias("label"),
         _options(block).alias("options"),
     ).where((F.col("id") != "") & F.col("label").contains("(I:"))
@@ -277,7 +289,7 @@ def _nodes(lines: DataFrame) -> DataFrame:
     bad = F.raise_error(F.concat(F.lit("label without exactly three fields at node "), F.col("id")))
     cut = cut.withColumn("head", F.when(F.size("f") == 3, F.col("f")[0]).otherwise(bad.cast("string")))
     return cut.select(
-        "id",
+        *keys, "id",
         _swap(F.regexp_extract("head", _COUNTS, 1), [(m, e[1]) for e, m in _ASIDE]).alias("label_id"),
         F.regexp_extract("head", _COUNTS, 2).try_cast("bigint").alias("n_intent"),
         F.regexp_extract("head", _COUNTS, 3).try_cast("bigint").alias("n_extent"),
